@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberwatch import schemas
 from emberwatch.functions import fixed_values as V
 from emberwatch.functions.logs import none_if_empty, strip
+from emberwatch.operators.skew import join_lookup
 
 ALERT_SEARCH = ("raw_log", "error_message")
 KNOWLEDGE_SEARCH = ("title", "raw_log_sample", "root_cause")
@@ -70,7 +71,9 @@ def notify_gate(df: DataFrame, notify: bool = True, notify_on_new: bool = True)
 def by_ids(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with these ids, ids without a row). ``ids`` has one column ``id``."""
     wanted = ids.select("id").distinct()
-    return df.join(wanted, "id", "left_semi"), wanted.join(df.select("id"), "id", "left_anti")
+    found = join_lookup(df, wanted, "id", "left_semi")
+    # only the keys found travel to the second join, never the whole table
+    return found, wanted.join(found.select("id"), "id", "left_anti")
 
 
 # --- projections ---------------------------------------------------------------------------------

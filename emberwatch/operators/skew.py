@@ -42,14 +42,19 @@ def measured(df: DataFrame, conf: Settings = DEFAULTS) -> tuple[int, int] | None
 
 
 def join_lookup(
-    rows: DataFrame, lookup: DataFrame, key: str, how: str = "left", conf: Settings = DEFAULTS
+    rows: DataFrame,
+    lookup: DataFrame,
+    key: str | list[str],
+    how: str = "left",
+    conf: Settings = DEFAULTS,
 ) -> DataFrame:
     """Join ``rows`` to ``lookup`` (unique ``key``); ``how`` is left, inner, left_anti or left_semi."""
     if measured(lookup, conf) is not None:
         return rows.join(F.broadcast(lookup), key, how)
-    counts = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    keys = [key] if isinstance(key, str) else key
+    counts = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return salted_join(rows, lookup, hot_keys(counts, key, total, conf), key, how)
+    return salted_join(rows, lookup, hot_keys(counts, keys, total, conf), keys, how)
 
 
 def shared_texts(df: DataFrame, text_col: str) -> DataFrame:
@@ -76,32 +81,34 @@ def join_per_text(
     keyed = rows.withColumn("text_key", text_key(F.col(text_col)))
     if size["texts"] <= conf.broadcast_rows and size["texts"] * row_bytes <= conf.broadcast_bytes:
         return keyed.join(F.broadcast(per_text), "text_key", "left")
-    hot = hot_keys(texts, "text_key", size["rows"], conf)
-    return salted_join(keyed, per_text, hot, "text_key", "left")
+    hot = hot_keys(texts, ["text_key"], size["rows"], conf)
+    return salted_join(keyed, per_text, hot, ["text_key"], "left")
 
 
-def hot_keys(counts: DataFrame, key: str, total: int, conf: Settings = DEFAULTS) -> DataFrame:
-    """``(key, salts)`` of the keys above the hot share: fewer than ``hot_fraction`` rows."""
+def hot_keys(
+    counts: DataFrame, keys: list[str], total: int, conf: Settings = DEFAULTS
+) -> DataFrame:
+    """``(keys, salts)`` of the keys above the hot share: fewer than ``hot_fraction`` rows."""
     share = max(total // conf.hot_fraction, 1)
     return counts.where(F.col("n") > share).select(
-        key, F.least(F.ceil(F.col("n") / share), F.lit(_MAX_SALTS)).cast("int").alias("salts")
+        *keys, F.least(F.ceil(F.col("n") / share), F.lit(_MAX_SALTS)).cast("int").alias("salts")
     )
 
 
 def salted_join(
-    rows: DataFrame, lookup: DataFrame, hot: DataFrame, key: str, how: str = "left"
+    rows: DataFrame, lookup: DataFrame, hot: DataFrame, keys: list[str], how: str = "left"
 ) -> DataFrame:
-    salt_of = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != key])
+    salt_of = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c not in keys])
     left = (
-        rows.join(F.broadcast(hot), key, "left")
+        rows.join(F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.pmod(salt_of, F.coalesce("salts", F.lit(1))).cast("int"))
         .drop("salts")
     )
     right = (
-        lookup.join(F.broadcast(hot), key, "left")
+        lookup.join(F.broadcast(hot), keys, "left")
         .withColumn(
             "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - F.lit(1)))
         )
         .drop("salts")
     )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

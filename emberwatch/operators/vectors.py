@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.operators.skew import join_lookup
+
 KEY = ["namespace", "id"]
 
 
@@ -37,12 +39,12 @@ def upsert_vectors(base: DataFrame, changes: DataFrame) -> DataFrame:
     """Insert or replace by key. ``changes`` holds at most one row per key; an all-zero vector is
     not stored, and leaves an earlier vector of its key in place."""
     real = changes.where(~is_zero(F.col("embedding")))
-    return base.join(real.select(*KEY), KEY, "left_anti").unionByName(real)
+    return delete_vectors(base, real).unionByName(real)
 
 
 def delete_vectors(base: DataFrame, keys: DataFrame) -> DataFrame:
     """Remove keys; an unknown key changes nothing."""
-    return base.join(keys.select(*KEY), KEY, "left_anti")
+    return join_lookup(base, keys.select(*KEY), KEY, "left_anti")
 
 
 def count_vectors(base: DataFrame, namespaces: Iterable[str]) -> DataFrame:

@@ -5,8 +5,26 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()),
+    "array<float>": T.ArrayType(T.FloatType()),
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def columns(*named: str) -> list[T.StructField]:
+    """Fields from ``name type`` entries; unlike ``fromDDL`` this needs no running session."""
+    return [T.StructField(n, TYPES[t]) for n, t in (e.split(" ") for e in named)]
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    return T.StructType(columns(*text.split(", ")))
 
 
 ALERT_PAYLOAD = _struct(
