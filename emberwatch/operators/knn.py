@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberwatch.cluster_io import cut
-from emberwatch.operators.vectors import is_zero
 from emberwatch.settings import DEFAULTS, Settings
 
 _FOREVER = 2**62
@@ -32,8 +31,7 @@ _CELLS = 4_000_000  # similarities held at once by one task
 
 def _prepare_queries(queries: DataFrame) -> DataFrame:
     at = F.unix_micros("at") if "at" in queries.columns else F.lit(0).cast("bigint")
-    # a query without direction matches nothing
-    return queries.where(~is_zero(F.col("embedding"))).select("query_id", "embedding", at.alias("at"))
+    return queries.select("query_id", "embedding", at.alias("at"))
 
 
 def _prepare_vectors(vectors: DataFrame, namespace: str | None) -> DataFrame:
@@ -64,6 +62,8 @@ class VectorBlock:
         self.end = pdf["valid_to"].to_numpy()
 
     def best(self, queries: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+        # a query without direction matches nothing
+        queries = queries[[bool(np.any(v)) for v in queries["embedding"]]]
         n = len(self.ids)
         step = max(1, _CELLS // n)
         for lo in range(0, len(queries), step):
@@ -214,7 +214,8 @@ def _grid(q: DataFrame, v: DataFrame, k: int, conf: Settings) -> DataFrame:
     def score(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(vs):
             return empty
-        return pd.concat(VectorBlock(vs).best(qs, k), ignore_index=True)
+        found = list(VectorBlock(vs).best(qs, k))
+        return pd.concat(found, ignore_index=True) if found else empty
 
     keys = ["bucket", "qb", "vb"]
     return (
