@@ -109,9 +109,10 @@ def display_columns(df: DataFrame) -> DataFrame:
         {
             "service_text": named,
             "time_text": F.coalesce(F.date_format("created_at", V.TIME_FORMAT), F.lit("-")),
-            "similarity_text": F.coalesce(
-                F.format_string("%.1f%%", F.round(F.col("similarity_score") * 100, 1)), F.lit("-")
-            ),
+            "similarity_text": F.when(
+                F.col("similarity_score").isNotNull(),
+                F.format_string("%.1f%%", F.round(F.col("similarity_score") * 100, 1)),
+            ).otherwise("-"),
         }
     )
 

@@ -12,9 +12,10 @@ from emberwatch import Settings
 from emberwatch.cluster_io import ensure_checkpoint_dir
 from emberwatch.functions import explain, logs
 from emberwatch.functions import fixed_values as V
-from emberwatch.operators import decide, embed, knn, listing, retrieve, tables, vectors
+from emberwatch.operators import cluster, decide, embed, knn, listing, retrieve, tables, vectors
 from emberwatch.plans import knowledge, replay, triage
 from emberwatch.sources import sinks
+from emberwatch.streaming import jobs
 from emberwatch.sources import tables as sources
 from fixtures import oracle as O
 from fixtures.views import Views
@@ -241,22 +242,16 @@ def top_recent_knowledge(v: Views):
 # --- log parsing: every field over alerts, knowledge samples, documents and pages alike -----------------
 _LOGS = {
     "log_inputs": "SELECT concat('a', id) AS key, raw_log AS body FROM alerts_src UNION ALL "
-    "SELECT concat('k', id), raw_log_sample FROM kb UNION ALL SELECT concat('p', page_id), html FROM pages "
-    "WHERE regexp_full_match(html, '[\\x00-\\x7F]*')",
+    "SELECT concat('k', id), raw_log_sample FROM kb UNION ALL SELECT concat('p', page_id), html FROM pages",
 }
 _LOGS["log_rows"] = O.parse("log_inputs", "body")
 
 
 def log_rows(v: Views) -> DataFrame:
-    """The SQL engine's character classes are ASCII, so pages with other characters are left to the
-    tests; every alert and knowledge sample is included."""
     inputs = (
         v.payloads().selectExpr("concat('a', id) AS key", "raw_log AS body")
         .unionByName(v.kb().selectExpr("concat('k', id) AS key", "raw_log_sample AS body"))
-        .unionByName(
-            v.table("pages").where(F.col("html").rlike(r"\A[\x00-\x7F]*\z"))
-            .selectExpr("concat('p', page_id) AS key", "html AS body")
-        )
+        .unionByName(v.table("pages").selectExpr("concat('p', page_id) AS key", "html AS body"))
     )
     return logs.parse_logs(inputs, "body")
 
@@ -557,7 +552,7 @@ def dec_decide(v: Views):
     )
 
 
-@query("""SELECT m.id, coalesce(string_agg(concat(s.name, '/', a.risk_level, '/', a.label), ',' ORDER BY s.pos), '') AS actions
+@query("""SELECT m.id, coalesce(string_agg(s.name || '/' || a.risk_level || '/' || a.label, ',' ORDER BY s.pos), '') AS actions
   FROM merged m LEFT JOIN suggested s ON s.id = m.id LEFT JOIN action_rows a ON a.name = s.name GROUP BY m.id""")
 def dec_suggest_actions(v: Views):
     return triaged(v).diagnosed.select(
@@ -729,8 +724,7 @@ def flow_matched_by_service(v: Views):
 
 
 _DOCS = {
-    "doc_rows": O.parse("(SELECT doc_id + 1000 AS id, text AS raw_log_sample FROM documents "
-                        "WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))", "raw_log_sample"),
+    "doc_rows": O.parse("(SELECT doc_id + 1000 AS id, text AS raw_log_sample FROM documents)", "raw_log_sample"),
     "all_texts": "SELECT DISTINCT canonical_text AS text FROM doc_rows",
     "digest": "SELECT text, round(sum(x * (bucket + 1)), 3) AS digest FROM unit_vec GROUP BY text",
 }
@@ -739,7 +733,7 @@ _DOCS = {
 @query("""SELECT d.id, coalesce(g.digest, 0) AS digest, 'manual' AS source FROM doc_rows d
   LEFT JOIN digest g ON g.text = d.canonical_text""", _DOCS)
 def flow_add_knowledge(v: Views):
-    docs = v.table("documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    docs = v.table("documents")
     raw = docs.selectExpr(
         "doc_id + 1000 AS id", "CAST(NULL AS string) AS error_type", "concat('doc ', doc_id) AS title",
         "text AS raw_log_sample", "CAST(NULL AS string) AS root_cause", "'' AS user_guide", "'' AS engineer_guide",
@@ -816,3 +810,127 @@ def _replayed(v: Views) -> replay.Replay:
   LEFT JOIN (SELECT alert_id, max(id) AS id FROM replay_added GROUP BY 1) d ON d.alert_id = p.id""", _REPLAY)
 def flow_replay(v: Views):
     return _replayed(v).alerts.select("id", "similarity_score", "match_status", "matched_knowledge_id")
+
+
+# --- clusters and streams -------------------------------------------------------------------------------------------
+WINDOW = 1800
+_PAIRS = {
+    "pair_cells": f"SELECT DISTINCT canonical_text AS text, floor(epoch_us(created_at) / {WINDOW * 1_000_000})::BIGINT AS cell FROM parsed",
+    "pair_dots": "SELECT ua.text AS ta, ub.text AS tb, round(sum(ua.x * ub.x) / (la.norm * lb.norm), 6) AS similarity "
+    "FROM unit_vec ua JOIN unit_vec ub ON ua.bucket = ub.bucket AND md5(ua.text) < md5(ub.text) "
+    "JOIN unit_len la ON la.text = ua.text JOIN unit_len lb ON lb.text = ub.text GROUP BY ua.text, ub.text, la.norm, lb.norm",
+    "all_texts": "SELECT text FROM alert_texts",
+}
+
+
+@query("""SELECT DISTINCT md5(ta) AS text_a, md5(tb) AS text_b, similarity FROM pair_dots d JOIN pair_cells a ON a.text = d.ta
+  JOIN pair_cells b ON b.text = d.tb AND abs(a.cell - b.cell) <= 1 WHERE similarity >= 0.88""", _PAIRS)
+def clu_similar_pairs(v: Views):
+    return cluster.similar_pairs(v.parsed(), WINDOW, 0.88).select(
+        F.lower(F.hex("text_a")).alias("text_a"), F.lower(F.hex("text_b")).alias("text_b"), "similarity"
+    )
+
+
+@query()
+def clu_cluster_alerts(v: Views):
+    return cluster.cluster_alerts(v.parsed(), WINDOW)
+
+
+# summaries and notices are checked on clusters that SQL can state: runs of one user and event type
+_GROUPS = {
+    "members": "SELECT e.user_id * 10 + length(e.event_type) AS cluster_key, a.* FROM alerts_src a JOIN events e ON e.event_id = a.id",
+    "member_counts": "SELECT cluster_key, count(*)::BIGINT AS n, min(created_at) AS first_seen, "
+    "list_sort(list_distinct(list(nullif(service, '')))) AS services FROM members GROUP BY cluster_key",
+    "member_examples": "SELECT cluster_key, list(left(raw_log, 200) ORDER BY r) AS examples FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY cluster_key ORDER BY created_at, id) AS r FROM members) WHERE r <= 3 GROUP BY cluster_key",
+}
+
+
+def members(v: Views) -> DataFrame:
+    key = v.table("events").selectExpr("event_id AS id", "user_id * 10 + length(event_type) AS cluster_key")
+    return v.payloads().join(key, "id")
+
+
+@query("""SELECT c.cluster_key, c.n AS count, array_to_string(c.services, ',') AS services, array_to_string(e.examples, '|') AS examples,
+  strftime(c.first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen FROM member_counts c JOIN member_examples e USING (cluster_key) WHERE c.n >= 2""", _GROUPS)
+def agg_cluster_summary(v: Views):
+    return cluster.cluster_summary(members(v)).select(
+        "cluster_key", "count", F.array_join("services", ",").alias("services"),
+        F.array_join("examples", "|").alias("examples"), stamp("first_seen"),
+    )
+
+
+@query("""SELECT c.cluster_key, concat('📢 聚合告警 · ', c.n, ' 条相似异常 · ', s) AS title,
+  concat('在过去 30 分钟内检测到 **', c.n, '** 条高度相似的异常，涉及服务：**', s, '**。', chr(10),
+  '初步判断为同一根因引起（例如：共享的数据库/缓存抖动），正在合并处理。', chr(10), chr(10), '**示例日志：**', chr(10),
+  array_to_string(list_transform(e.examples, lambda x: concat('- `', x, '`')), chr(10))) AS markdown
+  FROM (SELECT *, coalesce(nullif(array_to_string(services, ', '), ''), '多个服务') AS s FROM member_counts) c
+  JOIN member_examples e USING (cluster_key) WHERE c.n >= 2""", _GROUPS)
+def txt_render_cluster_notifications(v: Views):
+    notices = explain.render_cluster_notifications(cluster.cluster_summary(members(v)), WINDOW)
+    return notices.select("cluster_key", "title", "markdown")
+
+
+def alert_stream(v: Views) -> DataFrame:
+    """The alerts as files in time order, read back one file per micro-batch."""
+    path = fresh_path(v)
+    for frm, to in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2025-01-01")):
+        part = v.payloads().where((F.col("created_at") >= frm) & (F.col("created_at") < to))
+        part.write.mode("append").parquet(path)
+    extra = ("id bigint", "created_at timestamp")
+    return sources.stream_alerts(v.spark, path, "parquet", extra, maxFilesPerTrigger="1")
+
+
+@query("SELECT id, service, server_ip, match_status, matched_knowledge_id, similarity_score, plain_language AS ai_summary FROM sections")
+def str_triage(v: Views):
+    out, mark = fresh_path(v), fresh_path(v)
+    vecs = v.vectors()
+    jobs.stream_triage(alert_stream(v), lambda s: v.kb(), lambda s: vecs, out, mark, available_now=True).awaitTermination()
+    return v.spark.read.parquet(f"{out}/alerts").select(
+        "id", "service", "server_ip", "match_status", "matched_knowledge_id", "similarity_score", "ai_summary"
+    )
+
+
+@query()
+def str_clusters(v: Views):
+    out, mark = fresh_path(v), fresh_path(v)
+    jobs.stream_clusters(alert_stream(v), out, mark, WINDOW, available_now=True).awaitTermination()
+    return v.spark.read.parquet(f"{out}/members").select("id", "cluster_key", "is_leader", "similarity")
+
+
+@query()
+def str_clusters_keyed(v: Views):
+    out, mark = fresh_path(v), fresh_path(v)
+    jobs.stream_clusters(alert_stream(v), out, mark, WINDOW, key="service", available_now=True).awaitTermination()
+    closed = v.spark.read.parquet(f"{out}/clusters").drop("batch")
+    return closed.unionByName(jobs.open_clusters(v.spark, out, WINDOW, 2)).select("cluster_key", "count", "title", "markdown")
+
+
+@query("SELECT id, external_id, service, raw_log FROM alerts_src")
+def src_stream_alerts(v: Views):
+    out, mark = fresh_path(v), fresh_path(v)
+    alert_stream(v).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return v.spark.read.parquet(out).select("id", "external_id", "service", "raw_log")
+
+
+_SNAP = "SELECT namespace, id, text, round(list_sum(embedding)::DOUBLE, 3) AS total FROM points"
+
+
+@query(_SNAP)
+def src_vector_snapshot(v: Views):
+    """The given vectors written as one snapshot file per namespace and hundred ids, and read back."""
+    path = fresh_path(v)
+    rows = v.points().withColumn("part", F.floor(F.col("id") / 100)).withColumn(
+        "entry", F.concat(F.lit('"'), F.col("id"), F.lit('":["'), F.col("text"), F.lit('",'),
+                          F.to_json("embedding"), F.lit("]"))
+    ).drop("embedding")
+    blobs = rows.groupBy("namespace", "part").agg(F.array_join(F.collect_list("entry"), ",").alias("body")).select(
+        F.concat(F.lit('{"magic":"m1","data":{"'), F.col("namespace"), F.lit('":{'), F.col("body"), F.lit("}}}"))
+        .alias("value"), "namespace", "part",
+    )
+    blobs.write.partitionBy("namespace", "part").text(path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    read = sources.import_vector_snapshot(v.spark, f"{path}/*/*/*.txt", "m1")
+    return read.select("namespace", "id", "text", F.round(total, 3).alias("total"))
