@@ -42,7 +42,11 @@ def _prepare_vectors(vectors: DataFrame, namespace: str | None) -> DataFrame:
         end = F.coalesce(F.unix_micros("valid_to"), F.lit(_FOREVER))
     else:
         start, end = F.lit(-_FOREVER), F.lit(_FOREVER)
-    return vectors.select("id", "embedding", start.alias("valid_from"), end.alias("valid_to"))
+    # new column identities, so that a table can be searched for its own rows
+    return vectors.select(
+        F.col("id").alias("id"), F.col("embedding").alias("embedding"),
+        start.alias("valid_from"), end.alias("valid_to"),
+    )
 
 
 def unit_rows(column: pd.Series) -> np.ndarray:

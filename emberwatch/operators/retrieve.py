@@ -143,10 +143,14 @@ def retrieve_asof(
     )
 
 
-def _change_points(vectors: DataFrame, limit: int = 512):
+# more changes than this are not spelled out in the plan
+_CHANGE_LIMIT = 512
+
+
+def _change_points(vectors: DataFrame):
     """Sorted times at which some vector appears or disappears, as literals; None when many."""
     both = F.explode(F.array(F.unix_micros("valid_from"), F.unix_micros("valid_to"))).alias("t")
-    found = vectors.select(both).where("t IS NOT NULL").distinct().limit(limit + 1).collect()
-    if len(found) > limit:
+    found = vectors.select(both).where("t IS NOT NULL").distinct().limit(_CHANGE_LIMIT + 1).collect()
+    if len(found) > _CHANGE_LIMIT:
         return None
     return [F.timestamp_micros(F.lit(t)) for t in sorted(r["t"] for r in found)]
