@@ -33,7 +33,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def rows_up_to(df: DataFrame, limit: int) -> int | None:
-    """Number of rows when there are at most ``limit``; None when there are more."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for CPU-heavy work on an input with fewer partitions than cores, such as a
+    few small files. An input that already fills the cluster is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

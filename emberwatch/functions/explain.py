@@ -114,31 +114,53 @@ def triage_prompts(df: DataFrame, cluster_summary: str | None = None) -> DataFra
     return df.withColumn("prompt", triage_prompt(summary))
 
 
-def rule_triage(df: DataFrame) -> DataFrame:
-    """Add ``answer``: the deterministic three-section text for ``raw_log`` and ``hits``."""
+def _engineer_text() -> Column:
+    """First history solution (or the generic steps), after the log it comes from."""
     first = F.try_element_at(F.col("hits"), F.lit(1))
     solution = strip(F.coalesce(first["engineer_guide"], F.lit("")))
     sample = strip(or_else(first["raw_log"], first["title"]))
     steps = or_else(solution, F.lit(V.GENERIC_STEPS))
-    engineer = F.when(
+    return F.when(
         F.coalesce(sample, F.lit("")) != "",
         F.concat(F.lit(V.HISTORY_OPEN), F.left(sample, F.lit(80)), F.lit(V.HISTORY_CLOSE), steps),
     ).otherwise(steps)
-    # blank ends of the log do not matter to keyword rules
+
+
+def rule_triage(df: DataFrame) -> DataFrame:
+    """Add ``answer``: the deterministic three-section text for ``raw_log`` and ``hits``."""
     return df.withColumn(
         "answer",
         F.concat(
+            # blank ends of the log do not matter to keyword rules
             F.lit(V.HEAD_PLAIN + "\n"), plain_language(F.col("raw_log")), F.lit("\n\n"),
             F.lit(V.HEAD_ACTIONS + "\n" + V.USER_ACTIONS + "\n\n"),
-            F.lit(V.HEAD_ENGINEER + "\n"), engineer, F.lit("\n"),
+            F.lit(V.HEAD_ENGINEER + "\n"), _engineer_text(), F.lit("\n"),
         ),
     )
 
 
+def rule_report(df: DataFrame) -> DataFrame:
+    """The three texts of the rule-based report, without composing an answer and reading it back.
+
+    The same as ``parse_triage(rule_triage(df))``: the first two sections are fixed sentences, and
+    the last one runs to the end of the answer whatever it contains."""
+    return df.withColumns(
+        {
+            "plain_language": plain_language(F.col("raw_log")),
+            "user_actions": F.lit(V.USER_ACTIONS),
+            "engineer_guide": _clean(_engineer_text()),
+        }
+    )
+
+
+def _clean(c: Column) -> Column:
+    return F.btrim(strip(c), F.lit("` \n"))
+
+
 def _section(answer: Column, head: str, stops: str) -> Column:
     icon, name = head.split(" ", 1)
     found = F.regexp_extract(answer, rf"(?sU){icon}\s*{name}\s*(.*?)(?={stops}\z)", 1)
-    return F.btrim(strip(found), F.lit("` \n"))
+    return _clean(found)
 
 
 def parse_triage(df: DataFrame, answer: str = "answer") -> DataFrame:

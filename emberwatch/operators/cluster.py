@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberwatch.cluster_io import cut, rows_up_to
+from emberwatch.cluster_io import cut
 from emberwatch.functions import fixed_values as V
 from emberwatch.functions.logs import parse_logs
 from emberwatch.operators.components import (
@@ -76,9 +76,9 @@ def similar_pairs(
     Texts, not alerts: a burst of n equal alerts adds nothing to the result."""
     base = _base(alerts, None)
     vec = cut(embed_texts(distinct_texts(base, "canonical_text"), conf.dim))
-    cells = _text_cells(base, window_s * 1_000_000)
+    cells = cut(_text_cells(base, window_s * 1_000_000))
     limit = round(threshold * 1e6)
-    if rows_up_to(vec, conf.block_rows) is not None:
+    if vec.count() <= conf.block_rows:
         return _pairs_by_text(vec, cells, limit)
     members = join_lookup(_neighbours(cells), vec, "text_key", "inner", conf)
     blocks = block_pairs(members, ["cell"], conf)
@@ -142,7 +142,7 @@ def _base(alerts: DataFrame, key: str | None) -> DataFrame:
 def _components(base: DataFrame, vec: DataFrame, window_us: int, threshold: float, conf: Settings):
     """``(text_key, comp)``. Few texts are compared outright; many only within cells of time."""
     keyed = vec.withColumn("node", F.xxhash64("text_key"))
-    if rows_up_to(vec, conf.block_rows) is not None:
+    if vec.count() <= conf.block_rows:
         one = keyed.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
         labels = star_edges(one, [], threshold).withColumnRenamed("hub", "comp")
     else:
@@ -155,7 +155,8 @@ def _components(base: DataFrame, vec: DataFrame, window_us: int, threshold: floa
 
 def _blocks(rows: DataFrame, scan_rows: int) -> DataFrame:
     """``(bin, tick, block)``: whole ticks in time order, about ``scan_rows`` rows per block. The
-    window runs over the ticks of a bin, whose number is bounded by the time span."""
+    window runs over the ticks of a bin, whose number is bounded by the time span (2.6 million
+    seconds in a month), not by the number of alerts."""
     ticks = rows.groupBy("bin", "tick").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("bin").orderBy("tick")) - F.col("n")
     return ticks.select("bin", "tick", F.floor(before / F.lit(scan_rows)).alias("block"))
@@ -278,13 +279,18 @@ def cluster_alerts(
     if (window_s * 1_000_000) % tick_us:
         raise ValueError("the window must be a whole number of ticks")
     window_us, window_ticks = window_s * 1_000_000, window_s * 1_000_000 // tick_us
-    base = _base(alerts, key)
-    real, silent = base.where("canonical_text <> ''"), base.where("canonical_text = ''")
-    tick = F.floor(F.col("ts") / F.lit(tick_us)).alias("tick")
+    with_text = _base(alerts, key)
     known = _base(open_leaders, key) if open_leaders is not None else None
-
+    all_texts = with_text if known is None else with_text.unionByName(known)
+    # no filter on the parsed text: it would be pushed below the parsing and parse every log twice
+    vec = cut(embed_texts(distinct_texts(all_texts, "canonical_text"), conf.dim))
+    # from here on only (id, time, key of the text): logs are parsed twice, not at every use
+    base = cut(with_text.withColumn("blank", F.col("canonical_text") == "").drop("canonical_text"))
+    real, silent = base.where("NOT blank").drop("blank"), base.where("blank")
+    tick = F.floor(F.col("ts") / F.lit(tick_us)).alias("tick")
+    if known is not None:
+        known = known.drop("canonical_text")
     all_rows = real if known is None else real.unionByName(known)
-    vec = cut(embed_texts(distinct_texts(all_rows, "canonical_text"), conf.dim))
     stamp = F.struct("ts", "id")
     reduced = cut(
         real.groupBy("text_key", "scope", tick).agg(

@@ -117,10 +117,9 @@ def knn_fast(
     """Exact top-K with the vectors sent to the tasks when there are at most
     ``conf.broadcast_vectors`` of them; otherwise the same rows from :func:`knn`."""
     prepared = _prepare_vectors(vectors, namespace)
-    limit = conf.broadcast_vectors
-    local = prepared.limit(limit + 1).toArrow()
-    if local.num_rows > limit:
+    if prepared.select("id").count() > conf.broadcast_vectors:
         return knn(queries, vectors, k, namespace, conf)
+    local = prepared.toArrow()  # a measured, small number of rows
     schema = _hit_schema(queries)
     ranked = f"query_id {schema.split(' ')[1].rstrip(',')}, rank int, id bigint, similarity double"
     if local.num_rows == 0:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.cluster_io import cut
 from emberwatch.functions.logs import parse_logs
 from emberwatch.operators.embed import embed_texts, text_key
 from emberwatch.operators.knn import knn_fast
@@ -29,10 +30,12 @@ def hit_columns(kb: DataFrame) -> DataFrame:
     )
 
 
-def hit_lists(ranked: DataFrame, kb: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
+def hit_lists(
+    ranked: DataFrame, kb: DataFrame, conf: Settings = DEFAULTS, size: tuple[int, int] | None = None
+) -> DataFrame:
     """``(query_id, hits)`` from ranked neighbours. K was applied before, so the filter on active
     knowledge can leave fewer than K hits. A list holds at most K entries."""
-    joined = join_lookup(ranked, hit_columns(kb), "id", "inner", conf)
+    joined = join_lookup(ranked, hit_columns(kb), "id", "inner", conf, size)
     hit = F.struct(
         F.col("id").alias("knowledge_id"), "title", "similarity", "error_type", "raw_log",
         "user_guide", "engineer_guide", "root_cause",
@@ -41,16 +44,17 @@ def hit_lists(ranked: DataFrame, kb: DataFrame, conf: Settings = DEFAULTS) -> Da
     return joined.groupBy("query_id").agg(F.transform(ordered, lambda r: r["hit"]).alias("hits"))
 
 
-def text_hits(texts: DataFrame, vectors: DataFrame, kb: DataFrame, k: int, conf: Settings) -> DataFrame:
+def text_hits(
+    texts: DataFrame, vectors: DataFrame, kb: DataFrame, k: int, conf: Settings, size=None
+) -> DataFrame:
     """``(text_key, hits)`` for distinct texts."""
     queries = embed_texts(texts, conf.dim).withColumnRenamed("text_key", "query_id")
     ranked = knn_fast(queries, vectors, k, KNOWLEDGE, conf)
-    return hit_lists(ranked, kb, conf).withColumnRenamed("query_id", "text_key")
+    return hit_lists(ranked, kb, conf, size).withColumnRenamed("query_id", "text_key")
 
 
-def hit_bytes(kb: DataFrame, k: int, conf: Settings = DEFAULTS) -> int:
+def hit_bytes(size: tuple[int, int] | None, k: int, conf: Settings = DEFAULTS) -> int:
     """Bytes to expect for one hit list, from the measured size of the knowledge table."""
-    size = measured(hit_columns(kb), conf)
     if size is None:
         return conf.broadcast_bytes  # nothing is broadcast
     return 64 + k * (size[1] // max(size[0], 1) + 64)
@@ -70,8 +74,9 @@ def retrieve(
     """Add ``hits``: the ordered active knowledge rows among the K most similar vectors. Needs
     ``canonical_text``."""
     texts = shared_texts(alerts, "canonical_text")
-    per_text = text_hits(texts, vectors, kb, k, conf)
-    joined = join_per_text(alerts, "canonical_text", per_text, texts, hit_bytes(kb, k, conf), conf)
+    size = measured(hit_columns(kb), conf)
+    per_text = text_hits(texts, vectors, kb, k, conf, size)
+    joined = join_per_text(alerts, "canonical_text", per_text, texts, hit_bytes(size, k, conf), conf)
     return joined.drop("text_key").withColumn("hits", F.coalesce("hits", no_hits()))
 
 
@@ -129,15 +134,16 @@ def retrieve_asof(
         F.substr("text", start + 1).alias("text"),
         "n",
     )
-    by_text = embed_texts(
-        seen.select(text_key(F.col("text")).alias("text_key"), "text").distinct(), conf.dim
+    by_text = cut(
+        embed_texts(seen.select(text_key(F.col("text")).alias("text_key"), "text").distinct(), conf.dim)
     )
     queries = join_lookup(
         seen.withColumn("text_key", text_key(F.col("text"))), by_text, "text_key", "inner", conf
     ).select("query_id", "at", "embedding")
     ranked = knn_fast(queries, vectors, k, KNOWLEDGE, conf)
-    per_pair = hit_lists(ranked, kb, conf).withColumnRenamed("query_id", "text_key")
-    joined = join_per_text(pairs, "_pair", per_pair, texts, hit_bytes(kb, k, conf), conf)
+    size = measured(hit_columns(kb), conf)
+    per_pair = hit_lists(ranked, kb, conf, size).withColumnRenamed("query_id", "text_key")
+    joined = join_per_text(pairs, "_pair", per_pair, texts, hit_bytes(size, k, conf), conf)
     return joined.drop("text_key", "_at", "_pair").withColumn(
         "hits", F.coalesce("hits", no_hits())
     )

@@ -28,14 +28,14 @@ def _bytes_of(field: T.StructField) -> Column:
 
 
 def measured(df: DataFrame, conf: Settings = DEFAULTS) -> tuple[int, int] | None:
-    """(rows, bytes) of a table within the broadcast limits; None for a larger one. Reads at most
-    ``broadcast_rows + 1`` rows."""
+    """(rows, bytes) of a table within the broadcast limits; None for a larger one.
+
+    A plain aggregate: every task sends one row. (A limit before the count would send the limit
+    from each of them to a single task.)"""
     size = sum((_bytes_of(f) for f in df.schema.fields), F.lit(0))
-    got = (
-        df.limit(conf.broadcast_rows + 1)
-        .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
-        .first()
-    )
+    got = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")
+    ).first()
     if got["rows"] > conf.broadcast_rows or got["bytes"] > conf.broadcast_bytes:
         return None
     return got["rows"], got["bytes"]
@@ -47,9 +47,12 @@ def join_lookup(
     key: str | list[str],
     how: str = "left",
     conf: Settings = DEFAULTS,
+    size: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Join ``rows`` to ``lookup`` (unique ``key``); ``how`` is left, inner, left_anti or left_semi."""
-    if measured(lookup, conf) is not None:
+    """Join ``rows`` to ``lookup`` (unique ``key``); ``how`` is left, inner, left_anti or left_semi.
+
+    ``size`` is the result of :func:`measured` when the caller has it already."""
+    if (size or measured(lookup, conf)) is not None:
         return rows.join(F.broadcast(lookup), key, how)
     keys = [key] if isinstance(key, str) else key
     counts = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))

@@ -103,8 +103,9 @@ def bump_occurrences(kb: DataFrame, triaged: DataFrame) -> DataFrame:
     )
     base = F.coalesce(F.nullif("occurrence_count", F.lit(0)), F.lit(1))
     bumped = F.when(F.col("_hits").isNull(), F.col("occurrence_count")).otherwise(base + F.col("_hits"))
+    # one row per id on both sides: no key can be hot
     return (
-        join_lookup(kb, hits, "id", "left")
+        kb.join(hits, "id", "left")
         .withColumn("occurrence_count", bumped.cast("int"))
         .select(*kb.columns)
     )

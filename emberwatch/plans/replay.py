@@ -12,14 +12,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.cluster_io import cut
 from emberwatch.operators.skew import join_lookup
+from emberwatch.operators.tables import bump_occurrences
 from emberwatch.plans.knowledge import (
     last_id,
     resolution_rows,
     structured_resolutions,
     vectors_of,
 )
-from emberwatch.operators.tables import bump_occurrences
 from emberwatch.plans.triage import Triage, triage_asof
 from emberwatch.settings import DEFAULTS, Settings
 
@@ -62,7 +63,7 @@ def replay(
     )
     dated_kb = join_lookup(history, ended, "id", "left", conf)
     spans = dated_kb.select("id", F.col("created_at").alias("valid_from"), "valid_to")
-    vectors = vectors_of(history, conf.dim).join(spans, "id")
+    vectors = cut(vectors_of(history, conf.dim).join(spans, "id"))
     # inside its span a row that was deleted later was still active
     shown = dated_kb.withColumn("is_active", F.col("is_active") | F.col("valid_to").isNotNull())
     result = triage_asof(alerts, shown.drop("valid_to"), vectors, conf)

@@ -14,14 +14,14 @@ from emberwatch import schemas
 from emberwatch.functions.explain import (
     parse_triage,
     render_notifications,
-    rule_triage,
+    rule_report,
     triage_prompts,
 )
 from emberwatch.functions.logs import parse_logs
 from emberwatch.operators.decide import decide, suggest_actions
 from emberwatch.operators.listing import merge_payload, notify_gate
-from emberwatch.operators.retrieve import hit_bytes, no_hits, retrieve_asof, text_hits
-from emberwatch.operators.skew import join_per_text, shared_texts
+from emberwatch.operators.retrieve import hit_bytes, hit_columns, no_hits, retrieve_asof, text_hits
+from emberwatch.operators.skew import join_per_text, measured, shared_texts
 from emberwatch.operators.tables import bump_occurrences
 from emberwatch.settings import DEFAULTS, Settings
 
@@ -103,7 +103,7 @@ def explain_alerts(
 ) -> DataFrame:
     """Add the three texts of the report, by rule or by the user's model."""
     if make_model is None:
-        return parse_triage(rule_triage(diagnosed)).drop("answer")
+        return rule_report(diagnosed)
     summary = "cluster_summary" if "cluster_summary" in diagnosed.columns else None
     asked = complete_batch(triage_prompts(diagnosed, summary), make_model, system)
     return parse_triage(asked).drop("prompt", "answer")
@@ -124,12 +124,13 @@ def triage(
     """
     parsed = merge_payload(parse_logs(alerts))
     texts = shared_texts(parsed, "canonical_text")
-    hits = text_hits(texts, vectors, kb, conf.top_k, conf)
+    size = measured(hit_columns(kb), conf)
+    hits = text_hits(texts, vectors, kb, conf.top_k, conf, size)
     decided = suggest_actions(
         decide(hits, conf.match_threshold), conf.action_threshold, conf.suggest_actions
     )
-    size = hit_bytes(kb, conf.top_k, conf) + 512
-    joined = join_per_text(parsed, "canonical_text", decided, texts, size, conf).drop("text_key")
+    row_bytes = hit_bytes(size, conf.top_k, conf) + 512
+    joined = join_per_text(parsed, "canonical_text", decided, texts, row_bytes, conf).drop("text_key")
     return Triage(explain_alerts(_without_hits(joined), make_model, system), kb)
 
 

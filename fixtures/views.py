@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberwatch.cluster_io import spread
 from emberwatch.functions.logs import parse_logs
 from emberwatch.plans.knowledge import vectors_of
 from emberwatch.sources.tables import with_resolution_defaults
@@ -25,7 +26,7 @@ class Views:
 
     def payloads(self) -> DataFrame:
         """Alert payloads with their id and arrival time: one per event."""
-        return self.table("events").selectExpr(*exprs(seeds.PAYLOAD_ROW))
+        return spread(self.table("events")).selectExpr(*exprs(seeds.PAYLOAD_ROW))
 
     def parsed(self) -> DataFrame:
         return parse_logs(self.payloads())
