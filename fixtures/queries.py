@@ -871,14 +871,17 @@ def txt_render_cluster_notifications(v: Views):
     return notices.select("cluster_key", "title", "markdown")
 
 
+FILES = 8
+
+
 def alert_stream(v: Views) -> DataFrame:
-    """The alerts as files in time order, read back one file per micro-batch."""
+    """The alerts as files in time order, read back one time slice (eight files) per micro-batch."""
     path = fresh_path(v)
     for frm, to in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2025-01-01")):
         part = v.payloads().where((F.col("created_at") >= frm) & (F.col("created_at") < to))
-        part.write.mode("append").parquet(path)
+        part.repartition(FILES).write.mode("append").parquet(path)
     extra = ("id bigint", "created_at timestamp")
-    return sources.stream_alerts(v.spark, path, "parquet", extra, maxFilesPerTrigger="1")
+    return sources.stream_alerts(v.spark, path, "parquet", extra, maxFilesPerTrigger=str(FILES))
 
 
 @query("SELECT id, service, server_ip, match_status, matched_knowledge_id, similarity_score, plain_language AS ai_summary FROM sections")
