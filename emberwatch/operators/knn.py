@@ -192,7 +192,7 @@ def _with_buckets(df: DataFrame, tables: int, bits: int, seed: int) -> DataFrame
 
 def _grid(q: DataFrame, v: DataFrame, k: int, conf: Settings) -> DataFrame:
     """Every query block meets every vector block of its bucket; blocks have a bounded size."""
-    rows = F.lit(conf.block_rows)
+    rows = F.lit(conf.knn_block_rows)
     q_sizes = q.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / rows).alias("q_blocks"))
     v_sizes = v.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / rows).alias("v_blocks"))
     # one row per bucket: one in all for the exact join, at most tables * 2**bits otherwise

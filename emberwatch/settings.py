@@ -23,7 +23,10 @@ class Settings:
     broadcast_vectors: int = 16_384
     broadcast_rows: int = 200_000
     broadcast_bytes: int = 64 << 20
-    # Rows per side of one block in a blocked similarity join.
+    # Rows per side of one task of the blocked top-K join. Q queries and V vectors are copied
+    # 2*Q*V/knn_block_rows times in all, so blocks are as large as a task's memory allows.
+    knn_block_rows: int = 32_768
+    # Rows per block when similar texts are looked for.
     block_rows: int = 4_096
     # A key with more than 1/hot_fraction of all rows is split when it is joined.
     hot_fraction: int = 500

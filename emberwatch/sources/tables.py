@@ -24,6 +24,13 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).format(fmt).load(path).withColumn(_BAD, F.lit(None).cast("string"))
 
 
+def _complete(df: DataFrame, *required: str) -> DataFrame:
+    """Records that parsed and carry every required field."""
+    for name in required:
+        df = df.where(F.col(name).isNotNull())
+    return df.where(F.col(_BAD).isNull()).drop(_BAD)
+
+
 def split_payloads(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) alert payloads: a record must parse and its ``raw_log`` must not be empty
     (blanks are allowed). Missing severities get their default."""
@@ -57,7 +64,10 @@ def read_knowledge(
     spark: SparkSession, path: str, fmt: str = "json", extra: tuple[str, ...] = ()
 ) -> DataFrame:
     schema = _with(schemas.KNOWLEDGE_PAYLOAD, *extra)
-    return with_knowledge_defaults(_read(spark, path, fmt, schema).where(F.col(_BAD).isNull()).drop(_BAD))
+    rows = _complete(
+        _read(spark, path, fmt, schema), "title", "raw_log_sample", "user_guide", "engineer_guide"
+    )
+    return with_knowledge_defaults(rows)
 
 
 def with_resolution_defaults(df: DataFrame) -> DataFrame:
@@ -73,7 +83,8 @@ def read_resolutions(
     spark: SparkSession, path: str, fmt: str = "json", extra: tuple[str, ...] = ()
 ) -> DataFrame:
     schema = _with(schemas.RESOLUTION, *extra)
-    return with_resolution_defaults(_read(spark, path, fmt, schema).where(F.col(_BAD).isNull()).drop(_BAD))
+    rows = _complete(_read(spark, path, fmt, schema), "alert_id", "root_cause", "resolution")
+    return with_resolution_defaults(rows)
 
 
 def action_catalog(spark: SparkSession) -> DataFrame:

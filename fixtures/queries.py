@@ -403,7 +403,7 @@ def _ranks(df: DataFrame) -> DataFrame:
 @query(_KNN)
 def vec_knn(v: Views):
     q = v.points().select(F.col("id").alias("query_id"), "embedding")
-    return _ranks(knn.knn(q, v.points(), 5, "even", Settings(block_rows=512)))
+    return _ranks(knn.knn(q, v.points(), 5, "even", Settings(knn_block_rows=512)))
 
 
 @query(_KNN)

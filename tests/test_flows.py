@@ -106,6 +106,19 @@ def test_parse_triage_without_sections(spark):
     assert b["engineer_guide"] == "only" and b["plain_language"].startswith("👨‍💻")
 
 
+def test_rule_report_equals_parsed_answer(spark, make_alerts, make_kb):
+    from emberwatch.functions.logs import parse_logs
+    from emberwatch.operators.retrieve import retrieve
+
+    kb = make_kb([SEED, (2, "disk full on node", "disk", "", "` steps 🛠️ --- 👨‍💻 more \n"), (3, "tls expired", "tls", "", "")])
+    logs = [SEED[1], "disk full on node", "tls expired", "gpu fault", "  "]
+    found = retrieve(parse_logs(make_alerts([(i, 0.0, None, t) for i, t in enumerate(logs)])), knowledge.vectors_of(kb), kb, 1)
+    pick = ["id", "plain_language", "user_actions", "engineer_guide"]
+    a = explain.rule_report(found).select(*pick)
+    b = explain.parse_triage(explain.rule_triage(found)).select(*pick)
+    assert a.count() == 5 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 def test_parse_resolution_fields(spark):
     text = "【错误类型】 : Redis 超时 \n【标题】:\n【根因】: cause\nmore"
     p = explain.parse_resolution(spark.createDataFrame([(text,)], "answer string")).first()["parsed"]
@@ -237,8 +250,10 @@ def test_sources(spark, tmp_path):
     good, bad = sources.read_alerts(spark, str(tmp_path / "a.json"))
     assert {(r["raw_log"], r["severity"]) for r in good.collect()} == {("boom", "fatal"), ("   ", "error")}
     assert bad.count() == 3
-    (tmp_path / "k.json").write_text(json.dumps({"title": "t", "raw_log_sample": "x", "tags": ["a", "b"]}) + "\n"
-                                     + json.dumps({"title": "u", "tags": [], "source": "import"}))
+    full = {"raw_log_sample": "x", "user_guide": "u", "engineer_guide": "e"}
+    items = [{**full, "title": "t", "tags": ["a", "b"]}, {**full, "title": "u", "tags": [], "source": "import"}, {"title": "v"}]
+    (tmp_path / "k.json").write_text("\n".join(map(json.dumps, items)) + "\n{oops\n")
+    assert sources.read_knowledge(spark, str(tmp_path / "k.json")).count() == 2
     rows = {r["title"]: r for r in sources.read_knowledge(spark, str(tmp_path / "k.json")).collect()}
     assert (rows["t"]["tags"], rows["t"]["source"], rows["t"]["occurrence_count"]) == ("a,b", "manual", 1)
     assert rows["u"]["tags"] is None and rows["u"]["source"] == "import"

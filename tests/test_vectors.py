@@ -108,7 +108,7 @@ def test_ties_blocks_and_recall(spark):
     m /= np.linalg.norm(m, axis=1)[:, None]
     sims = np.round(m @ m.T, 6)
     want = {(i, int(j)) for i in range(len(m)) for j in sorted(range(len(m)), key=lambda j: (-sims[i, j], j))[:4]}
-    small = Settings(block_rows=32, broadcast_vectors=50)
+    small = Settings(knn_block_rows=32, broadcast_vectors=50)
     for got in (knn.knn_fast(q, v, 4), knn.knn_fast(q, v, 4, conf=small), knn.knn(q, v, 4, conf=small)):
         assert {(r["query_id"], r["id"]) for r in got.collect()} == want
     found = {(r["query_id"], r["id"]) for r in knn.knn_approx(q, v, 4, tables=8, bits=5, conf=small).collect()}
