@@ -4,18 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import bpe, decontaminate, simhash, token_files
+from emberwatch.llm import (
+    bpe, decontaminate, embedding_dedup, language, language_model, simhash, token_files, toxicity, word_pieces,
+)
 from emberwatch.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op6_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_pieces.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.report(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,11 +46,36 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op7_token_files, op9_decontaminate, op10_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_toxicity, op3_embedding_dedup, op4_language_model, op5_simhash, op6_word_pieces, op7_token_files,
+        op8_language, op9_decontaminate, op10_bpe,
+    )
+}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE = {
+    "op3_embedding_dedup": """
+WITH RECURSIVE u AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+g AS (
+  SELECT r, vec_id, label, e, len(e) AS d FROM u
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.label = b.label AND a.d = b.d AND a.r <> b.r
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+c AS (
+  SELECT r AS a, r AS b FROM u
+  UNION
+  SELECT c.a, p.b FROM c JOIN p ON c.b = p.a),
+m AS (SELECT c.a AS r, min(u.vec_id) AS component_id FROM c JOIN u ON u.r = c.b GROUP BY c.a),
+n AS (SELECT a AS r, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM u JOIN m USING (r) LEFT JOIN n USING (r)
+""",
     "op9_decontaminate": rf"""
 WITH words AS (
   SELECT 'd' AS kind, doc_id AS id,

@@ -113,7 +113,7 @@ def route(node: tuple | None, points: np.ndarray, at: np.ndarray, home: np.ndarr
     yield from route(outer, points, at[out], home[out] & ~inside[out], radius, 2 * path + 1)
 
 
-class _Forest:
+class Forest:
     """Union-find over the places of a leaf."""
 
     def __init__(self, size: int):
@@ -138,7 +138,7 @@ class _Forest:
             self.root[max(lo, hi)] = min(lo, hi)
 
 
-def link(points: np.ndarray, living: np.ndarray, asking: np.ndarray, forest: _Forest, radius: int, depth: int = 0) -> None:
+def link(points: np.ndarray, living: np.ndarray, asking: np.ndarray, forest: Forest, radius: int, depth: int = 0) -> None:
     """Join in ``forest`` every pair of a living and an asking place within ``radius``."""
     if not len(living) or not len(asking):
         return
@@ -162,7 +162,7 @@ def link(points: np.ndarray, living: np.ndarray, asking: np.ndarray, forest: _Fo
 
 def leaf_edges(points: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """One edge from each linked place to the first of its links' component in this leaf."""
-    forest = _Forest(len(points))
+    forest = Forest(len(points))
     link(points, np.flatnonzero(home), np.arange(len(points)), forest, radius)
     root = forest.flat()
     at = np.flatnonzero(root != np.arange(len(points)))
