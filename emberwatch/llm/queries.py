@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberwatch.llm import (
-    bpe, decontaminate, embedding_dedup, language, language_model, simhash, token_files, toxicity, word_pieces,
+    bpe, decontaminate, embedding_dedup, language, language_model, pii, simhash, token_files, toxicity, word_pieces,
 )
 from emberwatch.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_toxicity, op3_embedding_dedup, op4_language_model, op5_simhash, op6_word_pieces, op7_token_files,
+        op1_pii, op2_toxicity, op3_embedding_dedup, op4_language_model, op5_simhash, op6_word_pieces, op7_token_files,
         op8_language, op9_decontaminate, op10_bpe,
     )
 }
