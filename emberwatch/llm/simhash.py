@@ -36,7 +36,7 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 LEAF = 512  # points compared block by block
-TASK_POINTS = 8_192  # points living in one leaf of the top tree, about
+TASK_POINTS = 32_768  # points living in one leaf of the top tree, about; fewer leaves, fewer visits
 SAMPLE = 16_384  # points that the top tree is laid out from
 
 
