@@ -31,7 +31,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberwatch.llm.bpe import CACHE, encode_pieces
 from emberwatch.llm.common import new_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,7 +40,7 @@ _PART = "part int, name string, width int, n_docs bigint, n_null bigint, n_ids b
 
 
 class LibraryEncoder:
-    """Encodes with the tokenizers library; pieces that texts repeat are encoded once."""
+    """Encodes with the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,23 +49,13 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.heads: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
 
-    def _fill(self, known: dict[str, bytes], pieces: list[str], found: list[bytes | None], blank: str) -> None:
-        for cache in (self.heads, self.rest):
-            if len(cache) > CACHE:
-                cache.clear()
-        new = list({p for p, ids in zip(pieces, found) if ids is None})
-        coded = self.tokenizer.encode_batch_fast([blank + p for p in new], add_special_tokens=False)
-        for piece, code in zip(new, coded):
-            known[piece] = np.array(code.ids, dtype=f"<u{self.width}").tobytes()
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = known[pieces[i]]
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(encode_pieces(text, self.heads, self.rest, self._fill)) if text else b""
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text; a few texts at a time are held in the library's form."""
+        for lo in range(0, len(texts), 64):
+            part = [t or "" for t in texts[lo:lo + 64]]
+            for code in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                yield np.array(code.ids, dtype=f"<u{self.width}")
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -96,10 +85,9 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_i
         offsets.write(np.zeros(1, "<u8").tobytes())
         while first is not None:
             sizes = np.zeros(first.num_rows, dtype="<u8")
-            for i, text in enumerate(first.column("text")):
-                data = own.encode(text.as_py()) + end
-                ids.write(data)
-                sizes[i] = len(data) // own.width
+            for i, found in enumerate(own.encode(first.column("text").to_pylist())):
+                ids.write(found.tobytes() + end)
+                sizes[i] = len(found) + 1
             total = np.cumsum(sizes, dtype="<u8")
             offsets.write((total + np.uint64(offset)).astype("<u8").tobytes())
             doc = first.column("doc_id").cast(pa.int64())
