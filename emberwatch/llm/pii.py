@@ -270,11 +270,16 @@ def _expected(group: list[Candidate], scores: np.ndarray) -> tuple[float, np.nda
     return ahead[-1], np.exp([ahead[a[k]] + scores[k] + back[b[k]] - ahead[-1] for k in range(len(group))])
 
 
+def _spelt(mail: str, at: str, dot: str) -> str:
+    local, _, domain = mail.partition("@")
+    return local + at + domain.replace(".", dot)
+
+
 # Rewritten forms of what the base rules found, to learn from besides the original.
 FORMS = {
     "email": (
-        lambda s: s.replace("@", " at ").replace(".", " dot "), lambda s: s.replace("@", " [at] ").replace(".", " [dot] "),
-        lambda s: s.replace("@", "(at)"), lambda s: s.replace("@", " (at) ").replace(".", " (dot) "),
+        lambda s: _spelt(s, " at ", " dot "), lambda s: _spelt(s, " [at] ", " [dot] "),
+        lambda s: _spelt(s, "(at)", "."), lambda s: _spelt(s, " (at) ", " (dot) "),
     ),
     "ip": (lambda s: s.replace(".", "[.]"),),
     "card": (
