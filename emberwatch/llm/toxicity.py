@@ -142,22 +142,33 @@ def _sample(train: DataFrame, size: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _fit(features: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, ratio: np.ndarray, rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression over ``ratio * present`` by full gradients with Adam steps."""
-    used, at = np.unique(np.concatenate([*features, np.zeros(0, np.int64)]), return_inverse=True)
-    size = np.array([len(f) for f in features])
-    row, value = np.repeat(np.arange(len(size)), size), ratio[used][at]
-    w, bias, share = np.zeros(len(used)), 0.0, weight / weight.sum()
+def _fit(grams: np.ndarray, size: np.ndarray, toxic: np.ndarray, weight: np.ndarray, ratio: np.ndarray, rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression over ``ratio * present`` by full gradients with Adam steps. ``grams`` holds
+    the buckets of all rows, ``size[i]`` of them of row i; they are kept as 32-bit numbers and never sorted."""
+    present = np.zeros(len(ratio), dtype=bool)
+    present[grams] = True
+    used = np.flatnonzero(present)
+    at = (np.cumsum(present, dtype=np.int32) - 1)[grams]
+    filled, start = np.flatnonzero(size), (np.cumsum(size) - size)[size > 0]
+    scale, share = ratio[used].astype(np.float32), (weight / weight.sum()).astype(np.float32)
+    w, bias = np.zeros(len(used), dtype=np.float32), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, weights=value * w[at], minlength=len(size)) + bias
+        z = np.full(len(size), bias)
+        if len(filled):
+            z[filled] += np.add.reduceat((scale * w)[at], start)
         slope = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic)
-        gradient = np.append(np.bincount(at, weights=value * slope[row], minlength=len(used)) + l2 * w, slope.sum())
+        moved = np.zeros(len(used))
+        for lo in range(0, len(filled), 512):  # some rows at a time, so that no second array is as long as ``grams``
+            rows = filled[lo:lo + 512]
+            first, last = start[lo], start[lo] + size[rows].sum()
+            moved += np.bincount(at[first:last], weights=np.repeat(slope[rows], size[rows]), minlength=len(used))
+        gradient = np.append(scale * moved + l2 * w, slope.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-        w, bias = w - move[:-1], bias - move[-1]
+        w, bias = w - move[:-1].astype(np.float32), bias - move[-1]
     full = np.zeros(len(ratio), dtype=np.float32)
-    full[used] = ratio[used] * w
+    full[used] = scale * w
     return full, float(bias)
 
 
@@ -178,9 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, samp
 
     got = _sample(rows, sample).select("text", "toxic").mapInArrow(strong, "grams binary, toxic int").toArrow()
     toxic = (got["toxic"].to_numpy() > 0).astype(float)
-    features = [np.frombuffer(g, "<i4").astype(np.int64) for g in got["grams"].to_pylist()]
+    size = np.array([len(g.as_buffer()) // 4 for g in got["grams"]], dtype=np.int64)
+    grams = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(g.as_buffer(), "<i4") for g in got["grams"])])
+    del got
     each = np.where(toxic > 0, toxics / max(toxic.sum(), 1), others / max((1 - toxic).sum(), 1))
-    return Model(*_fit(features, toxic, each, ratio))
+    return Model(*_fit(grams, size, toxic, each, ratio))
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
