@@ -6,7 +6,8 @@ leader itself. A leader stays open for ``window_s`` seconds; its vector never ch
 How this runs in parallel with exactly the sequential result:
 
 1. Equal texts have equal vectors, so rows are reduced to one per (text, tick) before anything
-   else; a tick is one second unless told otherwise, the unit in which the window is given.
+   else. A tick is a microsecond, so that windows are exact; a coarser tick (``tick_us``) reduces more rows,
+   and windows then count whole ticks.
 2. Alerts whose texts are in different components of the similarity graph never interact.
    Components are hashed into bins, and bins are scanned independently.
 3. A bin with many rows (one component may hold most alerts) is cut in time into blocks of bounded
@@ -37,7 +38,7 @@ from emberwatch.operators.knn import unit_rows
 from emberwatch.operators.skew import hot_keys, join_lookup, salted_join
 from emberwatch.settings import DEFAULTS, Settings
 
-TICK_US = 1_000_000
+TICK_US = 1
 SCAN_ROWS = 50_000
 
 _SCAN = (
@@ -49,17 +50,21 @@ _SCAN = (
 
 # --- similar texts -----------------------------------------------------------------------------
 def _text_cells(base: DataFrame, window_us: int) -> DataFrame:
-    """Distinct ``(text_key, cell)``; a cell is one window long."""
+    """``(text_key, cell)`` with the first and last time of the text there; a cell is one window long."""
     cell = F.floor(F.col("ts") / F.lit(window_us)).alias("cell")
-    return base.select("text_key", cell).distinct()
+    return base.groupBy("text_key", cell).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
 def _neighbours(cells: DataFrame) -> DataFrame:
-    """Texts of a cell together with those of the cell before it, once per group."""
-    spread = cells.select("text_key", "cell", F.explode(F.array(F.lit(0), F.lit(1))).alias("_before"))
+    """Texts of a cell together with those of the cell before it, once per group: ``first`` is the text's first
+    time in the cell, ``before`` its last time in the cell before (null: not there)."""
+    spread = cells.select("text_key", "cell", "first", "last", F.explode(F.array(F.lit(0), F.lit(1))).alias("_before"))
     return (
         spread.groupBy((F.col("cell") + F.col("_before")).alias("cell"), "text_key")
-        .agg((F.min("_before") == 0).alias("own"))
+        .agg(
+            F.min(F.when(F.col("_before") == 0, F.col("first"))).alias("first"),
+            F.max(F.when(F.col("_before") == 1, F.col("last"))).alias("before"),
+        )
         .withColumn("node", F.xxhash64("text_key"))
     )
 
@@ -71,25 +76,30 @@ def similar_pairs(
     conf: Settings = DEFAULTS,
 ) -> DataFrame:
     """``(text_a, text_b, similarity)``: different canonical texts at least ``threshold`` similar
-    that occur in the same or in neighbouring cells of ``window_s`` seconds.
+    that occur at most ``window_s`` seconds apart.
 
-    Texts, not alerts: a burst of n equal alerts adds nothing to the result."""
+    Texts, not alerts: a burst of n equal alerts adds nothing to the result. A family of n similar texts still
+    has n*(n-1)/2 pairs; the clusters use one edge per text instead (``star_edges``)."""
     base = _base(alerts, None)
     vec = cut(embed_texts(distinct_texts(base, "canonical_text"), conf.dim))
-    cells = cut(_text_cells(base, window_s * 1_000_000))
-    limit = round(threshold * 1e6)
-    if vec.count() <= conf.block_rows:
-        return _pairs_by_text(vec, cells, limit)
+    window_us, limit = window_s * 1_000_000, round(threshold * 1e6)
+    cells = _text_cells(base, window_us)
     members = join_lookup(_neighbours(cells), vec, "text_key", "inner", conf)
     blocks = block_pairs(members, ["cell"], conf)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["own"].to_numpy()
-        # two texts of the cell before were paired in their own cell
-        return _pair_rows(pdf, limit, lambda i, j: own[i] | own[j])
+        first, before = pdf["first"].to_numpy(dtype=float), pdf["before"].to_numpy(dtype=float)
+
+        def meet(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            # both in this cell, or one here at most a window after the other was in the cell before; two texts
+            # of the cell before were paired in their own cell
+            here = ~np.isnan(first[i]) & ~np.isnan(first[j])
+            return here | (first[i] - before[j] <= window_us) | (first[j] - before[i] <= window_us)
+
+        return _pair_rows(pdf, limit, meet)
 
     found = (
-        blocks.select("cell", "lo", "hi", "text_key", "own", "embedding")
+        blocks.select("cell", "lo", "hi", "text_key", *[(F.col(c) - F.col("cell") * window_us).alias(c) for c in ("first", "before")], "embedding")
         .groupBy("cell", "lo", "hi")
         .applyInPandas(pairs, _PAIR)
     )
@@ -99,35 +109,18 @@ def similar_pairs(
 _PAIR = "text_a binary, text_b binary, similarity double"
 
 
-def _pair_rows(pdf: pd.DataFrame, limit: int, wanted=None) -> pd.DataFrame:
+def _pair_rows(pdf: pd.DataFrame, limit: int, wanted) -> pd.DataFrame:
     keys = pdf["text_key"].to_numpy()
     out = []
     for i, j, score in similar_pairs_in(pdf, limit):
-        if wanted is not None:
-            keep = wanted(i, j)
-            i, j, score = i[keep], j[keep], score[keep]
+        keep = wanted(i, j)
+        i, j, score = i[keep], j[keep], score[keep]
         swap = keys[i] > keys[j]
         a, b = np.where(swap, keys[j], keys[i]), np.where(swap, keys[i], keys[j])
         out.append(pd.DataFrame({"text_a": a, "text_b": b, "similarity": score / 1e6}))
     return pd.concat(out, ignore_index=True)
 
 
-def _pairs_by_text(vec: DataFrame, cells: DataFrame, limit: int) -> DataFrame:
-    """At most one block of texts: similar pairs first, then those that meet in time."""
-    found = (
-        vec.withColumn("_one", F.lit(0)).groupBy("_one")
-        .applyInPandas(lambda pdf: _pair_rows(pdf, limit), _PAIR)
-    )
-    near = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")
-    a = cells.select(F.col("text_key").alias("text_a"), near)
-    b = cells.select(F.col("text_key").alias("text_b"), "cell")
-    return found.join(a, "text_a").join(b, ["text_b", "cell"]).select(*_names(_PAIR)).distinct()
-
-
-def _names(schema: str) -> list[str]:
-    return [part.split(" ")[0] for part in schema.split(", ")]
-
-
 # --- clustering ------------------------------------------------------------------------------------
 def _base(alerts: DataFrame, key: str | None) -> DataFrame:
     if "canonical_text" not in alerts.columns:
@@ -140,26 +133,22 @@ def _base(alerts: DataFrame, key: str | None) -> DataFrame:
 
 
 def _components(base: DataFrame, vec: DataFrame, window_us: int, threshold: float, conf: Settings):
-    """``(text_key, comp)``. Few texts are compared outright; many only within cells of time."""
+    """``(text_key, comp)``: components of the texts that are similar and meet in neighbouring cells of time."""
     keyed = vec.withColumn("node", F.xxhash64("text_key"))
-    if vec.count() <= conf.block_rows:
-        one = keyed.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
-        labels = star_edges(one, [], threshold).withColumnRenamed("hub", "comp")
-    else:
-        around = _neighbours(_text_cells(base, window_us))
-        members = join_lookup(around, vec, "text_key", "inner", conf)
-        edges = cut(star_edges(block_pairs(members, ["cell"], conf), ["cell"], threshold))
-        labels = connected_components(edges, conf).withColumnRenamed("component", "comp")
+    around = _neighbours(_text_cells(base, window_us))
+    members = join_lookup(around, vec, "text_key", "inner", conf)
+    edges = cut(star_edges(block_pairs(members, ["cell"], conf), ["cell"], threshold).distinct())
+    labels = connected_components(edges, conf).withColumnRenamed("component", "comp")
     return join_lookup(keyed.select("text_key", "node"), cut(labels.distinct()), "node", "inner", conf).drop("node")
 
 
 def _blocks(rows: DataFrame, scan_rows: int) -> DataFrame:
-    """``(bin, tick, block)``: whole ticks in time order, about ``scan_rows`` rows per block. The
-    window runs over the ticks of a bin, whose number is bounded by the time span (2.6 million
-    seconds in a month), not by the number of alerts."""
-    ticks = rows.groupBy("bin", "tick").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("bin").orderBy("tick")) - F.col("n")
-    return ticks.select("bin", "tick", F.floor(before / F.lit(scan_rows)).alias("block"))
+    """``(bin, second, block)``: whole seconds in time order, about ``scan_rows`` rows per block. The window
+    runs over the seconds of a bin, whose number is bounded by the time span (2.6 million in a month), not
+    by the number of alerts."""
+    seconds = rows.groupBy("bin", "second").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("bin").orderBy("second")) - F.col("n")
+    return seconds.select("bin", "second", F.floor(before / F.lit(scan_rows)).alias("block"))
 
 
 class _OpenLeaders:
@@ -306,10 +295,11 @@ def cluster_alerts(
         "bin", "text_key", "scope", "tick",
         F.col("_f.ts").alias("first_ts"), F.col("_f.id").alias("first_id"),
         F.col("_l.ts").alias("last_ts"), F.col("_l.id").alias("last_id"),
+        F.floor(F.col("tick") * tick_us / 1_000_000).alias("second"),
     )
     plan = cut(_blocks(rows, scan_rows))
-    placed = cut(join_lookup(rows, plan, ["bin", "tick"], "inner", conf))
-    starts = plan.groupBy("bin", "block").agg(F.min("tick").alias("start"))
+    placed = cut(join_lookup(rows, plan, ["bin", "second"], "inner", conf).drop("second"))
+    starts = cut(placed.groupBy("bin", "block").agg(F.min("tick").alias("start")))
 
     seeds = None
     if known is not None:

@@ -6,7 +6,7 @@ back to the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.cluster_io import cut
@@ -116,14 +116,7 @@ def retrieve_asof(
     What an alert sees depends on its text and on how many of the changes came before it, so equal
     texts between two changes are one query.
     """
-    changes = _change_points(vectors)
-    if changes is None:
-        at = F.col("created_at")
-    else:
-        known = F.array(*changes).cast("array<timestamp>")
-        passed = F.filter(known, lambda c: c <= F.col("created_at"))
-        at = F.coalesce(F.try_element_at(passed, F.lit(-1)), F.lit("0001-01-01").cast("timestamp"))
-    pairs = alerts.withColumn("_at", at)
+    pairs = _with_last_change(alerts, vectors)
     spread = F.concat_ws("|", F.unix_micros("_at").cast("string"), F.col("canonical_text"))
     pairs = pairs.withColumn("_pair", spread)
     texts = shared_texts(pairs, "_pair")
@@ -149,14 +142,32 @@ def retrieve_asof(
     )
 
 
-# more changes than this are not spelled out in the plan
-_CHANGE_LIMIT = 512
+_NEVER = "0001-01-01"
 
 
-def _change_points(vectors: DataFrame):
-    """Sorted times at which some vector appears or disappears, as literals; None when many."""
-    both = F.explode(F.array(F.unix_micros("valid_from"), F.unix_micros("valid_to"))).alias("t")
-    found = vectors.select(both).where("t IS NOT NULL").distinct().limit(_CHANGE_LIMIT + 1).collect()
-    if len(found) > _CHANGE_LIMIT:
-        return None
-    return [F.timestamp_micros(F.lit(t)) for t in sorted(r["t"] for r in found)]
+def _with_last_change(alerts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``alerts`` with ``_at``: the time of the last change of ``vectors`` at or before the alert (year 1: none).
+
+    Alerts and change points go into one table, cut into cells of a day. Within a cell the last change is carried
+    forward; what a cell starts with is the last change of the cells before it, a running maximum over days.
+    Nothing depends on the number of changes."""
+    changes = (
+        vectors.select(F.explode(F.array("valid_from", "valid_to")).alias("_at")).where("_at IS NOT NULL").distinct()
+    )
+    day = F.floor(F.unix_micros("_at") / 86_400_000_000)
+    first = Window.partitionBy(F.lit(0)).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per day with a change
+    days = cut(changes.groupBy(day.alias("_day")).agg(F.max("_at").alias("_last"), F.sort_array(F.collect_list("_at")).alias("_own")))
+    known = days.select("_day", "_own", F.max("_last").over(first).alias("_before"), "_last")
+    alert_day = F.floor(F.unix_micros("created_at") / 86_400_000_000)
+    # the latest day with changes that is not after each day with alerts
+    asked = alerts.select(alert_day.alias("_asked")).distinct()
+    both = asked.select(F.col("_asked").alias("_day"), F.lit(None).cast("timestamp").alias("_last")).unionByName(
+        days.select("_day", "_last")
+    ).groupBy("_day").agg(F.max("_last").alias("_last"))
+    start = both.select("_day", F.max("_last").over(first).alias("_start"))
+    per_day = start.join(known.select("_day", "_own"), "_day", "left").withColumnRenamed("_day", "_asked")
+    joined = join_lookup(alerts.withColumn("_asked", alert_day), cut(per_day), "_asked", "left")
+    own = F.filter(F.coalesce("_own", F.array().cast("array<timestamp>")), lambda c: c <= F.col("created_at"))
+    at = F.coalesce(F.try_element_at(own, F.lit(-1)), F.col("_start"), F.lit(_NEVER).cast("timestamp"))
+    return joined.withColumn("_at", at).drop("_asked", "_own", "_start")

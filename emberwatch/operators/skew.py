@@ -22,7 +22,10 @@ def _bytes_of(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(c), F.lit(0)) + 16
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+    kind = field.dataType
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+        return F.coalesce(F.size(c) * 8, F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.octet_length(F.coalesce(F.to_json(F.struct(c)), F.lit(""))) + 16
     return F.lit(16)
 
@@ -101,10 +104,18 @@ def hot_keys(
 def salted_join(
     rows: DataFrame, lookup: DataFrame, hot: DataFrame, keys: list[str], how: str = "left"
 ) -> DataFrame:
+    """Join with hot keys spread over salts. A row with a null key matches nothing, however many there are:
+    inner and semi joins leave it out, left and anti joins deal it out by its other columns."""
     salt_of = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c not in keys])
+    nameless = F.lit(False)
+    for k in keys:
+        nameless = nameless | F.col(f"`{k}`").isNull()
+    if how in ("inner", "left_semi"):
+        rows = rows.where(~nameless)
+    salts = F.when(nameless, F.lit(_MAX_SALTS)).otherwise(F.coalesce("salts", F.lit(1)))
     left = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.pmod(salt_of, F.coalesce("salts", F.lit(1))).cast("int"))
+        .withColumn("_salt", F.pmod(salt_of, salts).cast("int"))
         .drop("salts")
     )
     right = (

@@ -113,10 +113,11 @@ def bump_occurrences(kb: DataFrame, triaged: DataFrame) -> DataFrame:
 
 # --- versioned tables --------------------------------------------------------------------------------
 def latest_snapshot(log: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
-    """Latest row per key of an append-only log.
+    """Latest row per key of an append-only log. Of equal versions the row that is larger, column by column.
 
     ``max_by`` keeps one row per key and task before the shuffle, so a key with very many versions
     is not gathered anywhere."""
     row = F.struct(*[F.col(c) for c in log.columns if c not in keys])
-    best = log.groupBy(*keys).agg(F.max_by(row, F.col(version)).alias("_row"))
+    tie = F.to_json(row, {"ignoreNullFields": "false"})
+    best = log.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(version), tie)).alias("_row"))
     return best.select(*keys, "_row.*").select(*log.columns)

@@ -35,13 +35,25 @@ def cosine(df: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
     return df.withColumn(out, F.round(dot(va, vb) / (length(va) * length(vb)), 6))
 
 
-def upsert_vectors(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """Insert or replace by key. ``changes`` holds at most one row per key; an all-zero vector is
-    not stored, and leaves an earlier vector of its key in place."""
-    real = changes.where(~is_zero(F.col("embedding")))
+def upsert_vectors(base: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Insert or replace by key. Of several changes of a key the one with the highest ``order`` (a change
+    number or time, dropped from the result) wins; without ``order`` a key has at most one change. An all-zero
+    vector is not stored, and leaves an earlier vector of its key in place; so does a null vector, which
+    :func:`rejected_vectors` reports."""
+    real = changes.where(F.col("embedding").isNotNull() & ~is_zero(F.col("embedding")))
+    if order is not None:
+        rest = [c for c in real.columns if c not in (*KEY, order)]
+        # the text decides between changes of equal order
+        last = F.max_by(F.struct(*rest), F.struct(order, "text"))
+        real = real.groupBy(*KEY).agg(last.alias("_last")).select(*KEY, "_last.*").select(*base.columns)
     return delete_vectors(base, real).unionByName(real)
 
 
+def rejected_vectors(changes: DataFrame) -> DataFrame:
+    """Changes without a vector, or without a key."""
+    return changes.where(F.col("embedding").isNull() | F.col("namespace").isNull() | F.col("id").isNull())
+
+
 def delete_vectors(base: DataFrame, keys: DataFrame) -> DataFrame:
     """Remove keys; an unknown key changes nothing."""
     return join_lookup(base, keys.select(*KEY), KEY, "left_anti")

@@ -56,7 +56,7 @@ def replay(
     history = kb.unionByName(added.select(*kb.columns))
     # a delete counts only while its row exists; the first one ends the row
     ended = (
-        deletes.join(history.select("id", "created_at"), "id")
+        join_lookup(deletes.distinct(), history.select("id", "created_at"), "id", "inner", conf)
         .where(F.col("deleted_at") >= F.col("created_at"))
         .groupBy("id")
         .agg(F.min("deleted_at").alias("valid_to"))

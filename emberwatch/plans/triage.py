@@ -1,4 +1,4 @@
-"""Raw alerts to triaged alerts, reports and notifications, as one lazy plan."""
+"""Raw alerts to triaged alerts, reports and notifications."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberwatch import schemas
+from emberwatch.cluster_io import cut
 from emberwatch.functions.explain import (
     parse_triage,
     render_notifications,
@@ -119,15 +120,16 @@ def triage(
 ) -> Triage:
     """Triage payload rows (``id, created_at`` and the payload columns).
 
-    Retrieval, decision and suggestions run once per distinct canonical text. When the texts are
-    few enough to broadcast, the alerts themselves are never shuffled.
+    Retrieval, decision and suggestions run once per distinct canonical text, while the plan is built; what was
+    decided is written, so that alerts, reports, notifications and knowledge do not search again. When
+    the texts are few enough to broadcast, the alerts themselves are never shuffled.
     """
     parsed = merge_payload(parse_logs(alerts))
     texts = shared_texts(parsed, "canonical_text")
     size = measured(hit_columns(kb), conf)
     hits = text_hits(texts, vectors, kb, conf.top_k, conf, size)
-    decided = suggest_actions(
-        decide(hits, conf.match_threshold), conf.action_threshold, conf.suggest_actions
+    decided = cut(
+        suggest_actions(decide(hits, conf.match_threshold), conf.action_threshold, conf.suggest_actions)
     )
     row_bytes = hit_bytes(size, conf.top_k, conf) + 512
     joined = join_per_text(parsed, "canonical_text", decided, texts, row_bytes, conf).drop("text_key")

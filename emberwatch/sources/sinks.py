@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberwatch import schemas
+from emberwatch.cluster_io import cut
 
 
 def append_alerts(df: DataFrame, path: str) -> None:
@@ -30,7 +31,8 @@ def emit_notifications(
 
     ``make_sender`` runs once per partition. A delivery that fails is recorded and does not stop
     the others. Without a sender every row counts as delivered (the table itself is the sink).
-    Evaluate the result once: each evaluation delivers again, as does a retried task."""
+    The notifications are delivered here, once; the result is a written copy that can be read any number of
+    times. Only a task that is repeated after a failure delivers its rows again."""
     if make_sender is None:
         return df.withColumns({"ok": F.lit(True), "error": F.lit(None).cast("string")})
     schema = T.StructType(
@@ -51,4 +53,4 @@ def emit_notifications(
                 ok=[e is None for e in errors], error=pd.Series(errors, index=pdf.index, dtype="object")
             )
 
-    return df.mapInPandas(run, schema)
+    return cut(df.mapInPandas(run, schema))

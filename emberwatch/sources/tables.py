@@ -10,6 +10,8 @@ from emberwatch import schemas
 from emberwatch.functions import fixed_values as V
 
 _BAD = "_corrupt_record"
+KNOWLEDGE_REQUIRED = ("title", "raw_log_sample", "user_guide", "engineer_guide")
+RESOLUTION_REQUIRED = ("alert_id", "root_cause", "resolution")
 
 
 def _with(schema: T.StructType, *extra: str) -> T.StructType:
@@ -24,11 +26,12 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).format(fmt).load(path).withColumn(_BAD, F.lit(None).cast("string"))
 
 
-def _complete(df: DataFrame, *required: str) -> DataFrame:
-    """Records that parsed and carry every required field."""
+def split_complete(df: DataFrame, *required: str) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected): a valid record parsed and carries every required field."""
+    wrong = F.col(_BAD).isNotNull() if _BAD in df.columns else F.lit(False)
     for name in required:
-        df = df.where(F.col(name).isNotNull())
-    return df.where(F.col(_BAD).isNull()).drop(_BAD)
+        wrong = wrong | F.col(name).isNull()
+    return df.where(~wrong).drop(_BAD), df.where(wrong)
 
 
 def split_payloads(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,12 +65,11 @@ def with_knowledge_defaults(df: DataFrame) -> DataFrame:
 
 def read_knowledge(
     spark: SparkSession, path: str, fmt: str = "json", extra: tuple[str, ...] = ()
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) knowledge rows; valid ones have their defaults."""
     schema = _with(schemas.KNOWLEDGE_PAYLOAD, *extra)
-    rows = _complete(
-        _read(spark, path, fmt, schema), "title", "raw_log_sample", "user_guide", "engineer_guide"
-    )
-    return with_knowledge_defaults(rows)
+    valid, rejected = split_complete(_read(spark, path, fmt, schema), *KNOWLEDGE_REQUIRED)
+    return with_knowledge_defaults(valid), rejected
 
 
 def with_resolution_defaults(df: DataFrame) -> DataFrame:
@@ -81,10 +83,11 @@ def with_resolution_defaults(df: DataFrame) -> DataFrame:
 
 def read_resolutions(
     spark: SparkSession, path: str, fmt: str = "json", extra: tuple[str, ...] = ()
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) resolution requests; valid ones have their defaults."""
     schema = _with(schemas.RESOLUTION, *extra)
-    rows = _complete(_read(spark, path, fmt, schema), "alert_id", "root_cause", "resolution")
-    return with_resolution_defaults(rows)
+    valid, rejected = split_complete(_read(spark, path, fmt, schema), *RESOLUTION_REQUIRED)
+    return with_resolution_defaults(valid), rejected
 
 
 def action_catalog(spark: SparkSession) -> DataFrame:
@@ -92,34 +95,43 @@ def action_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(V.ACTIONS), schemas.ACTION_CATALOG)
 
 
-def import_vector_snapshot(spark: SparkSession, glob: str, magic: str) -> DataFrame:
-    """Vector rows of JSON snapshots ``{magic, data: {namespace: {id: [text, [floats]]}}}``.
+def import_vector_snapshot(spark: SparkSession, glob: str, magic: str) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) vector rows of JSON snapshots ``{magic, data: {namespace: {id: [text, [floats]]}}}``.
 
-    A file with another magic, or one that does not parse, gives no rows."""
+    A file with another magic, or one that does not parse, gives no rows. Rejected are entries of a good file
+    whose id is no number or whose vector cannot be read; their ``id`` stays as it was written. A
+    snapshot is one JSON value, so a file is read by one task (2 GB at most); many files are read in
+    parallel."""
     shape = "struct<magic:string,data:map<string,map<string,array<string>>>>"
     blob = spark.read.text(glob, wholetext=True).select(F.from_json("value", shape).alias("b"))
     spaces = blob.where(F.col("b.magic") == magic).select(
         F.explode("b.data").alias("namespace", "items")
     )
-    return (
-        spaces.select("namespace", F.explode("items").alias("id", "item"))
-        .select(
-            "namespace",
-            F.expr("try_cast(id AS bigint)").alias("id"),
-            F.try_element_at("item", F.lit(1)).alias("text"),
-            F.from_json(F.try_element_at("item", F.lit(2)), "array<float>").alias("embedding"),
-        )
-        .where("id IS NOT NULL AND embedding IS NOT NULL")
+    rows = spaces.select("namespace", F.explode("items").alias("name", "item")).select(
+        "namespace", "name",
+        F.expr("try_cast(name AS bigint)").alias("id"),
+        F.try_element_at("item", F.lit(1)).alias("text"),
+        F.from_json(F.try_element_at("item", F.lit(2)), "array<float>").alias("embedding"),
     )
+    vector_reads = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    good = F.col("id").isNotNull() & F.coalesce(vector_reads, F.lit(False))
+    rejected = rows.where(~good).select("namespace", F.col("name").alias("id"), "text", "embedding")
+    return rows.where(good).drop("name"), rejected
 
 
 def stream_alerts(
     spark: SparkSession, path: str, fmt: str = "json", extra: tuple[str, ...] = (), **options: str
 ) -> DataFrame:
-    """Alert payloads as an unbounded input: files, or ``fmt="kafka"`` with JSON values."""
+    """Alert payloads as an unbounded input: files, or ``fmt="kafka"`` with JSON values.
+
+    A record that does not parse keeps its text in ``_corrupt_record``; the streaming jobs split such
+    records off with :func:`split_payloads` and write them to ``rejected``."""
     schema = _with(schemas.ALERT_PAYLOAD, *extra)
+    keep = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
     if fmt == "kafka":
         raw = spark.readStream.format("kafka").options(**options).load()
-        body = F.from_json(F.col("value").cast("string"), schema)
+        body = F.from_json(F.col("value").cast("string"), _with(schema, f"{_BAD} string"), keep)
         return raw.select(body.alias("p")).select("p.*")
+    if fmt == "json":
+        return spark.readStream.schema(_with(schema, f"{_BAD} string")).options(**keep | options).json(path)
     return spark.readStream.schema(schema).options(**options).format(fmt).load(path)

@@ -16,8 +16,10 @@ from emberwatch.functions import fixed_values as V
 from emberwatch.functions.explain import render_cluster_notifications
 from emberwatch.functions.logs import parse_logs
 from emberwatch.operators.cluster import cluster_alerts
-from emberwatch.plans.triage import triage
+from emberwatch.plans.triage import Triage, triage
 from emberwatch.settings import DEFAULTS, Settings
+from emberwatch.sources.sinks import emit_notifications
+from emberwatch.sources.tables import split_payloads
 
 
 def _start(stream: DataFrame, handle, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -38,20 +40,40 @@ def stream_triage(
     checkpoint: str,
     conf: Settings = DEFAULTS,
     available_now: bool = False,
+    make_sender: Callable[[], Callable[[dict], None]] | None = None,
 ) -> StreamingQuery:
     """Triage every micro-batch against the knowledge as it is at that moment.
 
-    Writes ``alerts`` and ``notifications`` below ``path``. Payloads carry ``id, created_at``."""
+    Writes ``alerts, reports, notifications, occurrences`` and ``rejected`` below ``path``, each under the batch
+    id. ``occurrences`` has the matches per knowledge row of a batch; :func:`with_occurrences` adds them to a
+    knowledge table. With ``make_sender`` the notifications are delivered too and carry ``ok, error``;
+    a repeated batch delivers again. Payloads carry ``id, created_at``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = triage(batch, read_kb(spark), read_vectors(spark), conf)
+        valid, rejected = split_payloads(cut(batch))
+        _write(rejected, path, "rejected", batch_id)
+        done = triage(valid, read_kb(spark), read_vectors(spark), conf)
+        done = Triage(cut(done.diagnosed), done.kb)  # all outputs come from one evaluation
         _write(done.alerts, path, "alerts", batch_id)
-        _write(done.notifications(notify_on_new=conf.notify_on_new), path, "notifications", batch_id)
+        _write(done.reports, path, "reports", batch_id)
+        notices = done.notifications(notify_on_new=conf.notify_on_new)
+        _write(emit_notifications(notices, make_sender), path, "notifications", batch_id)
+        matched = done.alerts.where("match_status = 'matched'").groupBy(F.col("matched_knowledge_id").alias("id"))
+        _write(matched.agg(F.count(F.lit(1)).alias("matches")), path, "occurrences", batch_id)
 
     return _start(stream, handle, checkpoint, available_now)
 
 
+def with_occurrences(kb: DataFrame, path: str) -> DataFrame:
+    """``kb`` with the matches of all batches of :func:`stream_triage` added to its counts."""
+    found = kb.sparkSession.read.schema("id bigint, matches bigint").parquet(f"{path}/occurrences")
+    sums = found.groupBy("id").agg(F.sum("matches").alias("_more"))
+    base = F.when(F.coalesce("occurrence_count", F.lit(0)) == 0, F.lit(1)).otherwise(F.col("occurrence_count"))
+    more = F.when(F.col("_more").isNull(), F.col("occurrence_count")).otherwise(base + F.col("_more"))
+    return kb.join(sums, "id", "left").withColumn("occurrence_count", more.cast("int")).select(*kb.columns)
+
+
 # --- clusters ------------------------------------------------------------------------------------
 _OPEN = (
     "cluster_key bigint, created_at timestamp, canonical_text string, scope string, count bigint, "
@@ -77,14 +99,16 @@ def stream_clusters(
     State is the table of open clusters. A cluster closes when the largest event time seen, less
     ``lateness_s`` (default: the window), has left its window; closed clusters of at least
     ``min_size`` alerts become notifications, smaller ones are dropped. Alerts older than the
-    lateness go to ``late``. Writes ``members, clusters, late, open, clock`` below ``path``."""
+    lateness go to ``late``. Writes ``members, clusters, late, rejected, open, clock`` below ``path``."""
     lateness = window_s if lateness_s is None else lateness_s
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         scope = F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.lit("")
+        valid, rejected = split_payloads(cut(batch))
+        _write(rejected, path, "rejected", batch_id)
         rows = cut(
-            parse_logs(batch).select(
+            parse_logs(valid).select(
                 "id", "created_at", "service", "raw_log", "canonical_text", scope.alias("scope")
             )
         )

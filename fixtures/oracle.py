@@ -85,7 +85,7 @@ T["points"] = (
 T["requests"] = (
     "SELECT * EXCLUDE (engineer, tag_text), coalesce(engineer, 'engineer') AS engineer, "
     "coalesce(string_split(tag_text, ','), []::VARCHAR[]) AS tags FROM ("
-    f"SELECT {row(seeds.REQUEST_ROW)} FROM events WHERE event_id % 500 = 0)"
+    f"SELECT {row(seeds.REQUEST_ROW)} FROM {seeds.REQUEST_SOURCE})"
 )
 
 # --- vectors of all texts that any query compares -------------------------------------------------
@@ -122,7 +122,7 @@ def features(source: str, prefix: str = "") -> None:
         f"SELECT * FROM {prefix}pair_counts UNION ALL SELECT * FROM {prefix}trigram_counts) GROUP BY ALL"
     )
     T[f"{prefix}unit_vec"] = (
-        "SELECT text, bucket, (weight / sqrt(sum(weight * weight) OVER (PARTITION BY text)))::FLOAT::DOUBLE AS x "
+        "SELECT text, hash(text) AS h, bucket, (weight / sqrt(sum(weight * weight) OVER (PARTITION BY text)))::FLOAT::DOUBLE AS x "
         f"FROM {prefix}buckets"
     )
     T[f"{prefix}unit_len"] = f"SELECT text, sqrt(sum(x * x)) AS norm FROM {prefix}unit_vec GROUP BY text"
@@ -134,13 +134,13 @@ features("all_texts")
 def text_sims(left: str, right: str) -> str:
     """Cosine of every text of ``left`` with every knowledge row of ``right``."""
     return f"""
-SELECT a.text, b.id, round(coalesce(d.dot, 0) / (la.norm * lb.norm), 6) AS similarity
-FROM {left} a CROSS JOIN {right} b
-JOIN unit_len la ON la.text = a.text JOIN unit_len lb ON lb.text = b.canonical_text
-LEFT JOIN (SELECT ua.text AS ta, ub.text AS tb, sum(ua.x * ub.x) AS dot
-  FROM unit_vec ua JOIN unit_vec ub ON ua.bucket = ub.bucket
-  WHERE ua.text IN (SELECT text FROM {left}) AND ub.text IN (SELECT canonical_text FROM {right})
-  GROUP BY ALL) d ON d.ta = a.text AND d.tb = b.canonical_text"""
+WITH ua AS MATERIALIZED (SELECT h, bucket, x FROM unit_vec WHERE text IN (SELECT text FROM {left})),
+ub AS MATERIALIZED (SELECT h, bucket, x FROM unit_vec WHERE text IN (SELECT canonical_text FROM {right})),
+d AS MATERIALIZED (SELECT ua.h AS ta, ub.h AS tb, sum(ua.x * ub.x) AS dot FROM ua JOIN ub ON ua.bucket = ub.bucket GROUP BY ALL)
+SELECT a.text, b.id, round(coalesce(d.dot, 0) / (a.norm * b.norm), 6) AS similarity
+FROM (SELECT t.text, hash(t.text) AS h, l.norm FROM {left} t JOIN unit_len l ON l.text = t.text) a
+CROSS JOIN (SELECT t.id, hash(t.canonical_text) AS h, l.norm FROM {right} t JOIN unit_len l ON l.text = t.canonical_text) b
+LEFT JOIN d ON d.ta = a.h AND d.tb = b.h"""
 
 
 T["all_sims"] = text_sims("alert_texts", "kb_parsed")

@@ -88,6 +88,52 @@ def src_knowledge(v: Views):
     return rows.withColumn("occurrence_count", F.col("occurrence_count").cast("bigint"))
 
 
+# every record as a line of a JSON file, some without a required field, some cut short
+def _lines(v: Views, rows: DataFrame) -> str:
+    path = fresh_path(v)
+    line = F.when(F.col("n") % 23 == 0, F.lit('{"cut')).otherwise(F.to_json(F.struct(*[c for c in rows.columns if c != "n"])))
+    rows.select(line.alias("value")).write.text(path)
+    return path
+
+
+def _kept(valid: DataFrame, rejected: DataFrame, *cols: str) -> DataFrame:
+    """Valid rows, and how many were rejected and how many of these did not parse."""
+    n = rejected.agg(F.count(F.lit(1)).alias("a"), F.count("_corrupt_record").alias("b"))
+    total = n.select(*[F.lit(None).cast("string").alias(c) for c in cols], F.concat_ws("/", "a", "b").alias("rejected"))
+    return valid.select(*[F.col(c).cast("string").alias(c) for c in cols], F.lit(None).cast("string").alias("rejected")).unionByName(total)
+
+
+@query(f"""WITH r AS (SELECT event_id AS n, {_SPOILED} AS raw_log FROM events)
+  SELECT n::VARCHAR AS id, raw_log, NULL AS rejected FROM r WHERE raw_log <> '' AND n % 23 <> 0 UNION ALL
+  SELECT NULL, NULL, concat(count(*), '/', count(*) FILTER (n % 23 = 0)) FROM r WHERE raw_log IS NULL OR raw_log = '' OR n % 23 = 0""")
+def src_alert_files(v: Views):
+    rows = v.table("events").selectExpr("event_id AS n", "event_id AS id", f"{_SPOILED} AS raw_log")
+    return _kept(*sources.read_alerts(v.spark, _lines(v, rows), extra=("id bigint",)), "id", "raw_log")
+
+
+@query("""WITH r AS (SELECT doc_id AS n, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS text FROM documents)
+  SELECT concat('d', n) AS title, text AS raw_log_sample, 'manual' AS source, NULL AS rejected FROM r
+  WHERE text IS NOT NULL AND n % 23 <> 0 UNION ALL
+  SELECT NULL, NULL, NULL, concat(count(*), '/', count(*) FILTER (n % 23 = 0)) FROM r WHERE text IS NULL OR n % 23 = 0""")
+def src_knowledge_files(v: Views):
+    rows = v.table("documents").selectExpr(
+        "doc_id AS n", "concat('d', doc_id) AS title", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS raw_log_sample",
+        "'u' AS user_guide", "'e' AS engineer_guide",
+    )
+    return _kept(*sources.read_knowledge(v.spark, _lines(v, rows)), "title", "raw_log_sample", "source")
+
+
+@query("""WITH r AS (SELECT event_id AS n, CASE WHEN event_id % 7 <> 0 THEN props END AS cause FROM events)
+  SELECT n::VARCHAR AS alert_id, cause AS root_cause, 'engineer' AS engineer, NULL AS rejected FROM r
+  WHERE cause IS NOT NULL AND n % 23 <> 0 UNION ALL
+  SELECT NULL, NULL, NULL, concat(count(*), '/', count(*) FILTER (n % 23 = 0)) FROM r WHERE cause IS NULL OR n % 23 = 0""")
+def src_resolution_files(v: Views):
+    rows = v.table("events").selectExpr(
+        "event_id AS n", "event_id AS alert_id", "CASE WHEN event_id % 7 <> 0 THEN props END AS root_cause", "event_type AS resolution"
+    )
+    return _kept(*sources.read_resolutions(v.spark, _lines(v, rows)), "alert_id", "root_cause", "engineer")
+
+
 @query("SELECT request_no, alert_id, engineer, array_to_string(tags, ',') AS tags, root_cause FROM requests")
 def src_resolutions(v: Views):
     return v.requests().select(
@@ -122,18 +168,6 @@ def snk_write_vectors(v: Views):
     return v.spark.read.parquet(path).select("namespace", "id", "text", F.round(total, 3).alias("total"))
 
 
-@query("SELECT id AS alert_id, id % 50 <> 3 AS ok, CASE WHEN id % 50 = 3 THEN 'refused' END AS error FROM alerts_src")
-def snk_notifications(v: Views):
-    def make_sender():
-        def send(row):
-            if row["alert_id"] % 50 == 3:
-                raise RuntimeError("refused")
-
-        return send
-
-    return sinks.emit_notifications(v.payloads().selectExpr("id AS alert_id"), make_sender)
-
-
 # --- filters, projections, listings -------------------------------------------------------------------
 @query("SELECT id, status, match_status, service FROM stored WHERE status = 'open' AND match_status = 'matched' AND service = 'svc3'")
 def fil_alerts(v: Views):
@@ -147,9 +181,9 @@ def fil_dates(v: Views):
     return listing.filter_dates(v.stored(), frm="2024-01-05", to="2024-01-09").select("id", stamp("created_at"))
 
 
-@query("SELECT id, raw_log FROM stored WHERE raw_log ILIKE '%REDIS_//10%' OR error_message ILIKE '%REDIS_//10%'")
+@query("SELECT id, raw_log FROM stored WHERE raw_log ILIKE '%AMQP_//10%' OR error_message ILIKE '%AMQP_//10%'")
 def fil_keyword(v: Views):
-    return listing.filter_keyword(v.stored(), "REDIS_//10").select("id", "raw_log")
+    return listing.filter_keyword(v.stored(), "AMQP_//10").select("id", "raw_log")
 
 
 @query("SELECT id, error_type FROM kb WHERE error_type = 'type2'")
@@ -242,7 +276,8 @@ def top_recent_knowledge(v: Views):
 # --- log parsing: every field over alerts, knowledge samples, documents and pages alike -----------------
 _LOGS = {
     "log_inputs": "SELECT concat('a', id) AS key, raw_log AS body FROM alerts_src UNION ALL "
-    "SELECT concat('k', id), raw_log_sample FROM kb UNION ALL SELECT concat('p', page_id), html FROM pages",
+    "SELECT concat('k', id), raw_log_sample FROM kb UNION ALL SELECT concat('p', page_id), html FROM pages "
+    "UNION ALL SELECT concat('d', doc_id), text FROM documents",
 }
 _LOGS["log_rows"] = O.parse("log_inputs", "body")
 
@@ -252,6 +287,7 @@ def log_rows(v: Views) -> DataFrame:
         v.payloads().selectExpr("concat('a', id) AS key", "raw_log AS body")
         .unionByName(v.kb().selectExpr("concat('k', id) AS key", "raw_log_sample AS body"))
         .unionByName(v.table("pages").selectExpr("concat('p', page_id) AS key", "html AS body"))
+        .unionByName(v.table("documents").selectExpr("concat('d', doc_id) AS key", "text AS body"))
     )
     return logs.parse_logs(inputs, "body")
 
@@ -357,18 +393,23 @@ _CHANGES = {
     "changes": "SELECT namespace, id + 100 AS id, text || '+' AS text, CASE WHEN id % 5 = 0 THEN "
     "list_transform(embedding, lambda x: 0.0::FLOAT) ELSE embedding END AS embedding FROM points WHERE id % 3 = 0",
 }
+# every change comes three times; the last one counts
+_CHANGES["last_changes"] = "SELECT namespace, id, text || '3' AS text FROM changes WHERE id % 5 <> 0"
 
 
-@query("""SELECT namespace, id, text FROM points p WHERE NOT EXISTS (SELECT 1 FROM changes c
-    WHERE c.namespace = p.namespace AND c.id = p.id AND c.id % 5 <> 0)
-  UNION ALL SELECT namespace, id, text FROM changes WHERE id % 5 <> 0""", _CHANGES)
+@query("""SELECT namespace, id, text FROM points p WHERE NOT EXISTS (SELECT 1 FROM last_changes c
+    WHERE c.namespace = p.namespace AND c.id = p.id)
+  UNION ALL SELECT namespace, id, text FROM last_changes""", _CHANGES)
 def vec_upsert(v: Views):
     zero = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
     changes = v.points().where("id % 3 = 0").select(
         "namespace", (F.col("id") + 100).alias("id"), F.concat("text", F.lit("+")).alias("text"),
         F.when(F.col("id") % 5 == 0, zero).otherwise(F.col("embedding")).alias("embedding"),
     )
-    return vectors.upsert_vectors(v.points(), changes).select("namespace", "id", "text")
+    thrice = changes.withColumn("version", F.explode(F.array(F.lit(2), F.lit(3), F.lit(1)))).withColumn(
+        "text", F.concat("text", F.col("version").cast("string"))
+    )
+    return vectors.upsert_vectors(v.points(), thrice, "version").select("namespace", "id", "text")
 
 
 @query("SELECT namespace, id, text FROM points WHERE NOT (namespace = 'even' AND id % 3 = 0)")
@@ -418,6 +459,17 @@ def vec_knn_approx(v: Views):
     return _ranks(knn.knn_approx(q, v.points(), 5, "even"))
 
 
+@query("""SELECT a.id AS query_id, b.id + c.more AS id, 1.0::DOUBLE AS similarity FROM points a JOIN points b
+  ON b.namespace = 'even' AND round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
+    / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) = 1
+  CROSS JOIN (VALUES (0), (1000000)) c(more)""")
+def vec_knn_approx_copies(v: Views):
+    """Every vector once more: equal vectors share all buckets, so the approximate search has to find both."""
+    q = v.points().select(F.col("id").alias("query_id"), "embedding")
+    both = v.points().unionByName(v.points().withColumn("id", F.col("id") + 1_000_000))
+    return knn.knn_approx(q, both, 5, "even").where("similarity = 1").select("query_id", "id", "similarity")
+
+
 # --- joins ---------------------------------------------------------------------------------------------------
 def triaged(v: Views, conf: Settings = Settings()) -> triage.Triage:
     return triage.triage(v.payloads(), v.kb(), v.vectors(), conf)
@@ -587,7 +639,8 @@ def dec_audit_invocations(v: Views):
 
 _TEXTS = {
     "any_text": "SELECT concat('a', id) AS key, raw_log AS body FROM alerts_src UNION ALL "
-    "SELECT concat('d', doc_id), text FROM documents UNION ALL SELECT concat('c', conv_id, '-', turn), text FROM conversations",
+    "SELECT concat('d', doc_id), text FROM documents UNION ALL SELECT concat('c', conv_id, '-', turn), text FROM conversations "
+    "UNION ALL SELECT concat('p', page_id), html FROM pages",
 }
 
 
@@ -596,6 +649,7 @@ def any_text(v: Views) -> DataFrame:
         v.payloads().selectExpr("concat('a', id) AS key", "raw_log AS body")
         .unionByName(v.table("documents").selectExpr("concat('d', doc_id) AS key", "text AS body"))
         .unionByName(v.table("conversations").selectExpr("concat('c', conv_id, '-', turn) AS key", "text AS body"))
+        .unionByName(v.table("pages").selectExpr("concat('p', page_id) AS key", "html AS body"))
     )
 
 
@@ -604,9 +658,9 @@ def txt_plain_language(v: Views):
     return any_text(v).select("key", explain.plain_language(F.col("body")).alias("plain_text"))
 
 
-@query(f"""SELECT key, {O.error_type("concat(left(body, 30), ' ', body)")} AS error_type FROM any_text""", _TEXTS)
+@query(f"""SELECT key, {O.error_type("concat(key, ' ', body)")} AS error_type FROM any_text""", _TEXTS)
 def txt_guess_error_type(v: Views):
-    cause = F.left("body", F.lit(30))
+    cause = F.col("key")
     return any_text(v).select("key", explain.guess_error_type(cause, F.col("body")).alias("error_type"))
 
 
@@ -693,6 +747,20 @@ def txt_render_notifications(v: Views):
     )
 
 
+@query(f"""SELECT alert_id, title, alert_id % 50 <> 3 AS ok,
+  CASE WHEN alert_id % 50 = 3 THEN 'refused' END AS error FROM ({T_NOTICE})""")
+def snk_notifications(v: Views):
+    def make_sender():
+        def send(row):
+            if row["alert_id"] % 50 == 3:
+                raise RuntimeError("refused")
+
+        return send
+
+    sent = sinks.emit_notifications(triaged(v).notifications().select("alert_id", "title", "markdown"), make_sender)
+    return sent.select("alert_id", "title", "ok", "error")
+
+
 # --- flows ----------------------------------------------------------------------------------------------------------
 @query("""SELECT id, external_id, server_ip, host, service, severity, raw_log, error_message, stack_trace, matched_knowledge_id,
   similarity_score, match_status, 'open' AS status, plain_language AS ai_summary FROM sections""")
@@ -793,7 +861,9 @@ _REPLAY = {
     "replay_best": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY rank) AS pos FROM (
       SELECT p.id AS alert_id, k.id, s.similarity, k.is_active OR k.ended IS NOT NULL AS shown,
         row_number() OVER (PARTITION BY p.id ORDER BY s.similarity DESC, k.id) AS rank
-      FROM parsed p JOIN replay_sims s ON s.text = p.canonical_text JOIN replay_alive k ON k.id = s.id
+      FROM (SELECT id, created_at, hash(canonical_text) AS h FROM parsed) p
+      JOIN (SELECT hash(text) AS h, id, similarity FROM replay_sims) s ON s.h = p.h
+      JOIN (SELECT id, created_at, ended, is_active FROM replay_alive) k ON k.id = s.id
       WHERE k.created_at <= p.created_at AND (k.ended IS NULL OR p.created_at < k.ended)) WHERE rank <= 3 AND shown) WHERE pos = 1""",
 }
 
@@ -815,16 +885,17 @@ def flow_replay(v: Views):
 # --- clusters and streams -------------------------------------------------------------------------------------------
 WINDOW = 1800
 _PAIRS = {
-    "pair_cells": f"SELECT DISTINCT canonical_text AS text, floor(epoch_us(created_at) / {WINDOW * 1_000_000})::BIGINT AS cell FROM parsed",
-    "pair_dots": "SELECT ua.text AS ta, ub.text AS tb, round(sum(ua.x * ub.x) / (la.norm * lb.norm), 6) AS similarity "
-    "FROM unit_vec ua JOIN unit_vec ub ON ua.bucket = ub.bucket AND md5(ua.text) < md5(ub.text) "
-    "JOIN unit_len la ON la.text = ua.text JOIN unit_len lb ON lb.text = ub.text GROUP BY ua.text, ub.text, la.norm, lb.norm",
+    "pair_times": "SELECT DISTINCT canonical_text AS text, epoch_us(created_at) AS at FROM parsed",
+    "pair_sums": "SELECT ua.h AS ha, ub.h AS hb, sum(ua.x * ub.x) AS dot FROM (SELECT h, bucket, x FROM unit_vec) ua "
+    "JOIN (SELECT h, bucket, x FROM unit_vec) ub ON ua.bucket = ub.bucket AND ua.h <> ub.h GROUP BY ALL",
+    "pair_dots": "SELECT la.text AS ta, lb.text AS tb, round(dot / (la.norm * lb.norm), 6) AS similarity FROM pair_sums "
+    "JOIN unit_len la ON hash(la.text) = ha JOIN unit_len lb ON hash(lb.text) = hb WHERE md5(la.text) < md5(lb.text)",
     "all_texts": "SELECT text FROM alert_texts",
 }
 
 
-@query("""SELECT DISTINCT md5(ta) AS text_a, md5(tb) AS text_b, similarity FROM pair_dots d JOIN pair_cells a ON a.text = d.ta
-  JOIN pair_cells b ON b.text = d.tb AND abs(a.cell - b.cell) <= 1 WHERE similarity >= 0.88""", _PAIRS)
+@query(f"""SELECT md5(ta) AS text_a, md5(tb) AS text_b, similarity FROM pair_dots d WHERE similarity >= 0.88 AND EXISTS (
+  SELECT 1 FROM pair_times a JOIN pair_times b ON abs(a.at - b.at) <= {WINDOW * 1_000_000} WHERE a.text = d.ta AND b.text = d.tb)""", _PAIRS)
 def clu_similar_pairs(v: Views):
     return cluster.similar_pairs(v.parsed(), WINDOW, 0.88).select(
         F.lower(F.hex("text_a")).alias("text_a"), F.lower(F.hex("text_b")).alias("text_b"), "similarity"
@@ -894,6 +965,25 @@ def str_triage(v: Views):
     )
 
 
+@query("""SELECT s.id AS alert_id, match_status = 'matched' AS matched, similarity_score AS best_similarity, plain_language
+  FROM sections s""")
+def str_triage_reports(v: Views):
+    out, mark = fresh_path(v), fresh_path(v)
+    vecs = v.vectors()
+    jobs.stream_triage(alert_stream(v), lambda s: v.kb(), lambda s: vecs, out, mark, available_now=True).awaitTermination()
+    return v.spark.read.parquet(f"{out}/reports").select("alert_id", "matched", "best_similarity", "plain_language")
+
+
+@query("""SELECT k.id, (CASE WHEN m.n IS NULL THEN k.occurrence_count ELSE coalesce(nullif(k.occurrence_count, 0), 1) + m.n
+  END)::BIGINT AS occurrence_count FROM kb k LEFT JOIN (SELECT matched_knowledge_id AS id, count(*) AS n FROM merged
+  WHERE match_status = 'matched' GROUP BY 1) m ON m.id = k.id""")
+def str_triage_knowledge(v: Views):
+    out, mark = fresh_path(v), fresh_path(v)
+    vecs = v.vectors()
+    jobs.stream_triage(alert_stream(v), lambda s: v.kb(), lambda s: vecs, out, mark, available_now=True).awaitTermination()
+    return jobs.with_occurrences(v.kb(), out).select("id", F.col("occurrence_count").cast("bigint").alias("occurrence_count"))
+
+
 @query()
 def str_clusters(v: Views):
     out, mark = fresh_path(v), fresh_path(v)
@@ -935,5 +1025,5 @@ def src_vector_snapshot(v: Views):
     )
     blobs.write.partitionBy("namespace", "part").text(path)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
-    read = sources.import_vector_snapshot(v.spark, f"{path}/*/*/*.txt", "m1")
+    read, _ = sources.import_vector_snapshot(v.spark, f"{path}/*/*/*.txt", "m1")
     return read.select("namespace", "id", "text", F.round(total, 3).alias("total"))

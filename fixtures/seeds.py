@@ -11,27 +11,29 @@ SERVICE = (
     "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 35 = 1 THEN '' "
     "ELSE concat('svc', CAST(user_id % 12 AS varchar(20))) END"
 )
+# A third of all rows have one text; the texts of templates 3 and 6 grow in number with the events.
 RAW_LOG = """
-CASE user_id % 8
-WHEN 0 THEN concat('ERROR service=login host=app-03 JedisConnectionException: cannot connect to ',
-  'redis://10.0.1.7:6379 Connection refused (connection timed out after ',
-  CAST(5000 + event_id % 9 AS varchar(20)), 'ms)')
-WHEN 1 THEN concat('FATAL service=billing host=pay-', CAST(user_id % 16 AS varchar(20)),
-  ' ip=10.0.2.9 HikariPool-1 - Connection is not available, request timed out after 30000ms',
-  ' (max_pool=50 active=50)')
-WHEN 2 THEN concat('ERROR service=router host=gw-01 java.lang.OutOfMemoryError: Java heap space',
-  chr(10), '    at com.acme.edge.Router.dispatch(Router.java:', CAST(user_id % 90 AS varchar(20)), ')',
-  chr(10), '    at java.base/java.lang.Thread.run(Thread.java:833)')
+CASE WHEN event_id % 3 = 0 THEN
+  'ERROR service=mailer host=mx-02 RelayClosedException: broker amqp://10.4.0.9:5672 missed its heartbeat'
+ELSE CASE user_id % 8
+WHEN 0 THEN concat('ERROR service=mailer host=mx-02 RelayClosedException: broker amqp://10.4.0.9:5672 ',
+  'missed its heartbeat, redis token store refused writes for ', CAST(5000 + event_id % 9 AS varchar(20)), 'ms')
+WHEN 1 THEN concat('FATAL service=ledger host=led-', CAST(user_id % 16 AS varchar(20)),
+  ' ip=10.4.1.3 shard writer stalled: no quorum within 12 rounds, commits postponed (max_pool=24 lagging=7)')
+WHEN 2 THEN concat('ERROR service=indexer host=ix-05 com.orchard.feed.SegmentMergeError: heap segment checksum differs',
+  chr(10), '    at com.orchard.feed.Merger.fold(Merger.java:', CAST(user_id % 90 AS varchar(20)), ')',
+  chr(10), '    at com.orchard.feed.Worker.step(Worker.java:57)')
 WHEN 3 THEN concat('WARNING app=uploads No space left on device /data/vol', CAST(user_id % 16 AS varchar(20)),
-  ' disk usage 100 percent')
+  '/', substr(md5(CAST(event_id AS varchar(20))), 1, 8), ' disk usage 100 percent')
 WHEN 4 THEN concat('CRITICAL module=edge certificate expired for api', CAST(user_id % 24 AS varchar(20)),
   '.acme.test, TLS handshake failed')
-WHEN 5 THEN concat('ERROR unseen GPU fault in inference-engine v3.', CAST(user_id % 4 AS varchar(20)),
-  ', tensor buffer corrupted')
-WHEN 6 THEN concat('request ', event_type, ' rejected with payload ', props)
+WHEN 5 THEN concat('ERROR belt encoder lost its zero mark in parcel-sorter v7.', CAST(user_id % 4 AS varchar(20)),
+  ', chute gpu camera blind')
+WHEN 6 THEN concat('request ', event_type, ' rejected with payload ', props, ' trace ',
+  substr(md5(CAST(event_id AS varchar(20))), 1, 12))
 ELSE concat('  ', chr(9), 'Kafka consumer lag growing topic=orders group=g', CAST(user_id % 16 AS varchar(20)),
   ' topic=refunds ', chr(10), '  ')
-END
+END END
 """
 
 PAYLOAD_ROW = [
@@ -54,31 +56,31 @@ SEED_SCHEMA = (
 SEED_TIME = "2024-01-01 00:00:00"
 SEED_KNOWLEDGE = [
     (
-        1, "Redis outage", "Login sessions lost while Redis is down",
-        "ERROR service=login host=app-03 JedisConnectionException: cannot connect to "
-        "redis://10.0.1.7:6379 Connection refused (connection timed out)",
-        "Redis was killed after OOM, every session cache call was refused",
-        "Login is unavailable for a moment, please retry in two minutes.",
-        "1. look for OOM kills\n2. raise maxmemory\n3. restart redis",
-        1, "seed:demo", "redis, cache,oom", 1.0, True,
+        1, "Mail relay closed", "Password mails are not sent",
+        "ERROR service=mailer host=mx-02 RelayClosedException: broker amqp://10.4.0.9:5672 "
+        "missed its heartbeat, redis token store refused writes",
+        "The broker reached its memory alarm and the redis cache behind it ran into oom",
+        "Mails arrive late; nothing has to be sent again.",
+        "1. read the broker's memory alarm\n2. drain the dead-letter queue\n3. restart the relay",
+        1, "seed:own", "mail, broker,redis", 1.0, True,
     ),
     (
-        2, "Connection pool exhausted", "Billing database pool exhausted",
-        "FATAL service=billing host=pay-02 ip=10.0.2.9 HikariPool-1 - Connection is not available, "
-        "request timed out after 30000ms (max_pool=50 active=50)",
-        "A slow query held every pooled connection after the last release",
-        "Payments are paused, please retry later.",
-        "1. find slow queries\n2. kill them\n3. enlarge the pool",
-        4, "seed:demo", "mysql,db, pool,", 1.0, True,
+        2, "Ledger quorum lost", "Ledger shard cannot commit",
+        "FATAL service=ledger host=led-02 ip=10.4.1.3 shard writer stalled: no quorum within 12 rounds, "
+        "commits postponed (max_pool=24 lagging=7)",
+        "A long running report kept a mysql replica from voting",
+        "Bookings appear with a delay.",
+        "1. find the replica that lags\n2. stop the report\n3. let the shard vote again",
+        4, "seed:own", "ledger,mysql, quorum,", 1.0, True,
     ),
     (
-        3, "JVM heap overflow", "Router old generation overflow",
-        "ERROR service=router host=gw-01 java.lang.OutOfMemoryError: Java heap space\n"
-        "    at com.acme.edge.Router.dispatch(Router.java:88)",
-        "An unbounded map filled the heap",
-        "Some pages are slow while modules restart.",
-        "1. take a heap dump\n2. restart the router\n3. bound the map",
-        0, "seed:demo", None, 1.0, True,
+        3, "Segment merge failure", "Search index stops merging",
+        "ERROR service=indexer host=ix-05 com.orchard.feed.SegmentMergeError: heap segment checksum differs\n"
+        "    at com.orchard.feed.Merger.fold(Merger.java:88)",
+        "A node lost power while it wrote a segment",
+        "Search shows older entries for a while.",
+        "1. set the segment aside\n2. build it again from the feed\n3. check the disk",
+        0, "seed:own", None, 1.0, True,
     ),
 ]
 
@@ -138,19 +140,20 @@ STORED_ROW = [
     ("updated_at", "CAST(ts AS timestamp)"),
 ]
 
-# --- resolution requests: one per 500th event; the first and every third names another alert ----------
+# --- resolution requests: one per label, joined with the event it is about; some name another alert or none ---
+REQUEST_SOURCE = "labels LEFT JOIN events ON event_id = doc_id * 10"
 REQUEST_ROW = [
-    ("request_no", "event_id"),
-    ("alert_id", "CASE WHEN event_id % 1500 = 0 THEN event_id - 500 ELSE event_id END"),
-    ("error_type", "CASE WHEN event_id % 1000 = 0 THEN NULL ELSE 'operator class' END"),
+    ("request_no", "doc_id"),
+    ("alert_id", "CASE WHEN doc_id % 41 = 0 THEN -doc_id WHEN doc_id % 15 = 0 THEN doc_id * 10 - 10 ELSE doc_id * 10 END"),
+    ("error_type", "CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 'operator class' END"),
     (
         "root_cause",
-        "CASE event_id % 2500 WHEN 0 THEN concat('redis evicted keys for ', event_type) "
-        "WHEN 500 THEN concat('connection leak after long running reports in ', event_type, chr(10), 'second line') "
-        "WHEN 1000 THEN 'gpu driver mismatch' WHEN 1500 THEN '' ELSE concat('heap dump shows ', props) END",
+        "CASE doc_id % 5 WHEN 0 THEN concat('redis evicted keys for ', coalesce(event_type, 'none')) "
+        "WHEN 1 THEN concat('connection leak after long running reports in ', coalesce(event_type, 'none'), chr(10), 'second line') "
+        "WHEN 2 THEN 'gpu driver mismatch' WHEN 3 THEN '' ELSE concat('heap dump shows ', coalesce(props, 'none')) END",
     ),
-    ("resolution", "concat('restart ', event_type, chr(10), 'then watch')"),
-    ("engineer", "CASE WHEN event_id % 2000 = 0 THEN NULL ELSE concat('eng', CAST(user_id % 5 AS varchar(20))) END"),
-    ("tag_text", "CASE WHEN event_id % 1000 = 0 THEN NULL ELSE concat('t', CAST(user_id % 3 AS varchar(20)), ',ops') END"),
-    ("requested_at", "CAST(ts AS timestamp) + INTERVAL '30' MINUTE"),
+    ("resolution", "concat('restart ', coalesce(event_type, 'none'), chr(10), 'then watch')"),
+    ("engineer", "CASE WHEN doc_id % 20 = 0 THEN NULL ELSE concat('eng', CAST(doc_id % 5 AS varchar(20))) END"),
+    ("tag_text", "CASE WHEN doc_id % 10 = 0 THEN NULL ELSE concat('t', CAST(doc_id % 3 AS varchar(20)), ',ops') END"),
+    ("requested_at", "coalesce(CAST(ts AS timestamp), CAST('2024-02-20 00:00:00' AS timestamp)) + INTERVAL '30' MINUTE"),
 ]

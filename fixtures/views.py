@@ -54,7 +54,8 @@ class Views:
         )
 
     def requests(self) -> DataFrame:
-        raw = self.table("events").where("event_id % 500 = 0").selectExpr(*exprs(seeds.REQUEST_ROW))
+        about = self.table("labels").join(self.table("events"), F.expr("event_id = doc_id * 10"), "left")
+        raw = about.selectExpr(*exprs(seeds.REQUEST_ROW))
         return with_resolution_defaults(
             raw.withColumn("tags", F.split("tag_text", ",")).drop("tag_text")
         )

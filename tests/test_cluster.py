@@ -63,14 +63,15 @@ def answers(df):
     "window, threshold, options",
     [
         (300, 0.88, {}),
-        (300, 0.6, {"tick_us": 1}),
+        (300, 0.6, {"tick_us": 1_000_000}),
+        (300, 0.6, {"scan_rows": 40}),
         (60, 0.5, {"tick_us": 10_000_000, "scan_rows": 60}),
         (300, 0.7, {"key": "service", "scan_rows": 100, "conf": Settings(block_rows=8, broadcast_rows=5)}),
     ],
 )
 def test_equals_the_sequential_answer(storm, window, threshold, options):
     got = cluster.cluster_alerts(storm, window, threshold, **options)
-    want = sequential(local(storm), window, threshold, options.get("tick_us", 1_000_000), options.get("key"))
+    want = sequential(local(storm), window, threshold, options.get("tick_us", 1), options.get("key"))
     assert answers(got) == want
     assert got.where("is_leader <> (id = cluster_key)").isEmpty()
 
@@ -83,6 +84,16 @@ def test_two_similar_alerts(make_alerts):
     assert {r["id"]: r["cluster_key"] for r in cluster.cluster_alerts(df, 300, 0.5).collect()} == {1: 1, 2: 1}
 
 
+@pytest.mark.parametrize("after, joins", [(300.0, True), (300.000001, False)])
+def test_window_is_exact(make_alerts, after, joins):
+    text = "disk is full on node four"
+    df = make_alerts([(1, 0.75, "s", text), (2, 0.75 + after, "s", text)])
+    got = {r["id"]: r["cluster_key"] for r in cluster.cluster_alerts(df, 300, 0.8).collect()}
+    assert got == {1: 1, 2: 1 if joins else 2}
+    near = df.withColumn("raw_log", F.when(F.col("id") == 2, "disk is full on node five").otherwise(F.col("raw_log")))
+    assert cluster.similar_pairs(near, 300, 0.6).count() == int(joins)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 100), (200, 201), (202, 201)]
     edges = spark.createDataFrame(chain, "node bigint, hub bigint")
@@ -91,7 +102,7 @@ def test_components(spark):
     assert got[100] == 100 and {got[200], got[201], got[202]} == {200}
 
 
-def test_similar_pairs_block_path_equals_text_path(storm):
+def test_similar_pairs_do_not_depend_on_block_sizes(storm):
     a = cluster.similar_pairs(storm, 300, 0.6)
     b = cluster.similar_pairs(storm, 300, 0.6, Settings(block_rows=5, broadcast_rows=3))
     assert a.count() > 0 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -253,21 +253,25 @@ def test_sources(spark, tmp_path):
     full = {"raw_log_sample": "x", "user_guide": "u", "engineer_guide": "e"}
     items = [{**full, "title": "t", "tags": ["a", "b"]}, {**full, "title": "u", "tags": [], "source": "import"}, {"title": "v"}]
     (tmp_path / "k.json").write_text("\n".join(map(json.dumps, items)) + "\n{oops\n")
-    assert sources.read_knowledge(spark, str(tmp_path / "k.json")).count() == 2
-    rows = {r["title"]: r for r in sources.read_knowledge(spark, str(tmp_path / "k.json")).collect()}
+    valid, rejected = sources.read_knowledge(spark, str(tmp_path / "k.json"))
+    rows = {r["title"]: r for r in valid.collect()}
+    assert len(rows) == 2 and sorted((r["title"] or "", r["_corrupt_record"]) for r in rejected.collect()) == [("", "{oops"), ("v", None)]
     assert (rows["t"]["tags"], rows["t"]["source"], rows["t"]["occurrence_count"]) == ("a,b", "manual", 1)
     assert rows["u"]["tags"] is None and rows["u"]["source"] == "import"
     (tmp_path / "r.json").write_text(json.dumps({"alert_id": 1, "root_cause": "c", "resolution": "r"}))
-    r = sources.read_resolutions(spark, str(tmp_path / "r.json")).first()
-    assert r["engineer"] == "engineer" and r["tags"] == []
+    valid, rejected = sources.read_resolutions(spark, str(tmp_path / "r.json"))
+    r = valid.first()
+    assert r["engineer"] == "engineer" and r["tags"] == [] and rejected.count() == 0
 
 
 def test_vector_snapshot(spark, tmp_path):
-    good = {"magic": "m", "data": {"knowledge": {"1": ["text, \"q\"", [0.5, 1]], "2": ["b", [0.0, 2e-3]]}, "other": {}}}
+    good = {"magic": "m", "data": {"knowledge": {"1": ["text, \"q\"", [0.5, 1]], "2": ["b", [0.0, 2e-3]], "x": ["c", [1]], "4": ["d", None]}, "other": {}}}
     (tmp_path / "a.json").write_text(json.dumps(good, indent=1))
     (tmp_path / "b.json").write_text(json.dumps({**good, "magic": "wrong"}))
     (tmp_path / "c.json").write_text("{not json")
-    got = sources.import_vector_snapshot(spark, str(tmp_path / "*.json"), "m").orderBy("id").collect()
+    valid, rejected = sources.import_vector_snapshot(spark, str(tmp_path / "*.json"), "m")
+    got = valid.orderBy("id").collect()
+    assert sorted(r["id"] for r in rejected.collect()) == ["4", "x"]
     assert [(r["namespace"], r["id"], r["text"]) for r in got] == [("knowledge", 1, 'text, "q"'), ("knowledge", 2, "b")]
     assert got[0]["embedding"] == [0.5, 1.0]
 
@@ -284,3 +288,48 @@ def test_failed_delivery_is_recorded(spark):
     got = {r["alert_id"]: (r["ok"], r["error"]) for r in sinks.emit_notifications(df, make_sender).collect()}
     assert got[3] == (False, "no route") and got[4] == (True, None) and len(got) == 6
     assert sinks.emit_notifications(df).where("ok").count() == 6
+
+
+def test_null_keys_are_spread(spark):
+    from emberwatch.operators.skew import salted_join
+
+    rows = spark.range(20_000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN id % 7 END AS k")
+    lookup = spark.range(7).selectExpr("id AS k", "id * 10 AS v")
+    hot = rows.where("k = 1").groupBy("k").count().selectExpr("k", "8 AS salts")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = salted_join(rows, lookup, hot, ["k"], "left")
+        sizes = [r["count"] for r in joined.where("k IS NULL").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 15_000 and len(sizes) > 1 and max(sizes) < 6_000
+        assert joined.where("k IS NOT NULL AND v = k * 10").count() == 5_000
+        assert salted_join(rows, lookup, hot, ["k"], "left_anti").count() == 15_000
+        assert salted_join(rows, lookup, hot, ["k"], "left_semi").count() == 5_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_last_change_wins(spark):
+    from emberwatch.operators.vectors import rejected_vectors, upsert_vectors
+
+    base = spark.createDataFrame([("a", 1, "old", [1.0])], "namespace string, id bigint, text string, embedding array<float>")
+    changes = spark.createDataFrame(
+        [("a", 1, "x", [2.0], 1), ("a", 1, "y", [3.0], 2), ("a", 2, "n", None, 1), ("a", 3, "z", [0.0], 1)],
+        "namespace string, id bigint, text string, embedding array<float>, v int",
+    )
+    assert [(r["id"], r["text"]) for r in upsert_vectors(base, changes, "v").collect()] == [(1, "y")]
+    assert [r["id"] for r in rejected_vectors(changes).collect()] == [2]
+
+
+def test_notifications_are_delivered_once(spark, tmp_path):
+    def make_sender():
+        def send(row):
+            with open(tmp_path / f"{row['alert_id']}", "a") as out:
+                out.write("x")
+
+        return send
+
+    sent = sinks.emit_notifications(spark.range(5).withColumnRenamed("id", "alert_id"), make_sender)
+    assert sent.count() == 5 and sent.where("ok").count() == 5
+    assert [f.read_text() for f in sorted(tmp_path.iterdir())] == ["x"] * 5
