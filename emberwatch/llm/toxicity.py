@@ -40,27 +40,31 @@ _STEP = 1 << 20  # characters hashed at once
 
 
 class NGrams:
-    """The distinct n-gram buckets of a text; one object per task, because it keeps a scratch table."""
+    """The distinct n-gram buckets of a text, in order."""
 
     def __init__(self, lengths: tuple[int, ...] = LENGTHS, bits: int = BITS):
         self.lengths, self.shift = lengths, np.uint32(32 - bits)
-        self.seen = np.zeros(1 << bits, dtype=bool)
 
     def of(self, text: str | None) -> np.ndarray:
         codes = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le"), dtype="<u4")
-        longest = max(self.lengths)
+        found, longest = np.zeros(0, dtype=np.uint32), max(self.lengths)
         for lo in range(0, len(codes), _STEP):
-            part = codes[lo:lo + _STEP + longest - 1]
+            part, parts = codes[lo:lo + _STEP + longest - 1], [found]
             h = np.zeros(len(part), dtype=np.uint32)
-            for n in range(1, longest + 1):
-                if n > len(part):
-                    break
-                h = h[: len(part) - n + 1] * np.uint32(0x01000193) + part[n - 1:]
+            for n in range(1, min(longest, len(part)) + 1):
+                h = h[: len(part) - n + 1] * np.uint32(0x01000193)
+                h += part[n - 1:]
                 if n in self.lengths:
-                    self.seen[(h ^ h >> np.uint32(15)) * np.uint32(0x9E3779B1) >> self.shift] = True
-        found = np.flatnonzero(self.seen)
-        self.seen[found] = False
-        return found
+                    mixed = h ^ h >> np.uint32(15)
+                    mixed *= np.uint32(0x9E3779B1)
+                    mixed >>= self.shift
+                    parts.append(mixed)
+            found = np.concatenate(parts)
+            found.sort()
+            fresh = np.ones(len(found), dtype=bool)
+            np.not_equal(found[1:], found[:-1], out=fresh[1:])
+            found = found[fresh]
+        return found.astype(np.int64)
 
 
 @dataclass
