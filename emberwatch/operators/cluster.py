@@ -35,7 +35,7 @@ from emberwatch.operators.components import (
 )
 from emberwatch.operators.embed import distinct_texts, embed_texts, text_key
 from emberwatch.operators.knn import unit_rows
-from emberwatch.operators.skew import hot_keys, join_lookup, salted_join
+from emberwatch.operators.skew import hot_keys, join_lookup, measured, salted_join
 from emberwatch.settings import DEFAULTS, Settings
 
 TICK_US = 1
@@ -362,7 +362,7 @@ def _assigned(real, silent, found, reduced, tick, conf: Settings) -> DataFrame:
     # the rows per (text, tick) are known from the reduction
     size = reduced.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
     ticked = real.select("id", "ts", "text_key", "scope", tick)
-    if size["rows"] <= conf.broadcast_rows:
+    if size["rows"] <= conf.broadcast_rows and measured(lookup, conf) is not None:
         joined = ticked.join(F.broadcast(lookup), keys)
     else:
         joined = salted_join(ticked, lookup, hot_keys(reduced, keys, size["total"], conf), keys, "inner")

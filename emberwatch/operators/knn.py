@@ -114,12 +114,16 @@ def knn_fast(
     namespace: str | None = None,
     conf: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Exact top-K with the vectors sent to the tasks when there are at most
-    ``conf.broadcast_vectors`` of them; otherwise the same rows from :func:`knn`."""
-    prepared = _prepare_vectors(vectors, namespace)
-    if prepared.select("id").count() > conf.broadcast_vectors:
-        return knn(queries, vectors, k, namespace, conf)
-    local = prepared.toArrow()  # a measured, small number of rows
+    """Exact top-K with the vectors sent to the tasks when there are at most ``conf.broadcast_vectors`` of them and
+    ``conf.broadcast_bytes`` of their components; otherwise the same rows from :func:`knn`. The
+    vectors are evaluated once."""
+    prepared = cut(_prepare_vectors(vectors, namespace))
+    size = prepared.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0)).alias("bytes")
+    ).first()
+    if size["rows"] > conf.broadcast_vectors or size["bytes"] > conf.broadcast_bytes:
+        return _blocked(queries, prepared, k, conf)
+    local = prepared.toArrow()  # few rows and bytes, as measured
     schema = _hit_schema(queries)
     ranked = f"query_id {schema.split(' ')[1].rstrip(',')}, rank int, id bigint, similarity double"
     if local.num_rows == 0:
@@ -145,9 +149,12 @@ def knn(
     conf: Settings = DEFAULTS,
 ) -> DataFrame:
     """Exact top-K for tables of any size."""
+    return _blocked(queries, _prepare_vectors(vectors, namespace), k, conf)
+
+
+def _blocked(queries: DataFrame, prepared: DataFrame, k: int, conf: Settings) -> DataFrame:
     q = cut(_prepare_queries(queries)).withColumn("bucket", F.lit(0).cast("bigint"))
-    v = _prepare_vectors(vectors, namespace).withColumn("bucket", F.lit(0).cast("bigint"))
-    return _ranked(_grid(q, v, k, conf), k)
+    return _ranked(_grid(q, prepared.withColumn("bucket", F.lit(0).cast("bigint")), k, conf), k)
 
 
 def knn_approx(

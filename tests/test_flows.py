@@ -194,18 +194,19 @@ def test_replay_equals_one_by_one(spark, make_alerts, make_kb):
     assert final[1] == final[2] == "deposited"
 
 
-def test_asof_with_many_changes(spark, make_alerts, make_kb, monkeypatch):
+def test_asof_with_changes_in_many_cells(spark, make_alerts, make_kb):
     from emberwatch.functions.logs import parse_logs
-    from emberwatch.operators import retrieve
 
-    kb = make_kb([SEED])
-    spans = spark.sql("SELECT 1L AS id, TIMESTAMP '2024-01-01 00:00:05' AS valid_from, TIMESTAMP '2024-01-01 00:00:15' AS valid_to")
+    kb = make_kb([(i, *SEED[1:]) for i in (1, 2, 3)])
+    spans = spark.sql("""SELECT * FROM VALUES
+      (1L, TIMESTAMP '2024-01-01 00:00:05', TIMESTAMP '2024-01-01 00:00:15'),
+      (2L, TIMESTAMP '2024-01-01 01:00:00', TIMESTAMP '2024-01-01 01:00:59'),
+      (3L, TIMESTAMP '2024-01-01 01:00:30', CAST(NULL AS timestamp)) AS t(id, valid_from, valid_to)""")
     vecs = knowledge.vectors_of(kb).join(spans, "id")
-    alerts = parse_logs(make_alerts([(i, float(s), None, SEED[1]) for i, s in enumerate((0, 5, 14.9, 15))]))
-    for limit in (512, 0):
-        monkeypatch.setattr(retrieve, "_CHANGE_LIMIT", limit)
-        got = {r["id"]: len(r["hits"]) for r in retrieve_asof(alerts, vecs, kb).collect()}
-        assert got == {0: 0, 1: 1, 2: 1, 3: 0}
+    times = (0, 5, 14.9, 15, 3599.9, 3600, 3629.9, 3630, 3659, 90_000)
+    alerts = parse_logs(make_alerts([(i, float(s), None, SEED[1]) for i, s in enumerate(times)]))
+    got = {r["id"]: [h["knowledge_id"] for h in r["hits"]] for r in retrieve_asof(alerts, vecs, kb).collect()}
+    assert got == {0: [], 1: [1], 2: [1], 3: [], 4: [], 5: [2], 6: [2], 7: [2, 3], 8: [3], 9: [3]}
 
 
 def test_semantic_search(spark, make_kb):
