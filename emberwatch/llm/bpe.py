@@ -37,26 +37,27 @@ SHARED = 32  # bytes of the longest match that is looked up in the shared table
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
+def parts_of(text: str) -> list[tuple[list[str], list[str]]]:
+    """The pieces of a text in order, as runs of pieces without and then with a blank before them."""
+    if not text:
+        return []
+    if text.replace("\n", " ") == " ".join(text.split()):
+        lines = [line.split(" ") for line in text.split("\n")]  # single blanks and single line ends, which are matches
+    else:
+        lines = [_CUT.split(text)]
+    return [(line[:1] if i == 0 else ["\n", line[0]], line[1:]) for i, line in enumerate(lines)]
+
+
 def encode_pieces(text: str, heads: dict, rest: dict, fill: Callable) -> list:
     """What ``heads`` (pieces without) and ``rest`` (pieces with a blank before them) hold for the pieces of a
     text, in order; ``fill`` completes the missing ones."""
-    if text.replace("\n", " ") == " ".join(text.split()):
-        lines = text.split("\n")  # white space is single blanks and single line ends, which are matches
-        parts = [line.split(" ") for line in lines]
-    else:
-        parts = [_CUT.split(text)]
     out: list = []
-    for i, part in enumerate(parts):
-        first = part[:1] if i == 0 else ["\n", part[0]]
-        found = list(map(heads.get, first))
-        if None in found:
-            fill(heads, first, found, "")
-        out += found
-        tail = part[1:]
-        found = list(map(rest.get, tail))
-        if None in found:
-            fill(rest, tail, found, " ")
-        out += found
+    for first, tail in parts_of(text):
+        for known, pieces, blank in ((heads, first, ""), (rest, tail, " ")):
+            found = list(map(known.get, pieces))
+            if None in found:
+                fill(known, pieces, found, blank)
+            out += found
     return out
 
 
