@@ -5,9 +5,10 @@ label are dealt to shards of about ``SHARD`` points; a task builds the graph of
 Every block of points then queries every shard of its label: a beam search finds the neighbourhood, cosines
 are verified in double precision, and what is at or above the threshold is a link. Beams widen in two ways. A
 beam that holds nothing but links may have missed some, so that query is repeated with a wider one, up to a
-beam of the whole shard. And each block audits itself: ``AUDIT`` of its queries are compared with all points of the
-shard, and while the share of links found is below ``RECALL``, the whole block searches again with twice
-the beam. A task hands on the number of links per query and a spanning forest of its links; only those are
+beam of the whole shard. And each block audits each beam: of the queries that end with it, ``AUDIT`` are compared
+with all points of the shard. Each has to have found its ``EVIDENCE`` nearest points, which exist whether it has links or
+not; every query counts the same, and those that go on to wider beams (large groups) are audited there, apart from the
+others. While the mean is below ``RECALL``, the queries search again with twice the beam. A task hands on the number of links per query and a spanning forest of its links; only those are
 shuffled, never pairs. Components are joined across shards by Spark.
 
 Defined cases: vectors that are null, empty, zero, or have null or non-finite components, and vectors with a null
@@ -36,6 +37,7 @@ NEIGHBOURS = 16  # links kept per node of a layer; twice as many in the lowest
 BUILD_BEAM = 48
 BEAM = 48
 AUDIT = 128
+EVIDENCE = 10  # nearest points that an audited query has to find, however far they are
 RECALL = 0.999
 _BATCH = 256
 _SLACK = 1e-4  # of single precision, while searching
@@ -194,15 +196,30 @@ class Graph:
 
 
 def _scan(exact: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All links by comparing with every point, block by block."""
+    """All pairs that can be links by comparing with every point, block by block, in single precision."""
     rows, columns = [], []
-    for lo in range(0, len(queries), _BATCH):
-        i, j = np.nonzero(queries[lo:lo + _BATCH] @ exact.T >= threshold - 1e-9)
+    points, asked = exact.astype(np.float32), queries.astype(np.float32)
+    for lo in range(0, len(asked), _BATCH):
+        i, j = np.nonzero(asked[lo:lo + _BATCH] @ points.T >= threshold - _SLACK)
         rows.append(i + lo)
         columns.append(j)
     return np.concatenate(rows), np.concatenate(columns)
 
 
+def recall(exact: np.ndarray, queries: np.ndarray, ids: np.ndarray, own: np.ndarray | None = None) -> float:
+    """The share of its ``EVIDENCE`` true nearest points that each query has among ``ids``, on average over the
+    queries; ``own`` are their own places in the shard, which do not count."""
+    cosine = queries @ exact.T
+    if own is not None:
+        cosine[np.arange(len(own)), own] = -np.inf
+    k = min(EVIDENCE, len(exact) - (own is not None))
+    if not len(queries) or not k:
+        return 1.0
+    least = np.partition(cosine, -k, axis=1)[:, -k, None]
+    met = (np.take_along_axis(cosine, np.maximum(ids, 0), 1) >= least) & (ids >= 0)
+    return float(np.minimum(met.sum(1), k).mean() / k)
+
+
 def _confirmed(exact: np.ndarray, queries: np.ndarray, row: np.ndarray, place: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of candidate pairs those whose cosine in double precision is at or above the threshold."""
     kept = np.zeros(len(row), dtype=bool)
@@ -212,32 +229,40 @@ def _confirmed(exact: np.ndarray, queries: np.ndarray, row: np.ndarray, place: n
     return row[kept], place[kept]
 
 
-def links_of(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """``(query, place)`` of all links found, itself included; see the module text for how beams widen."""
+def links_of(
+    graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM, own: bool = False,
+) -> tuple[np.ndarray, np.ndarray]:
+    """``(query, place)`` of all links found, itself included; see the module text for how beams widen. ``own``: the
+    queries are the points of the shard."""
     asked = queries.astype(np.float32)
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    row, place = _confirmed(exact, queries[audit], *_scan(exact, queries[audit], threshold), threshold)
-    true = set(zip(audit[row].tolist(), place.tolist()))
-    while True:
-        open_, rows, places, wide = np.arange(len(queries)), [], [], beam
-        while len(open_):
-            if 2 * wide >= len(exact) or wide > 16 * beam:  # a beam of the whole shard
-                i, j = _scan(exact, queries[open_], threshold)
-                rows.append(open_[i])
-                places.append(j)
-                break
-            ids, sims = graph.near(asked[open_], wide)
-            close = sims >= threshold - _SLACK
-            done = ~close.all(axis=1)
-            i, j = np.nonzero(close & done[:, None])
+    open_, rows, places, wide = np.arange(len(queries)), [], [], beam
+    while len(open_):
+        if 2 * wide >= len(exact) or wide > 16 * beam:  # a beam of the whole shard
+            i, j = _scan(exact, queries[open_], threshold)
             rows.append(open_[i])
-            places.append(ids[i, j])
-            open_, wide = open_[~done], 4 * wide
-        row, place = _confirmed(exact, queries, np.concatenate(rows), np.concatenate(places), threshold)
-        found = true & set(zip(row.tolist(), place.tolist()))
-        if len(found) >= RECALL * len(true) or 2 * beam >= len(exact):
-            return row, place
-        beam *= 2
+            places.append(j)
+            break
+        ids, sims = graph.near(asked[open_], wide)
+        close = sims >= threshold - _SLACK
+        done = ~close.all(axis=1)
+        ended = np.flatnonzero(done)
+        some = ended[np.unique(np.linspace(0, len(ended) - 1, min(AUDIT, len(ended))).astype(int))]
+        audit, met = open_[some], ids[some]
+        passed = True
+        while recall(exact, queries[audit], met, audit if own else None) < RECALL:
+            passed, wide = False, 2 * wide  # the audited ones alone try wider beams, then all
+            if 2 * wide >= len(exact) or wide > 16 * beam:
+                break
+            met = graph.near(asked[audit], wide)[0]
+        if not passed:
+            continue
+        i, j = np.nonzero(close & done[:, None])
+        rows.append(open_[i])
+        places.append(ids[i, j])
+        open_, wide = open_[~done], 4 * wide
+    if not rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return _confirmed(exact, queries, np.concatenate(rows), np.concatenate(places), threshold)
 
 
 def _unit(blob: bytes, dim: int) -> np.ndarray:
@@ -289,7 +314,7 @@ def links(points: DataFrame, threshold: float = THRESHOLD, shard_size: int = SHA
         out = []
         for w in pdf.itertuples():
             exact, queries = _unit(w.vectors, w.dim), _unit(w.q_vectors, w.dim)
-            row, place = links_of(Graph.load(exact, w.graph), exact, queries, threshold)
+            row, place = links_of(Graph.load(exact, w.graph), exact, queries, threshold, own=w.shard == w.block)
             nodes, asked = np.frombuffer(w.nodes, "<i8"), np.frombuffer(w.q_nodes, "<i8")
             counts = np.frombuffer(w.counts, "<i8")
             other = asked[row] != nodes[place]

@@ -92,6 +92,24 @@ def test_graph_finds_what_a_scan_finds():
     assert len(row) >= 0.999 * (unit @ unit.T >= 0.95).sum()
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_audit_sees_lost_pairs_of_small_groups(own):
+    rnd = np.random.default_rng(5)
+    hot = rnd.normal(size=32) + rnd.normal(size=(600, 32)) * 0.02
+    first = rnd.normal(size=(1000, 32))
+    unit = np.concatenate([hot, first, first + rnd.normal(size=first.shape) * 0.01])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    graph = embedding_dedup.Graph(unit)
+    low = graph.layers[-1]
+    low.links[low.nodes[low.links] >= 1600] = -1  # a bad graph: no way leads to the second of a pair
+    # another shard's block: few of its queries have a link here, and none that is audited
+    queries = unit if own else np.concatenate([rnd.normal(size=(1500, 32)), unit[1601:1605], rnd.normal(size=(1500, 32))])
+    queries = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    row, place = embedding_dedup.links_of(graph, unit, queries, 0.98, beam=48, **({"own": True} if own else {}))
+    true = set(zip(*(x.tolist() for x in np.nonzero(queries @ unit.T >= 0.98))))
+    assert set(zip(row.tolist(), place.tolist())) == true
+
+
 @pytest.mark.parametrize("shard", [16_384, 40])
 def test_embedding_components(spark, shard):
     rnd = np.random.default_rng(9)
