@@ -13,7 +13,7 @@ weights added, until there is one.
 **Scale.** The model is as large as the corpus and is never in one place. Texts are cut into blocks (bounded Arrow
 batches), which are written with their words as numbers. Each block asks for the n-grams that it
 holds: their 64-bit hashes go, packed, to buckets by hash, with the block's training counts. A bucket adds
-up what all blocks know and answers each block with the totals, in the order of the question.
+up what all blocks know and answers each block with what the others add, in the order of the question.
 With them a block builds the part of the automaton that its texts can reach and scores them. An n-gram
 comes once per block, so a frequent one makes no bucket larger than the others. Buckets and blocks are sized by
 ``BUCKET_KEYS`` and ``BLOCK_CHARS``; both kinds of exchange carry 8 + 4 bytes per distinct n-gram of a block.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.llm.common import fold, stash
 
-ORDER = 2
+ORDER = 3
 K = 2.0  # pseudo-count of the shorter context
 ADD = 0.1
 BLOCK_CHARS = 4 << 20
@@ -171,7 +171,8 @@ def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
         begin = np.uint64(xxhash.xxh64_intdigest(_MARKS[_BEGIN]))
         word = (total > 0) & (distinct != begin) if n == 1 else np.zeros(len(distinct), dtype=bool)
         cut = np.cumsum([0, *map(len, keys)])
-        answers = [total[inverse[cut[i]:cut[i + 1]]].tobytes() for i in range(len(keys))]
+        others = total[inverse] - counts  # what other blocks add: mostly 0 for long n-grams, and packs well
+        answers = [others[cut[i]:cut[i + 1]].tobytes() for i in range(len(keys))]
         frame = pd.DataFrame({"block": own["block"].to_numpy(), "length": n, "bucket": own["bucket"].to_numpy(), "totals": answers})
         frame["kinds"], frame["sum"] = 0, 0
         frame.loc[0, ["kinds", "sum"]] = int(word.sum()), int(total[word].sum())
@@ -295,9 +296,9 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
         out = []
         for row in own.to_dict("records"):
             block, grams = Block.of(row), []
-            for n, (_, which, first, _) in enumerate(block.grams(order), 1):
+            for n, (_, which, first, count) in enumerate(block.grams(order), 1):
                 parts = totals[totals["length"] == n].sort_values("bucket")["totals"]
-                total = np.concatenate([np.frombuffer(t, "<u8") for t in parts]).astype(np.int64)
+                total = count + np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(t, "<u8") for t in parts)]).astype(np.int64)
                 grams.append(Gram(which, first, total))
             out.append(_scored(block, grams, n_all, n_kinds))
         return pd.concat(out)

@@ -171,6 +171,16 @@ def test_language_model(make_docs, odd_docs, no_docs, order, monkeypatch):
     assert {(r["score"], r["base_score"], r["train_tokens"]) for r in flat} == {(0.0, 0.0, 0)}
 
 
+def test_language_model_query_looks_back_two_words(make_docs):
+    import zlib
+
+    out = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][:60]
+    docs = [(i, ("red is warm", "blue is cold")[k % 2]) for k, i in enumerate(train)] + [(out[0], "red is warm"), (out[1], "red is cold")]
+    got = {r["doc_id"]: r["score"] for r in language_model.report(make_docs(docs)).collect()}
+    assert got[out[0]] > got[out[1]] + 1  # the last word alone would make them equal
+
+
 def test_pipeline_stage_links_all_pairs_of_similarity_080(spark, make_docs, monkeypatch):
     import corpus_pipeline
 
