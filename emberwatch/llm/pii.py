@@ -198,7 +198,8 @@ def candidates(text: str) -> list[Candidate]:
             groups = [g.span() for g in _GROUP.finditer(text, m.start(), m.end())]
             found += _number_candidates(text, groups)
     low = text.lower()
-    if "@" in text or (" dot " in low and " at " in low) or any(b + a in low for b in "[({" for a in ("at", " at")):
+    # every match of the pattern begins with one of these
+    if "@" in text or " at " in low or any(b + a in low for b in "[({" for a in ("at", " at")):
         for m in _SPELT.finditer(text):
             found += _mail_candidates(text, m)
     return sorted(found, key=lambda c: (c.start, c.stop, c.kind))

@@ -109,6 +109,16 @@ def pii_docs(make_docs):
     return make_docs(rows)
 
 
+@pytest.mark.parametrize("text", [
+    "joe at example [dot] com", "joe at mail (dot) example (dot) org", "joe at example.com", "joe AT example dot com",
+    "joe [at] example.com", "joe( at )example dot com", "joe{ AT}example.com", "no address at all",
+])
+def test_candidates_do_not_depend_on_far_text(text):
+    own = [(c.start, c.stop, c.kind) for c in pii.candidates(text)]
+    more = [(c.start, c.stop, c.kind) for c in pii.candidates(text + ". Then, far away, @ and no more")]
+    assert own == [c for c in more if c[1] <= len(text)] and bool(own) == text.startswith("joe")
+
+
 def test_field_adds_what_the_patterns_miss(pii_docs, odd_docs, no_docs):
     model = pii.train(pii_docs)
     found = lambda t: [(t[a:b], k) for a, b, k in pii.all_spans(t, model)[1]]
