@@ -15,11 +15,13 @@ for every attempt; only names that reached the written manifest count, so a repe
 Bases come from a running sum over the manifest, which has a row per part, not per document.
 
 Defined cases: null and empty texts have only the end id; null doc_ids come first; rows of equal doc_id are in
-order of their texts; an empty table gives a store without parts; extra columns are ignored."""
+order of their texts; an empty table gives a store without parts; extra columns are ignored; the string of an added
+token in a text is that token, and a text with one is encoded whole."""
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -50,7 +52,8 @@ class LibraryEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # does a token begin with a blank?
@@ -87,6 +90,9 @@ class LibraryEncoder:
             looked_up = []
             for text in texts[lo:lo + 256]:
                 own = []
+                if self.added and self.added.search(text or ""):  # one token, as the library has it
+                    looked_up.append(self._ids([text])[0].tobytes())
+                    continue
                 for runs in parts_of(text or ""):
                     for known, pieces, unknown in zip((self.heads, self.rest), runs, new):
                         found = list(map(known.get, pieces))
@@ -96,6 +102,9 @@ class LibraryEncoder:
                 looked_up.append(own)
             self._learn(*map(list, new))
             for own in looked_up:
+                if isinstance(own, bytes):
+                    yield own
+                    continue
                 out: list[bytes] = []
                 for known, pieces, found in own:
                     out += map(known.__getitem__, pieces) if None in found else found

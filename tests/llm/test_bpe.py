@@ -64,6 +64,16 @@ def test_ids_and_back(odd_docs):
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in rows)
 
 
+def test_added_tokens_in_a_text_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_files.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    texts = ["one two", "<|endoftext|>", "end of one.<|endoftext|> Next  text <|endoftext|>\n", "<|endoftext|", None, "two <|endoftext|> one"]
+    got = [np.frombuffer(x, "<u2").tolist() for x in token_files.LibraryEncoder(path).encode(texts)]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_store(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
 
