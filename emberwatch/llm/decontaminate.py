@@ -201,7 +201,7 @@ def _hits(texts: list[str | None], before: list, block: Windows) -> pa.Array:
         }
         if old:
             spans, names = _merged(old["spans"], spans), names.union(old["items"])
-        out.append({"n_words": int(size[i]), "spans": spans, "items": sorted(names)})
+        out.append({"n_words": int(size[i]), "spans": spans, "items": sorted(names, key=lambda x: (x is None, x or ""))})
     return pa.array(out, type=_ARROW_HIT)
 
 
@@ -219,7 +219,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
     """The items in blocks of at most so many words (or one item), read one partition at a time."""
     items, words = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
-    for row in rows.where("i is not null").toLocalIterator():
+    for row in rows.toLocalIterator():
         size = len(words_of(row["t"]))
         if items and words + size > block_words:
             yield items
@@ -235,7 +235,7 @@ def with_hits(
 ) -> DataFrame:
     """``docs`` with a column ``out``: words, spans of words hit, and items found, for every row.
 
-    Items with a null id are left out: they cannot be named."""
+    Items with a null id count together as one item, a null at the end of the items."""
     sc = docs.sparkSession.sparkContext
     result = docs.withColumn(out, F.lit(None).cast(HIT_TYPE))
     for items in _blocks(benchmark, block_words):

@@ -47,6 +47,17 @@ def test_hits_equal_brute_force(spark, make_docs, block_words, monkeypatch):
     assert got == brute_hits(docs, items)
 
 
+def test_items_without_an_id_count(spark, make_docs):
+    passage = " ".join(f"p{i}" for i in range(12))
+    benchmark = spark.createDataFrame([(None, passage), (7, "p1 p2")], "item_id bigint, text string")
+    docs = make_docs([(1, "start " + passage + " end"), (2, "clean text"), (3, "p1 p2")])
+    digest = hashlib.sha256(b"7").hexdigest()
+    got = {r[0]: tuple(r)[1:] for r in decontaminate.report(docs, benchmark).collect()}
+    assert got[1] == (14, 12, 2, digest, True) and got[3] == (2, 2, 1, digest, True) and got[2][-1] is False
+    only = benchmark.where("item_id is null")
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, only).orderBy("doc_id").collect()] == [2, 3]
+
+
 def test_longest_matches_and_removal(spark, make_docs):
     passage = " ".join(f"p{i}" for i in range(25))
     benchmark = spark.createDataFrame([(1, passage), (2, None)], "item_id bigint, text string")
