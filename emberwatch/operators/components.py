@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.cluster_io import cut
@@ -13,6 +13,7 @@ from emberwatch.operators.skew import join_lookup
 from emberwatch.settings import DEFAULTS, Settings
 
 _STRIP = 512  # rows scored at once inside one block
+FINISH_EDGES = 100_000  # a contracted graph of at most so many edges is finished by one task
 
 
 def block_pairs(members: DataFrame, group: list[str], conf: Settings = DEFAULTS) -> DataFrame:
@@ -78,39 +79,105 @@ def star_edges(members: DataFrame, group: list[str], threshold: float) -> DataFr
     return slim.groupBy(*group, "lo", "hi").applyInPandas(stars, "node bigint, hub bigint")
 
 
-def connected_components(edges: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Every node of the edges ``a, b`` with the smallest node of its component."""
+    names, at = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
+    a, b = at[: len(pdf)], at[len(pdf):]
+    root = np.arange(len(names))
+    while len(a):
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(root, hi, lo)  # hook on the smallest neighbour, then jump until flat
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return pd.DataFrame({"node": names, "root": names[root]})
+
+
+def _one_task(live: DataFrame) -> DataFrame:
+    """Finish a graph of bounded size (``finish_edges``) in one task."""
+
+    def finish(parts):
+        parts = [p for p in parts if len(p)]
+        if parts:
+            yield _forest(pd.concat(parts, ignore_index=True))
+
+    return live.coalesce(1).mapInPandas(finish, "node bigint, root bigint")
+
+
+def _known_size(nodes: int, conf: Settings) -> tuple[int, int] | None:
+    """Rows and bytes of a table of pairs of numbers, where that may be broadcast."""
+    fits = nodes <= conf.broadcast_rows and 32 * nodes <= conf.broadcast_bytes
+    return (nodes, 32 * nodes) if fits else None
+
+
+def _hooked(live: DataFrame, salt: int, size: tuple[int, int] | None, conf: Settings) -> DataFrame:
+    """``(node, root)``: every node hooks on the neighbour that comes first in an order by hash, if that is
+    before itself; then all jump to the root of their tree."""
+    def rank(c: str) -> Column:
+        return F.struct(F.xxhash64(F.lit(salt), F.col(c)).alias("h"), F.col(c).alias("node"))
+
+    both = live.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), rank("b").alias("near")),
+        F.struct(F.col("b").alias("node"), rank("a").alias("near")),
+    )).alias("e")).select("e.node", "e.near")
+    near = both.groupBy("node").agg(F.min("near").alias("near"))
+    flat = cut(near.select("node", F.least("near", rank("node"))["node"].alias("root")))
+    while True:
+        above = flat.select(F.col("node").alias("root"), F.col("root").alias("_above"))
+        flat = cut(join_lookup(flat, above, "root", "inner", conf, size).select(
+            "node", F.col("_above").alias("root"), (F.col("root") != F.col("_above")).alias("_moved")
+        ))
+        moved = not flat.where("_moved").isEmpty()
+        flat = flat.drop("_moved")
+        if not moved:
+            return flat
+
+
+def _contracted(live: DataFrame, roots: DataFrame, size: tuple[int, int] | None, conf: Settings) -> DataFrame:
+    """The edges between different roots, each once."""
+    for end in ("a", "b"):
+        named = roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
+        live = join_lookup(live, named, end, "inner", conf, size)
+    return (
+        live.where("_a <> _b")
+        .select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+    )
+
+
+def connected_components(
+    edges: DataFrame, conf: Settings = DEFAULTS, finish_edges: int = FINISH_EDGES
+) -> DataFrame:
     """``(node, component)`` with the smallest node of each component as its name.
 
-    Every round each node takes the smallest label around it and then the label of its label, so
-    the rounds grow with the logarithm of the longest chain. Lineage is cut each round."""
-    both = cut(
+    Rounds of contraction: every node hooks on its first neighbour in an order by hash that is drawn anew
+    each round, trees are flattened by pointer jumping, and only edges between different roots are kept.
+    A node is first among its neighbours with a chance of 1 / (neighbours + 1), so at least half of the
+    nodes are expected to go each round, whatever the shape of the graph: a chain loses two thirds, and
+    its trees are as deep as the logarithm of its length. What is left is finished by one task once it has at most
+    ``finish_edges`` edges. The rounds' tables shrink like the graph; they are put together from the
+    smallest one up. Hubs are salted by :func:`join_lookup`; lineage is cut each round."""
+    ends = edges.select(F.explode(F.array("node", "hub")).alias("node")).distinct()
+    live = cut(
         edges.where("node <> hub")
-        .select(F.explode(F.array(F.struct(F.col("node").alias("a"), F.col("hub").alias("b")),
-                                  F.struct(F.col("hub").alias("a"), F.col("node").alias("b")))).alias("e"))
-        .select("e.a", "e.b")
-        .distinct()
+        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     )
-    labels = cut(
-        edges.select(F.explode(F.array("node", "hub")).alias("node")).distinct()
-        .withColumn("component", F.col("node"))
-    )
-    while True:
-        around = (
-            join_lookup(both, labels.withColumnRenamed("node", "b"), "b", "inner", conf)
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("_near"))
-        )
-        stepped = labels.join(around, "node", "left").select(
-            "node", F.col("component").alias("_old"),
-            F.least("component", F.coalesce("_near", "component")).alias("component"),
-        )
-        stepped = cut(stepped)
-        jump = stepped.select(F.col("node").alias("component"), F.col("component").alias("_root"))
-        moved = cut(
-            join_lookup(stepped, jump, "component", "inner", conf).select(
-                "node", "_old", F.least("component", "_root").alias("component")
-            )
-        )
-        labels = moved.select("node", "component")
-        if moved.where("_old <> component").isEmpty():
-            return labels
+    levels = []
+    while left := live.count():
+        if left <= finish_edges:
+            levels.append(cut(_one_task(live)))
+            break
+        size = _known_size(2 * left, conf)
+        levels.append(_hooked(live, len(levels), size, conf))
+        live = cut(_contracted(live, levels[-1], size, conf))
+    if not levels:
+        return ends.withColumn("component", F.col("node"))
+    roots = levels.pop()
+    while levels:
+        up = roots.select(F.col("node").alias("root"), F.col("root").alias("_top"))
+        roots = cut(join_lookup(levels.pop(), up, "root", "left", conf).select(
+            "node", F.coalesce("_top", "root").alias("root")
+        ))
+    names = roots.groupBy("root").agg(F.min("node").alias("component"))
+    named = join_lookup(roots, names, "root", "inner", conf).select("node", "component")
+    return ends.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

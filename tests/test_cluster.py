@@ -76,6 +76,19 @@ def test_equals_the_sequential_answer(storm, window, threshold, options):
     assert got.where("is_leader <> (id = cluster_key)").isEmpty()
 
 
+def test_rounds_of_contraction(spark, monkeypatch):
+    """A chain of nodes in random order, a star and a lone node: few rounds whatever the shape."""
+    rounds, hook = [], components._hooked
+    monkeypatch.setattr(components, "_hooked", lambda live, salt, *more: rounds.append(salt) or hook(live, salt, *more))
+    names = np.random.default_rng(3).permutation(20_001).tolist()
+    chain, star = names[:10_000], names[10_000:20_000]
+    rows = [*zip(chain, chain[1:]), *((star[0], x) for x in star[1:]), (names[-1], names[-1])]
+    edges = spark.createDataFrame(rows, "node bigint, hub bigint").repartition(4)
+    got = components.connected_components(edges, finish_edges=50).toPandas().set_index("node")["component"]
+    assert len(got) == 20_001 and len(rounds) <= 20
+    assert (got[chain] == min(chain)).all() and (got[star] == min(star)).all() and got[names[-1]] == names[-1]
+
+
 def test_two_similar_alerts(make_alerts):
     df = make_alerts([
         (1, 0.0, "s1", "HikariPool connection not available timeout 30000ms"),
