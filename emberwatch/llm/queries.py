@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberwatch.llm import (
-    bpe, decontaminate, embedding_dedup, language, language_model, pii, simhash, token_files, toxicity, word_pieces,
+    bpe, decontaminate, embedding_dedup, filter_audit, language, language_model, packing, pii, resampling, simhash,
+    token_files, toxicity, word_pieces,
 )
 from emberwatch.llm.common import table
 
@@ -50,17 +51,107 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_toxicity, op3_embedding_dedup, op4_language_model, op5_simhash, op6_word_pieces, op7_token_files,
-        op8_language, op9_decontaminate, op10_bpe,
+        op8_language, op9_decontaminate, op10_bpe, op11_resampling, op12_filter_audit, op13_packing,
     )
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+def _crc_table() -> list[int]:
+    """The CRC-32 table, from its polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        out.append(c)
+    return out
+
+
 ORACLE = {
+    "op11_resampling": rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, 's' AS kind, doc_id, text FROM documents
+  UNION ALL SELECT row_number() OVER (), 't', NULL, text FROM benchmark),
+words AS (
+  SELECT r, kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+feature AS (
+  SELECT r, kind, unnest(w || [w[i] || ' ' || w[i + 1] for i in generate_series(1, len(w) - 1)]) AS f FROM words),
+hashed AS (
+  SELECT f, xor(list_reduce(
+    [4294967295::BIGINT] || [('0x' || substr(hex(encode(f)), 2 * i - 1, 2))::BIGINT for i in generate_series(1, octet_length(encode(f)))],
+    lambda a, b: xor(a >> 8, ({_crc_table()})[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM feature)),
+cells AS (SELECT bucket, count(*) FILTER (kind = 's') AS s, count(*) FILTER (kind = 't') AS t FROM feature JOIN hashed USING (f) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM cells) + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM cells) + 10000)::DOUBLE)))::BIGINT AS g FROM cells),
+weighed AS (
+  SELECT r, count(*) AS n_features, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight
+  FROM feature JOIN hashed USING (f) JOIN gain USING (bucket) WHERE kind = 's' GROUP BY r),
+scored AS (
+  SELECT words.r, doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weighed USING (r) WHERE kind = 's'),
+ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score::BIGINT AS score,
+  CASE WHEN rank <= 25 * (SELECT count(*) FROM ranked) // 100 THEN rank END::BIGINT AS rank
+FROM scored LEFT JOIN ranked USING (r)
+""",
+    "op12_filter_audit": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM w GROUP BY text),
+failed AS (
+  SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(first_id < doc_id, false)] AS f
+  FROM w JOIN firsts USING (text)),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+kinds AS (
+  SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM failed LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE instr(o, x) = 0),
+steps AS (
+  SELECT o AS filter_order, unnest(generate_series(1, 5))::INT AS step, [ascii(c) - 64 for c in string_split(o, '')] AS p
+  FROM orders WHERE length(o) = 5),
+met AS (
+  SELECT filter_order, step, part, n, good, toxic,
+    len(list_filter(p[:step - 1], lambda i: f[i])) > 0 AS gone, f[p[step]] AS fails,
+    len(list_filter(f, lambda x: x)) = 1 AS once
+  FROM steps, kinds),
+counted AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS x,
+    sum(n) FILTER (NOT gone AND NOT fails) AS kept, sum(n) FILTER (NOT gone AND fails) AS removed,
+    sum(n) FILTER (gone AND fails) AS redundant, sum(n) FILTER (fails AND once) AS unique_fails,
+    sum(n) FILTER (NOT gone AND fails AND good) AS good_lost, sum(n) FILTER (NOT gone AND fails AND toxic) AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, x), 0)::BIGINT AS shapley
+FROM counted
+""",
     "op3_embedding_dedup": """
 WITH RECURSIVE u AS (
   SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),

@@ -20,6 +20,11 @@ ODD = [
 ]
 
 
+@pytest.fixture(scope="session")
+def odd_rows():
+    return ODD
+
+
 @pytest.fixture(scope="session")
 def odd_docs(make_docs):
     return make_docs(ODD)
