@@ -1,7 +1,8 @@
 """Token ids of the tokenizers library, for many texts at a time.
 
 Texts repeat their words, so a batch is cut into chunks that the tokenizer treats each for itself. Arrow cuts and numbers
-the distinct chunks; only chunks that the task has not met are given to the library; ids are
+the distinct chunks; only chunks that the task has not met are given to the library, many in one text with an added token
+between them: the library cuts there before anything else, and no other text has that token's id. Ids are
 put together with numpy. No Python code runs per word of a text."""
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHE = 400_000  # chunks remembered by a task, about 200 bytes each
-SLICE = 4 << 20  # bytes of text that are cut at once, one text at least
+SLICE = 8 << 20  # bytes of text that are cut at once, one text at least
+_JOINED = 64  # chunks given to the library in one text
+_SPACE = "\\x00-\\x20\\x7f-\\xa0\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}"  # all white space, and more
+_WORD_END = "([A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{17f}])([.,;:!?])"  # a word ends before the mark, whatever follows
 
 
 class ChunkEncoder:
@@ -26,8 +30,9 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.added = "|".join(map(re.escape, added))  # tokens by their string, wherever it stands in a text
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))  # tokens wherever their string stands
+        self.between = next(iter(added.items()), None)
         self.cut = cut
         self._forget()
 
@@ -39,21 +44,32 @@ class ChunkEncoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(c.ids, dtype=np.uint32) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks and their number in each; no chunk holds an added token."""
+        if self.between is None:
+            ids = self.whole(chunks)
+            return np.concatenate(ids), np.array(list(map(len, ids)))
+        mark, number = self.between
+        joined = [mark.join(chunks[lo:lo + _JOINED]) + mark for lo in range(0, len(chunks), _JOINED)]
+        ids = np.concatenate(self.whole(joined))
+        own = ids != number
+        return ids[own], np.diff(np.cumsum(own)[~own], prepend=0)
+
     def _slots(self, chunks: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
             self._forget()
         found = list(map(self.known.get, chunks))
         if None in found:
             new = [c for c, slot in zip(chunks, found) if slot is None]
-            ids = self.whole(new)
+            ids, size = self._apart(new)
             self.known.update(zip(new, range(len(self.stop) - 1, len(self.stop) - 1 + len(new))))
-            self.ids = np.concatenate([self.ids, *ids])
-            self.stop = np.concatenate([self.stop, self.stop[-1] + np.cumsum([len(x) for x in ids])])
+            self.ids = np.concatenate([self.ids, ids])
+            self.stop = np.concatenate([self.stop, self.stop[-1] + np.cumsum(size)])
             found = list(map(self.known.__getitem__, chunks))
         return np.array(found, dtype=np.int64)
 
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:
-        special = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else None
+        special = pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False) if self.added else None
         some = special is not None and special.any()
         cut = self.cut(pc.if_else(pa.array(special), pa.scalar(""), texts) if some else texts)
         coded = cut.flatten().dictionary_encode()
@@ -81,5 +97,23 @@ class ChunkEncoder:
 
 
 def between_blanks(texts: pa.Array) -> pa.ListArray:
-    """Chunks between ASCII white space, for tokenizers that drop white space."""
-    return pc.ascii_split_whitespace(texts)
+    """Chunks between ASCII white space and before the mark that ends a word, for tokenizers that drop white space and case.
+    ASCII letters become small where no combining mark could meet them."""
+    marks = pc.match_substring_regex(texts, r"\p{M}")
+    texts = pc.if_else(marks, texts, pc.ascii_lower(texts))
+    return pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _WORD_END, r"\1 \2"))
+
+
+def before_blanks(texts: pa.Array) -> pa.ListArray:
+    """Chunks that begin with a blank before another character or with the mark that ends a word, line ends before
+    another character, and what stands between them, for byte-level tokenizers: no match of their pattern crosses such a place. A text with a null character is one chunk."""
+    odd = pc.match_substring(texts, "\0")
+    marked = pc.replace_substring_regex(texts, f"\n([^{_SPACE}])", "\0\n\0\\1")
+    marked = pc.replace_substring_regex(marked, f" ([^{_SPACE}])", "\0 \\1")
+    marked = pc.replace_substring_regex(marked, _WORD_END, "\\1\0\\2")
+    if not pc.any(odd).as_py():
+        return pc.split_pattern(marked, "\0")
+    cut = pc.split_pattern(marked, "\0").to_pylist()
+    return pa.array(
+        [[t] if own else c for t, c, own in zip(texts.to_pylist(), cut, odd.to_pylist())], pa.large_list(pa.large_string())
+    )

@@ -199,13 +199,15 @@ def test_packing(make_docs, no_docs, odd_rows):
     assert packing.report(no_docs).count() == 0
 
 
-def test_chunks_and_whole_texts_have_the_same_ids(monkeypatch):
+@pytest.mark.parametrize("file, cut", [("word_bpe_49k.json", "between_blanks"), ("byte_bpe_50k.json", "before_blanks")])
+def test_chunks_and_whole_texts_have_the_same_ids(monkeypatch, file, cut):
     import pyarrow as pa
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    monkeypatch.setattr(library_ids, "SLICE", 40)
-    monkeypatch.setattr(library_ids, "CACHE", 30)
-    own = library_ids.ChunkEncoder(path, library_ids.between_blanks)
+    monkeypatch.setattr(library_ids, "SLICE", 400)
+    monkeypatch.setattr(library_ids, "CACHE", 300)
+    own = library_ids.ChunkEncoder(public_tokenizers.path(file), getattr(library_ids, cut))
     rnd = random.Random(1)
-    texts = ["".join(rnd.choice("ab 'sTé́\t\n\x0b\x1c  ﬁΣ1٣😀.<|endoftext|>") for _ in range(rnd.randrange(40))) for _ in range(300)]
+    signs = [*"abSTH '.,;!=*1é\u0301\u0331\u0338\t\n\r\x0b\x1c\x85\xa0\u2003\u3000\u200bﬁΣİ٣😀日", "  ", "'s", "'LL", "\n\n", "word", "<|endoftext|>"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(60))) for _ in range(3000)]
+    texts += ["a\0b c", "\0", "x <|ENDOFTEXT|> y", "Z" * 9000]
     assert [x.tolist() for x in own.encode(pa.array([*texts, None]))] == [x.tolist() for x in own.whole([*texts, ""])]
