@@ -20,8 +20,6 @@ token in a text is that token, and a text with one is encoded whole."""
 
 from __future__ import annotations
 
-import os
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -33,82 +31,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberwatch.llm.bpe import parts_of
 from emberwatch.llm.common import new_folder
+from emberwatch.llm.library_ids import ChunkEncoder, before_blanks
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 PART_BYTES = 32 << 20  # of text in one part, about
-CACHE = 700_000  # pieces, about 200 bytes each
 _PART = "part int, name string, width int, n_docs bigint, n_null bigint, n_ids bigint"
 
 
-class LibraryEncoder:
-    """Encodes with the tokenizers library. Texts repeat their words, so the pieces of some texts that are not known yet
-    are encoded together, each once, and remembered (``CACHE`` at most, then all are forgotten)."""
+class LibraryEncoder(ChunkEncoder):
+    """Encodes with the tokenizers library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        super().__init__(path, before_blanks)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # does a token begin with a blank?
-        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.heads: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, dtype=f"<u{self.width}") for c in coded]
-
-    def _learn(self, heads: list[str], rest: list[str]) -> None:
-        """Encode unknown pieces. Pieces that follow a blank are put together in one text: none has a blank inside,
-        so each begins where a token begins with one. Where that does not add up they are encoded singly."""
-        self.heads.update(zip(heads, (x.tobytes() for x in self._ids(heads))))
-        for lo in range(0, len(rest), 512):
-            part = rest[lo:lo + 512]
-            joined = " ".join(part)
-            ids = self._ids([f" {joined}"])[0] if len(joined.split()) == len(part) else np.zeros(0, int)
-            start = np.flatnonzero(self.opens[ids])
-            if len(start) == len(part):
-                found = [x.tobytes() for x in np.split(ids, start[1:])]
-            else:
-                found = [x.tobytes() for x in self._ids([f" {p}" for p in part])]
-            self.rest.update(zip(part, found))
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text; some texts at a time are looked through for unknown pieces."""
-        for lo in range(0, len(texts), 256):
-            for known in (self.heads, self.rest):
-                if len(known) > CACHE:
-                    known.clear()
-            new: tuple[set, set] = set(), set()
-            looked_up = []
-            for text in texts[lo:lo + 256]:
-                own = []
-                if self.added and self.added.search(text or ""):  # one token, as the library has it
-                    looked_up.append(self._ids([text])[0].tobytes())
-                    continue
-                for runs in parts_of(text or ""):
-                    for known, pieces, unknown in zip((self.heads, self.rest), runs, new):
-                        found = list(map(known.get, pieces))
-                        if None in found:
-                            unknown.update(p for p, ids in zip(pieces, found) if ids is None)
-                        own.append((known, pieces, found))
-                looked_up.append(own)
-            self._learn(*map(list, new))
-            for own in looked_up:
-                if isinstance(own, bytes):
-                    yield own
-                    continue
-                out: list[bytes] = []
-                for known, pieces, found in own:
-                    out += map(known.__getitem__, pieces) if None in found else found
-                yield b"".join(out)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -138,9 +75,9 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_i
         offsets.write(np.zeros(1, "<u8").tobytes())
         while first is not None:
             sizes = np.zeros(first.num_rows, dtype="<u8")
-            for i, found in enumerate(own.encode(first.column("text").to_pylist())):
-                ids.write(found + end)
-                sizes[i] = len(found) // own.width + 1
+            for i, found in enumerate(own.encode(first.column("text"))):
+                ids.write(found.astype(f"<u{own.width}").tobytes() + end)
+                sizes[i] = len(found) + 1
             total = np.cumsum(sizes, dtype="<u8")
             offsets.write((total + np.uint64(offset)).astype("<u8").tobytes())
             doc = first.column("doc_id").cast(pa.int64())

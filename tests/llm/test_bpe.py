@@ -3,6 +3,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -70,7 +71,7 @@ def test_added_tokens_in_a_text_are_the_library_s():
     path = public_tokenizers.path(token_files.TOKENIZER)
     library = Tokenizer.from_file(path)
     texts = ["one two", "<|endoftext|>", "end of one.<|endoftext|> Next  text <|endoftext|>\n", "<|endoftext|", None, "two <|endoftext|> one"]
-    got = [np.frombuffer(x, "<u2").tolist() for x in token_files.LibraryEncoder(path).encode(texts)]
+    got = [x.tolist() for x in token_files.LibraryEncoder(path).encode(pa.array(texts))]
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
