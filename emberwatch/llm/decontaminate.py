@@ -27,6 +27,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.llm.common import unused
+
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
 
@@ -279,8 +281,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with the columns they had."""
-    kept = with_hits(docs, benchmark, "__hits", window)
-    return kept.where(F.size("__hits.spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    hits = unused(docs, "_hits")
+    kept = with_hits(docs, benchmark, hits, window)
+    return kept.where(F.size(F.col(hits)["spans"]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _digest(names: list[str]) -> str:

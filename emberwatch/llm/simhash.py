@@ -14,7 +14,8 @@ decides where points are compared, never whether. Only distinct points and edges
 
 Defined cases: a null or empty text has no words and fingerprint 0; such rows link like any others;
 fewer words than a shingle are one shingle; a component is named by its smallest non-null doc_id (null if
-it has none); an empty table gives an empty result; repeated rows are one point and stay repeated."""
+it has none); an empty table gives an empty result; repeated rows are one point and stay repeated; extra columns, whatever their
+names, are carried by :func:`deduplicate` and not looked at."""
 
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberwatch.llm.common import stash
+from emberwatch.llm.common import stash, unused
 from emberwatch.operators.components import connected_components
 from emberwatch.operators.skew import join_lookup
 
@@ -227,15 +228,16 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component: the one with the smallest doc_id, then the smallest row number.
 
     The columns are those of ``docs``. Rows are numbered once, so that repeated rows are told apart."""
-    rows = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    prints = stash(rows.select(F.col("__row").alias("doc_id"), _fingerprints("text").alias("bits"), F.col("doc_id").alias("own")), "simhash-prints")
+    row = unused(docs, "_row")
+    rows = stash(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    prints = stash(rows.select(F.col(row).alias("doc_id"), _fingerprints("text").alias("bits"), F.col("doc_id").alias("own")), "simhash-prints")
     classes = components(prints.select("doc_id", "bits"), radius)
     rank = F.struct(F.col("own").isNull(), F.col("own"), F.col("doc_id"))
     first = (
         classes.join(prints.select("doc_id", "own"), "doc_id")
         .groupBy("component_id").agg(F.min(rank).alias("r"))
-        .select(F.col("r.doc_id").alias("__row"))
+        .select(F.col("r.doc_id").alias(row))
     )
     # row numbers are unique, so no key is hot: the same shuffled join at every size
-    kept = rows.join(first.hint("merge"), "__row", "left_semi")
+    kept = rows.join(first.hint("merge"), row, "left_semi")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberwatch.llm.common import fold, stash
+from emberwatch.llm.common import fold, stash, unused
 from emberwatch.operators.skew import join_lookup
 
 LENGTHS = (3, 4, 5)
@@ -218,7 +218,8 @@ def learnable() -> Column:
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the model does not reject."""
-    return score(docs, model, "__toxic").where(F.col("__toxic") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = unused(docs, "_toxic")
+    return score(docs, model, own).where(F.col(own) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

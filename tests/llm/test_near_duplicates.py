@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from emberwatch.llm import embedding_dedup, language_model, shingle_dedup, simhash
+from emberwatch.llm import embedding_dedup, language_model, simhash
 
 
 def components(n, pairs):
@@ -181,33 +181,23 @@ def test_language_model_query_looks_back_two_words(make_docs):
     assert got[out[0]] > got[out[1]] + 1  # the last word alone would make them equal
 
 
-def test_pipeline_stage_links_all_pairs_of_similarity_080(spark, make_docs, monkeypatch):
-    import corpus_pipeline
-
-    monkeypatch.setattr(shingle_dedup, "CELL", 16)
-    rnd = random.Random(7)
-    base = [[rnd.choice("abcdefgh") + str(rnd.randrange(900)) for _ in range(200)] for _ in range(60)]
-
-    def changed(words, n):
-        words = list(words)
-        for at in rnd.sample(range(len(words)), n):
-            words[at] = f"new{rnd.randrange(10**6)}"
-        return " ".join(words)
-
-    docs = [(i, " ".join(b)) for i, b in enumerate(base)]
-    docs += [(100 + i, changed(b, 1 + i % 8)) for i, b in enumerate(base)]
-    docs += [(200 + i, changed(base[0], 2)) for i in range(60)]  # a large group: pairs of it are at about 0.8
-    docs += [(300, None), (301, ""), (302, "few words"), (303, "Few  words")]
-    sets = []
-    for _, t in docs:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    alike = lambda a, b: (len(a & b) / len(a | b) if a | b else 1.0) >= 0.8
-    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if alike(sets[i], sets[j])]
-    true = {docs[c][0] for c in components(len(docs), pairs)}
-    kept = corpus_pipeline.drop_near_duplicates(spark, make_docs(docs), "")
-    assert kept.columns == make_docs(docs).columns and {r["doc_id"] for r in kept.collect()} == true
-    assert 60 < len(true) < 120 and kept.count() == len(true)
+def test_stages_carry_columns_of_any_name(spark, make_docs):
+    from emberwatch.llm import decontaminate, toxicity
+
+    docs = make_docs([(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, "quite another thing here"), (4, None)])
+    names = ["_row", "_hits", "_toxic", "own", "x", "_HITS_", "component_id", "bits", "r", "leaf"]
+    for n, name in enumerate(names):
+        docs = docs.withColumn(name, docs["doc_id"] * 100 + n)
+    bench = spark.createDataFrame([(1, "quite another thing here")], "item_id bigint, text string")
+    marks = spark.createDataFrame([(1, 0), (3, 1)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, marks, toxicity.learnable())
+    for kept, ids in (
+        (simhash.deduplicate(docs), {1, 3, 4}), (decontaminate.decontaminate(docs, bench), {1, 2, 4}),
+        (toxicity.remove_toxic(docs, model, 2.0), {1, 2, 3, 4}),
+    ):
+        rows = kept.collect()
+        assert kept.columns == docs.columns and {r["doc_id"] for r in rows} == ids
+        assert all(r[name] == r["doc_id"] * 100 + n for r in rows for n, name in enumerate(names))
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path, make_docs):
