@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import bpe, decontaminate, pii, shingle_dedup, toxicity
+from emberwatch.llm import bpe, decontaminate, pii, simhash, toxicity
 from emberwatch.llm.common import stash, table
 
 
@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return shingle_dedup.deduplicate(docs)
+    """One document of each component of SimHash fingerprints: four-word shingles, at most four differing bits."""
+    return simhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
