@@ -34,12 +34,26 @@ class ChunkEncoder:
         self.added = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))  # tokens wherever their string stands
         self.between = next(iter(added.items()), None)
         self.cut = cut
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, dtype=np.uint32)
         self.stop = np.zeros(1, dtype=np.int64)
+        self.used = np.zeros(0, dtype=np.int64)  # by chunk, how many slices had it since the last tidying
+
+    def _gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some chunks and where each chunk's begin and end."""
+        size = self.stop[slot + 1] - self.stop[slot]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(self.stop[slot] - stop[:-1], size) + np.arange(stop[-1])], stop
+
+    def _tidy(self) -> None:
+        """Forget the chunks that only one slice had; all, if that is not enough."""
+        kept = np.flatnonzero(self.used > 1)
+        if 2 * len(kept) > CACHE:
+            kept = kept[:0]
+        names = list(self.known)  # in order of their numbers
+        self.known = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.ids, self.stop = self._gather(kept)
+        self.used = np.zeros(len(kept), dtype=np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(c.ids, dtype=np.uint32) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,7 +71,7 @@ class ChunkEncoder:
 
     def _slots(self, chunks: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
-            self._forget()
+            self._tidy()
         found = list(map(self.known.get, chunks))
         if None in found:
             new = [c for c, slot in zip(chunks, found) if slot is None]
@@ -65,8 +79,11 @@ class ChunkEncoder:
             self.known.update(zip(new, range(len(self.stop) - 1, len(self.stop) - 1 + len(new))))
             self.ids = np.concatenate([self.ids, ids])
             self.stop = np.concatenate([self.stop, self.stop[-1] + np.cumsum(size)])
+            self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int64)])
             found = list(map(self.known.__getitem__, chunks))
-        return np.array(found, dtype=np.int64)
+        slots = np.array(found, dtype=np.int64)
+        self.used[slots] += 1
+        return slots
 
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:
         special = pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False) if self.added else None
@@ -74,9 +91,7 @@ class ChunkEncoder:
         cut = self.cut(pc.if_else(pa.array(special), pa.scalar(""), texts) if some else texts)
         coded = cut.flatten().dictionary_encode()
         slot = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        size = self.stop[slot + 1] - self.stop[slot]
-        stop = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.stop[slot] - stop[:-1], size) + np.arange(stop[-1])]
+        ids, stop = self._gather(slot)
         bound = stop[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         out = [ids[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
         if some:
@@ -105,11 +120,10 @@ def between_blanks(texts: pa.Array) -> pa.ListArray:
 
 
 def before_blanks(texts: pa.Array) -> pa.ListArray:
-    """Chunks that begin with a blank before another character or with the mark that ends a word, line ends before
-    another character, and what stands between them, for byte-level tokenizers: no match of their pattern crosses such a place. A text with a null character is one chunk."""
+    """Chunks that begin with a blank or line end before another character, or with the mark that ends a word, for
+    byte-level tokenizers: no match of their pattern crosses such a place. A text with a null character is one chunk."""
     odd = pc.match_substring(texts, "\0")
-    marked = pc.replace_substring_regex(texts, f"\n([^{_SPACE}])", "\0\n\0\\1")
-    marked = pc.replace_substring_regex(marked, f" ([^{_SPACE}])", "\0 \\1")
+    marked = pc.replace_substring_regex(texts, f"([ \n][^{_SPACE}])", "\0\\1")
     marked = pc.replace_substring_regex(marked, _WORD_END, "\\1\0\\2")
     if not pc.any(odd).as_py():
         return pc.split_pattern(marked, "\0")
