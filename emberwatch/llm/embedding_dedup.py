@@ -1,14 +1,15 @@
 """Near-duplicate embeddings with hierarchical navigable small-world graphs.
 
 Vectors are compared within their label. Exact copies become one point with a count. The points of a
-label are dealt to shards of about ``SHARD`` points; a task builds the graph of its shard and writes it.
-Every block of points then queries every shard of its label: a beam search finds the neighbourhood, cosines
-are verified in double precision, and what is at or above the threshold is a link. Beams widen in two ways. A
-beam that holds nothing but links may have missed some, so that query is repeated with a wider one, up to a
-beam of the whole shard. And each block audits each beam: of the queries that end with it, ``AUDIT`` are compared
-with all points of the shard. Each has to have found its ``EVIDENCE`` nearest points, which exist whether it has links or
-not; every query counts the same, and those that go on to wider beams (large groups) are audited there, apart from the
-others. While the mean is below ``RECALL``, the queries search again with twice the beam. A task hands on the number of links per query and a spanning forest of its links; only those are
+label are dealt to shards of about ``SHARD`` points. Within a shard a point that is at or above the threshold with
+an earlier leader belongs to that leader's group, else it is a leader; the graph has the leaders alone, so a large group
+of near copies is one node. A task builds and writes its shard. Every block of points then queries every shard of its label: a beam search
+finds the leaders near a query. By the triangle inequality of angles only leaders within the threshold's angle plus
+the width of their group can have linked members; the members of those are compared in double precision, and what is
+at or above the threshold is a link. Beams widen in two ways. A beam that holds nothing but such leaders may have missed some, so that query
+is repeated with a wider one, up to a beam of the whole shard. And beams are audited: ``AUDIT`` queries are compared
+with all leaders of the shard, before the first search and again among the queries that end with each beam. Each has to have found its
+``EVIDENCE`` nearest leaders, which exist whether it has links or not; every query counts the same. While the mean is below ``RECALL``, the beam is doubled. A task hands on the number of links per query and a spanning forest of its links; only those are
 shuffled, never pairs. Components are joined across shards by Spark.
 
 Defined cases: vectors that are null, empty, zero, or have null or non-finite components, and vectors with a null
@@ -41,7 +42,7 @@ EVIDENCE = 10  # nearest points that an audited query has to find, however far t
 RECALL = 0.999
 _BATCH = 256
 _SLACK = 1e-4  # of single precision, while searching
-_EXPAND = 4  # nodes opened at once per query
+_EXPAND = 4  # nodes opened at once per query, more in wide beams
 
 
 @dataclass
@@ -142,7 +143,7 @@ class Graph:
         every = np.arange(q)
         ids[:, 0], sims[:, 0], opened[:, 0] = start, np.einsum("ad,ad->a", vectors[start], asked), False
         seen[every, start] = True
-        expand = min(_EXPAND, beam)
+        expand = min(max(_EXPAND, beam // 16), beam)
         while len(live := np.flatnonzero(~opened.all(axis=1))):
             score = np.where(opened[live], -np.inf, sims[live])
             best = np.argpartition(-score, expand - 1, axis=1)[:, :expand]
@@ -184,85 +185,139 @@ class Graph:
             sims.append(score)
         return np.concatenate(ids), np.concatenate(sims)
 
+
+class Shard:
+    """Points in groups around leaders, and the graph of the leaders."""
+
+    def __init__(self, exact: np.ndarray, threshold: float = THRESHOLD, saved: bytes | None = None):
+        self.exact = exact
+        if saved is None:
+            self.group = self._groups(exact.astype(np.float32), threshold)
+        else:
+            with np.load(io.BytesIO(saved)) as x:
+                self.group = x["group"]
+                layers = [Layer(x[f"n{i}"], x[f"l{i}"]) for i in range((len(x.files) - 1) // 2)]
+        self.leaders = np.unique(self.group)
+        self.number = np.searchsorted(self.leaders, self.group)  # of each point's leader
+        self.members = np.argsort(self.number, kind="stable")
+        self.bounds = np.searchsorted(self.number[self.members], np.arange(len(self.leaders) + 1))
+        self.centres = exact[self.leaders]
+        self.graph = Graph(self.centres) if saved is None else Graph(self.centres, layers)
+
+    @staticmethod
+    def _groups(unit: np.ndarray, threshold: float) -> np.ndarray:
+        """The place of every point's leader."""
+        leader = np.arange(len(unit))
+        chosen = np.zeros(0, dtype=np.int64)
+        for lo in range(0, len(unit), _BATCH):
+            part = np.arange(lo, min(lo + _BATCH, len(unit)))
+            if len(chosen):
+                cosine = unit[part] @ unit[chosen].T
+                best = cosine.argmax(axis=1)
+                near = cosine[np.arange(len(part)), best] >= threshold
+                leader[part[near]] = chosen[best[near]]
+                part = part[~near]
+            inner, new = unit[part] @ unit[part].T >= threshold, []
+            for k in range(len(part)):
+                own = [j for j in new if inner[k, j]]
+                if own:
+                    leader[part[k]] = part[own[0]]
+                else:
+                    new.append(k)
+            chosen = np.concatenate([chosen, part[new]])
+        return leader
+
+    def least(self, threshold: float) -> np.ndarray:
+        """By leader, the cosine below which none of its members can be linked with a query."""
+        cosine = np.einsum("ad,ad->a", self.exact, self.exact[self.group])
+        width = np.zeros(len(self.leaders))
+        np.maximum.at(width, self.number, np.arccos(np.clip(cosine, -1, 1)))
+        return np.cos(np.minimum(np.pi, np.arccos(np.clip(threshold, -1, 1)) + width))
+
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, **{f"{kind}{i}": x for i, y in enumerate(self.layers) for kind, x in (("n", y.nodes), ("l", y.links))})
+        layers = {f"{kind}{i}": x for i, y in enumerate(self.graph.layers) for kind, x in (("n", y.nodes), ("l", y.links))}
+        np.savez(out, group=self.group, **layers)
         return out.getvalue()
 
-    @classmethod
-    def load(cls, unit: np.ndarray, data: bytes) -> Graph:
-        with np.load(io.BytesIO(data)) as x:
-            return cls(unit, [Layer(x[f"n{i}"], x[f"l{i}"]) for i in range(len(x.files) // 2)])
-
-
-def _scan(exact: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs that can be links by comparing with every point, block by block, in single precision."""
-    rows, columns = [], []
-    points, asked = exact.astype(np.float32), queries.astype(np.float32)
-    for lo in range(0, len(asked), _BATCH):
-        i, j = np.nonzero(asked[lo:lo + _BATCH] @ points.T >= threshold - _SLACK)
-        rows.append(i + lo)
-        columns.append(j)
-    return np.concatenate(rows), np.concatenate(columns)
-
-
-def recall(exact: np.ndarray, queries: np.ndarray, ids: np.ndarray, own: np.ndarray | None = None) -> float:
-    """The share of its ``EVIDENCE`` true nearest points that each query has among ``ids``, on average over the
-    queries; ``own`` are their own places in the shard, which do not count."""
-    cosine = queries @ exact.T
-    if own is not None:
-        cosine[np.arange(len(own)), own] = -np.inf
-    k = min(EVIDENCE, len(exact) - (own is not None))
-    if not len(queries) or not k:
+
+def recall(centres: np.ndarray, queries: np.ndarray, ids: np.ndarray, own: np.ndarray) -> float:
+    """The share of its ``EVIDENCE`` true nearest leaders that each query has among ``ids``, on average over the
+    queries; ``own`` is a query's own number among the leaders (-1: none), which does not count."""
+    k = min(EVIDENCE, len(centres) - 1)
+    if not len(queries) or k < 1:
         return 1.0
+    cosine = queries @ centres.T
+    mine = np.flatnonzero(own >= 0)
+    cosine[mine, own[mine]] = -np.inf
     least = np.partition(cosine, -k, axis=1)[:, -k, None]
     met = (np.take_along_axis(cosine, np.maximum(ids, 0), 1) >= least) & (ids >= 0)
     return float(np.minimum(met.sum(1), k).mean() / k)
 
 
-def _confirmed(exact: np.ndarray, queries: np.ndarray, row: np.ndarray, place: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of candidate pairs those whose cosine in double precision is at or above the threshold."""
-    kept = np.zeros(len(row), dtype=bool)
-    for lo in range(0, len(row), 65_536):
-        at = slice(lo, lo + 65_536)
-        kept[at] = np.einsum("ad,ad->a", queries[row[at]], exact[place[at]]) >= threshold
-    return row[kept], place[kept]
+def _confirmed(shard: Shard, queries: np.ndarray, row: np.ndarray, number: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(query, place)`` of the members of candidate leaders whose cosine in double precision is at or above the threshold."""
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    size = shard.bounds[number + 1] - shard.bounds[number]
+    rows, places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    one = np.flatnonzero(size == 1)
+    for lo in range(0, len(one), 65_536):
+        at = one[lo:lo + 65_536]
+        place = shard.leaders[number[at]]
+        kept = np.einsum("ad,ad->a", queries[row[at]], shard.exact[place]) >= threshold
+        rows.append(row[at][kept])
+        places.append(place[kept])
+    several = np.flatnonzero(size > 1)
+    for own in np.split(several, np.flatnonzero(np.diff(number[several])) + 1) if len(several) else ():
+        members = shard.members[shard.bounds[number[own[0]]]:shard.bounds[number[own[0]] + 1]]
+        for lo in range(0, len(own), _BATCH):
+            part = row[own[lo:lo + _BATCH]]
+            i, j = np.nonzero(queries[part] @ shard.exact[members].T >= threshold)
+            rows.append(part[i])
+            places.append(members[j])
+    return np.concatenate(rows), np.concatenate(places)
 
 
 def links_of(
-    graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM, own: bool = False,
+    shard: Shard, queries: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM, own: bool = False,
 ) -> tuple[np.ndarray, np.ndarray]:
     """``(query, place)`` of all links found, itself included; see the module text for how beams widen. ``own``: the
     queries are the points of the shard."""
-    asked = queries.astype(np.float32)
-    open_, rows, places, wide = np.arange(len(queries)), [], [], beam
+    graph, asked, n = shard.graph, queries.astype(np.float32), len(shard.leaders)
+    least = (shard.least(threshold) - _SLACK).astype(np.float32)
+    lowest, open_, wide, rows, numbers = least.min(initial=1), np.arange(len(queries)), beam, [], []
+    mine = np.where(shard.group == np.arange(len(queries)), shard.number, -1) if own else np.full(len(queries), -1)
+
+    def some(of: np.ndarray) -> np.ndarray:
+        return np.unique(np.linspace(0, len(of) - 1, min(AUDIT, len(of))).astype(int))
+
+    def passes(audit: np.ndarray, met: np.ndarray) -> bool:
+        return recall(shard.centres, queries[audit], met, mine[audit]) >= RECALL
+
+    first = some(open_)
+    while 2 * wide < n and not passes(first, graph.near(asked[first], wide)[0]):
+        wide *= 2
     while len(open_):
-        if 2 * wide >= len(exact) or wide > 16 * beam:  # a beam of the whole shard
-            i, j = _scan(exact, queries[open_], threshold)
-            rows.append(open_[i])
-            places.append(j)
+        if 2 * wide >= n or wide > 16 * beam:  # a beam of the whole shard
+            for lo in range(0, len(open_), _BATCH):
+                i, j = np.nonzero(asked[open_[lo:lo + _BATCH]] @ graph.unit.T >= least)
+                rows.append(open_[lo + i])
+                numbers.append(j)
             break
         ids, sims = graph.near(asked[open_], wide)
-        close = sims >= threshold - _SLACK
-        done = ~close.all(axis=1)
+        done = ~(sims >= lowest).all(axis=1)
         ended = np.flatnonzero(done)
-        some = ended[np.unique(np.linspace(0, len(ended) - 1, min(AUDIT, len(ended))).astype(int))]
-        audit, met = open_[some], ids[some]
-        passed = True
-        while recall(exact, queries[audit], met, audit if own else None) < RECALL:
-            passed, wide = False, 2 * wide  # the audited ones alone try wider beams, then all
-            if 2 * wide >= len(exact) or wide > 16 * beam:
-                break
-            met = graph.near(asked[audit], wide)[0]
-        if not passed:
+        at = ended[some(ended)] if len(ended) else ended
+        if not passes(open_[at], ids[at]):
+            wide *= 2
             continue
-        i, j = np.nonzero(close & done[:, None])
+        i, j = np.nonzero((sims >= least[ids]) & (ids >= 0) & done[:, None])
         rows.append(open_[i])
-        places.append(ids[i, j])
+        numbers.append(ids[i, j])
         open_, wide = open_[~done], 4 * wide
-    if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return _confirmed(exact, queries, np.concatenate(rows), np.concatenate(places), threshold)
+    none = np.zeros(0, dtype=np.int64)
+    return _confirmed(shard, queries, np.concatenate([none, *rows]), np.concatenate([none, *numbers]), threshold)
 
 
 def _unit(blob: bytes, dim: int) -> np.ndarray:
@@ -288,11 +343,11 @@ def links(points: DataFrame, threshold: float = THRESHOLD, shard_size: int = SHA
         pdf = pdf.sort_values("node", ignore_index=True)
         dim = int(pdf["dim"].iloc[0])
         exact = np.stack(pdf["embedding"].to_numpy()).astype("<f8")
-        graph = Graph(_unit(exact.tobytes(), dim))
+        shard = Shard(_unit(exact.tobytes(), dim), threshold)
         return pd.DataFrame({
             "label": [pdf["label"].iloc[0]], "dim": [dim], "shard": [pdf["shard"].iloc[0]],
             "nodes": [pdf["node"].to_numpy("<i8").tobytes()], "counts": [pdf["n"].to_numpy("<i8").tobytes()],
-            "vectors": [exact.tobytes()], "graph": [graph.dump()],
+            "vectors": [exact.tobytes()], "graph": [shard.dump()],
         })
 
     slim = dealt.select(F.col("label").cast("string").alias("label"), "dim", "shard", "node", "n", "embedding")
@@ -314,7 +369,7 @@ def links(points: DataFrame, threshold: float = THRESHOLD, shard_size: int = SHA
         out = []
         for w in pdf.itertuples():
             exact, queries = _unit(w.vectors, w.dim), _unit(w.q_vectors, w.dim)
-            row, place = links_of(Graph.load(exact, w.graph), exact, queries, threshold, own=w.shard == w.block)
+            row, place = links_of(Shard(exact, threshold, w.graph), queries, threshold, own=w.shard == w.block)
             nodes, asked = np.frombuffer(w.nodes, "<i8"), np.frombuffer(w.q_nodes, "<i8")
             counts = np.frombuffer(w.counts, "<i8")
             other = asked[row] != nodes[place]

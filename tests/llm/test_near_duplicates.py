@@ -84,12 +84,15 @@ def test_graph_finds_what_a_scan_finds():
     centres = rnd.normal(size=(60, 32))
     points = np.concatenate([centres[rnd.integers(0, 60, 1500)] + rnd.normal(size=(1500, 32)) * 0.08, rnd.normal(size=(500, 32))])
     unit = points / np.linalg.norm(points, axis=1, keepdims=True)
-    graph = embedding_dedup.Graph.load(unit, embedding_dedup.Graph(unit).dump())
-    ids, _ = graph.near(unit[::7].astype(np.float32), 20)
+    ids, _ = embedding_dedup.Graph(unit).near(unit[::7].astype(np.float32), 20)
     best = np.argsort(-(unit[::7] @ unit.T), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), best.tolist())]) > 0.95
-    row, place = embedding_dedup.links_of(graph, unit, unit, 0.95, beam=8)
-    assert len(row) >= 0.999 * (unit @ unit.T >= 0.95).sum()
+    true = set(zip(*(x.tolist() for x in np.nonzero(unit @ unit.T >= 0.95))))
+    for grouped in (0.95, 0.99, 2.0):  # also where groups are tighter than links, or single points
+        shard = embedding_dedup.Shard(unit, 0.95, embedding_dedup.Shard(unit, grouped).dump())
+        row, place = embedding_dedup.links_of(shard, unit, 0.95, beam=8, own=True)
+        found = list(zip(row.tolist(), place.tolist()))
+        assert len(found) == len(set(found)) and set(found) <= true and len(found) >= 0.999 * len(true)
 
 
 @pytest.mark.parametrize("own", [True, False])
@@ -99,13 +102,13 @@ def test_audit_sees_lost_pairs_of_small_groups(own):
     first = rnd.normal(size=(1000, 32))
     unit = np.concatenate([hot, first, first + rnd.normal(size=first.shape) * 0.01])
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    graph = embedding_dedup.Graph(unit)
-    low = graph.layers[-1]
+    shard = embedding_dedup.Shard(unit, 2.0)  # single points
+    low = shard.graph.layers[-1]
     low.links[low.nodes[low.links] >= 1600] = -1  # a bad graph: no way leads to the second of a pair
     # another shard's block: few of its queries have a link here, and none that is audited
     queries = unit if own else np.concatenate([rnd.normal(size=(1500, 32)), unit[1601:1605], rnd.normal(size=(1500, 32))])
     queries = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    row, place = embedding_dedup.links_of(graph, unit, queries, 0.98, beam=48, **({"own": True} if own else {}))
+    row, place = embedding_dedup.links_of(shard, queries, 0.98, beam=48, own=own)
     true = set(zip(*(x.tolist() for x in np.nonzero(queries @ unit.T >= 0.98))))
     assert set(zip(row.tolist(), place.tolist())) == true
 
