@@ -14,15 +14,14 @@ SERVICE = (
 # A third of all rows have one text; the texts of templates 3 and 6 grow in number with the events.
 RAW_LOG = """
 CASE WHEN event_id % 3 = 0 THEN
-  'ERROR service=mailer host=mx-02 RelayClosedException: broker amqp://10.4.0.9:5672 missed its heartbeat'
+  '<11>1 - mx-02 relayd - - heartbeat of broker lost for 40 s, queue outbound frozen'
 ELSE CASE user_id % 8
-WHEN 0 THEN concat('ERROR service=mailer host=mx-02 RelayClosedException: broker amqp://10.4.0.9:5672 ',
-  'missed its heartbeat, redis token store refused writes for ', CAST(5000 + event_id % 9 AS varchar(20)), 'ms')
-WHEN 1 THEN concat('FATAL service=ledger host=led-', CAST(user_id % 16 AS varchar(20)),
-  ' ip=10.4.1.3 shard writer stalled: no quorum within 12 rounds, commits postponed (max_pool=24 lagging=7)')
-WHEN 2 THEN concat('ERROR service=indexer host=ix-05 com.orchard.feed.SegmentMergeError: heap segment checksum differs',
-  chr(10), '    at com.orchard.feed.Merger.fold(Merger.java:', CAST(user_id % 90 AS varchar(20)), ')',
-  chr(10), '    at com.orchard.feed.Worker.step(Worker.java:57)')
+WHEN 0 THEN concat('<11>1 - mx-02 relayd - - heartbeat of broker lost for ', CAST(41 + event_id % 9 AS varchar(20)),
+  ' s, redis refuses token writes')
+WHEN 1 THEN concat('{"lvl":"FATAL","unit":"ledger","peer":"led-', CAST(user_id % 16 AS varchar(20)),
+  '","what":"quorum lost in round 12","commits":"held back"} ip=10.4.1.3')
+WHEN 2 THEN concat('merge of segment ', CAST(user_id % 90 AS varchar(20)), ' given up: SegmentChecksumException', chr(10),
+  '    at feed.Merger.fold(Merger.java:', CAST(user_id % 90 AS varchar(20)), ')', chr(10), '1 of 14 segments left as they were')
 WHEN 3 THEN concat('WARNING app=uploads No space left on device /data/vol', CAST(user_id % 16 AS varchar(20)),
   '/', substr(md5(CAST(event_id AS varchar(20))), 1, 8), ' disk usage 100 percent')
 WHEN 4 THEN concat('CRITICAL module=edge certificate expired for api', CAST(user_id % 24 AS varchar(20)),
@@ -56,31 +55,22 @@ SEED_SCHEMA = (
 SEED_TIME = "2024-01-01 00:00:00"
 SEED_KNOWLEDGE = [
     (
-        1, "Mail relay closed", "Password mails are not sent",
-        "ERROR service=mailer host=mx-02 RelayClosedException: broker amqp://10.4.0.9:5672 "
-        "missed its heartbeat, redis token store refused writes",
-        "The broker reached its memory alarm and the redis cache behind it ran into oom",
-        "Mails arrive late; nothing has to be sent again.",
-        "1. read the broker's memory alarm\n2. drain the dead-letter queue\n3. restart the relay",
-        1, "seed:own", "mail, broker,redis", 1.0, True,
+        1, "relay frozen", "Outbound queue stands still",
+        "<11>1 - mx-02 relayd - - heartbeat of broker lost for 40 s, queue outbound frozen, redis refuses token writes",
+        "Broker and redis share a volume that was full (oom on write)", "Mails come late.",
+        "free the volume, then thaw the queue", 1, "seed:own", "queue, broker,redis", 1.0, True,
     ),
     (
-        2, "Ledger quorum lost", "Ledger shard cannot commit",
-        "FATAL service=ledger host=led-02 ip=10.4.1.3 shard writer stalled: no quorum within 12 rounds, "
-        "commits postponed (max_pool=24 lagging=7)",
-        "A long running report kept a mysql replica from voting",
-        "Bookings appear with a delay.",
-        "1. find the replica that lags\n2. stop the report\n3. let the shard vote again",
-        4, "seed:own", "ledger,mysql, quorum,", 1.0, True,
+        2, "quorum lost", "Ledger holds commits back",
+        '{"lvl":"FATAL","unit":"ledger","peer":"led-02","what":"quorum lost in round 12","commits":"held back"} ip=10.4.1.3',
+        "A mysql replica was busy with a report and did not vote", "Bookings appear with a delay.",
+        "end the report; call the vote again", 4, "seed:own", "ledger,mysql, quorum,", 1.0, True,
     ),
     (
-        3, "Segment merge failure", "Search index stops merging",
-        "ERROR service=indexer host=ix-05 com.orchard.feed.SegmentMergeError: heap segment checksum differs\n"
-        "    at com.orchard.feed.Merger.fold(Merger.java:88)",
-        "A node lost power while it wrote a segment",
-        "Search shows older entries for a while.",
-        "1. set the segment aside\n2. build it again from the feed\n3. check the disk",
-        0, "seed:own", None, 1.0, True,
+        3, "segment checksum", "Search index skips a segment",
+        "merge of segment 88 given up: SegmentChecksumException\n    at feed.Merger.fold(Merger.java:88)\n1 of 14 segments left as they were",
+        "Power was lost while the segment was written", "Search shows older entries for a while.",
+        "write the segment again from the feed", 0, "seed:own", None, 1.0, True,
     ),
 ]
 

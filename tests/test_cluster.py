@@ -41,7 +41,7 @@ def storm(spark, make_alerts):
         kind = i % 6
         text = (
             "redis timeout on shard 1" if kind < 2
-            else f"HikariPool connection not available after {30000 + int(rng.integers(4))}ms" if kind < 4
+            else f"parcel jam at chute nine, belt stopped for {300 + int(rng.integers(4))} seconds" if kind < 4
             else f"disk {int(rng.integers(3))} is full on node-{int(rng.integers(5))}" if kind == 4
             else "  " if i % 60 == 5 else f"kafka lag group g{int(rng.integers(6))}"
         )
@@ -91,8 +91,8 @@ def test_rounds_of_contraction(spark, monkeypatch):
 
 def test_two_similar_alerts(make_alerts):
     df = make_alerts([
-        (1, 0.0, "s1", "HikariPool connection not available timeout 30000ms"),
-        (2, 1.0, "s2", "HikariPool connection is not available request timed out 30000ms"),
+        (1, 0.0, "s1", "belt 4 stopped: parcel jam at chute nine"),
+        (2, 1.0, "s2", "belt 4 stopped again, parcel jam seen at chute nine"),
     ])
     assert {r["id"]: r["cluster_key"] for r in cluster.cluster_alerts(df, 300, 0.5).collect()} == {1: 1, 2: 1}
 
