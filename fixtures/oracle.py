@@ -293,4 +293,6 @@ def sql(select: str, extra: dict[str, str] | None = None) -> str:
         place(n)
     if not done:
         return select
-    return "WITH " + ",\n".join(f"{n} AS ({tables[n].strip()})" for n in done) + "\n" + select
+    walks = any(re.search(rf"\b{n}\b", tables[n]) for n in done)  # a table that reads itself
+    start = "WITH RECURSIVE " if walks else "WITH "
+    return start + ",\n".join(f"{n} AS ({tables[n].strip()})" for n in done) + "\n" + select

@@ -902,7 +902,40 @@ def clu_similar_pairs(v: Views):
     )
 
 
-@query()
+def _walk(scope: str) -> dict[str, str]:
+    """One alert after the other in (time, id) order, within ``scope``: an alert leads if no earlier leader of its window
+    is similar. Stretches that no similar pair crosses are walked side by side."""
+    return {
+        **_PAIRS,
+        "walk_rows": f"SELECT id, scope, us, text, row_number() OVER (PARTITION BY scope ORDER BY us, id) AS n FROM "
+        f"(SELECT id, {scope} AS scope, epoch_us(created_at) AS us, canonical_text AS text FROM parsed)",
+        "walk_sims": "SELECT hash(ta) AS ga, hash(tb) AS gb, similarity FROM pair_dots WHERE similarity >= 0.88 UNION ALL "
+        "SELECT hash(tb), hash(ta), similarity FROM pair_dots WHERE similarity >= 0.88 UNION ALL "
+        "SELECT hash(text), hash(text), 1.0 FROM alert_texts WHERE text <> ''",
+        "walk_near": f"SELECT b.scope, b.n, a.n AS m, s.similarity FROM walk_rows b JOIN walk_rows a ON a.scope = b.scope AND a.n < b.n "
+        f"AND b.us - a.us <= {WINDOW * 1_000_000} JOIN walk_sims s ON s.ga = hash(a.text) AND s.gb = hash(b.text)",
+        "walk_lists": "SELECT r.scope, r.n, r.id, coalesce(x.near, []) AS near, coalesce(x.low, r.n) AS low FROM walk_rows r "
+        "LEFT JOIN (SELECT scope, n, list(m) AS near, min(m) AS low FROM walk_near GROUP BY ALL) x ON x.scope = r.scope AND x.n = r.n",
+        "walk_cuts": "SELECT *, min(low) OVER (PARTITION BY scope ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) >= n "
+        "AS fresh FROM walk_lists",
+        "walk_parts": "SELECT *, sum(fresh::INT) OVER (PARTITION BY scope ORDER BY n) AS part FROM walk_cuts",
+        "walk_steps": "SELECT *, row_number() OVER (PARTITION BY scope, part ORDER BY n) AS step FROM walk_parts",
+        "walk": "SELECT scope, part, step, n, true AS leads, [n] AS leaders FROM walk_steps WHERE step = 1 UNION ALL "
+        "SELECT s.scope, s.part, s.step, s.n, NOT list_has_any(w.leaders, s.near), CASE WHEN list_has_any(w.leaders, s.near) "
+        "THEN w.leaders ELSE list_append(w.leaders, s.n) END FROM walk w JOIN walk_steps s ON s.scope = w.scope AND s.part = w.part "
+        "AND s.step = w.step + 1",
+        "walk_best": "SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY e.scope, e.n ORDER BY e.similarity DESC, e.m) AS pos "
+        "FROM walk_near e JOIN walk l ON l.scope = e.scope AND l.n = e.m AND l.leads) WHERE pos = 1",
+        "clustered": "SELECT r.id, CASE WHEN w.leads THEN r.id ELSE k.id END AS cluster_key, w.leads AS is_leader, "
+        "CASE WHEN w.leads THEN 1.0 ELSE b.similarity END::DOUBLE AS similarity FROM walk_rows r JOIN walk w ON w.scope = r.scope AND w.n = r.n "
+        "LEFT JOIN walk_best b ON b.scope = r.scope AND b.n = r.n LEFT JOIN walk_rows k ON k.scope = b.scope AND k.n = b.m",
+    }
+
+
+_CLUSTERED = "SELECT id, cluster_key, is_leader, similarity FROM clustered"
+
+
+@query(_CLUSTERED, _walk("''"))
 def clu_cluster_alerts(v: Views):
     return cluster.cluster_alerts(v.parsed(), WINDOW)
 
@@ -917,6 +950,14 @@ _GROUPS = {
 }
 
 
+# the same summary of the clusters of a stream with one scope per service
+_KEYED = {
+    **_walk("coalesce(service, '')"),
+    **_GROUPS,
+    "members": "SELECT c.cluster_key, a.* FROM alerts_src a JOIN clustered c ON c.id = a.id",
+}
+
+
 def members(v: Views) -> DataFrame:
     key = v.table("events").selectExpr("event_id AS id", "user_id * 10 + length(event_type) AS cluster_key")
     return v.payloads().join(key, "id")
@@ -931,12 +972,15 @@ def agg_cluster_summary(v: Views):
     )
 
 
-@query("""SELECT c.cluster_key, concat('📢 聚合告警 · ', c.n, ' 条相似异常 · ', s) AS title,
+_NOTICES = """SELECT c.cluster_key, concat('📢 聚合告警 · ', c.n, ' 条相似异常 · ', s) AS title,
   concat('在过去 30 分钟内检测到 **', c.n, '** 条高度相似的异常，涉及服务：**', s, '**。', chr(10),
   '初步判断为同一根因引起（例如：共享的数据库/缓存抖动），正在合并处理。', chr(10), chr(10), '**示例日志：**', chr(10),
   array_to_string(list_transform(e.examples, lambda x: concat('- `', x, '`')), chr(10))) AS markdown
   FROM (SELECT *, coalesce(nullif(array_to_string(services, ', '), ''), '多个服务') AS s FROM member_counts) c
-  JOIN member_examples e USING (cluster_key) WHERE c.n >= 2""", _GROUPS)
+  JOIN member_examples e USING (cluster_key) WHERE c.n >= 2"""
+
+
+@query(_NOTICES, _GROUPS)
 def txt_render_cluster_notifications(v: Views):
     notices = explain.render_cluster_notifications(cluster.cluster_summary(members(v)), WINDOW)
     return notices.select("cluster_key", "title", "markdown")
@@ -984,14 +1028,14 @@ def str_triage_knowledge(v: Views):
     return jobs.with_occurrences(v.kb(), out).select("id", F.col("occurrence_count").cast("bigint").alias("occurrence_count"))
 
 
-@query()
+@query(_CLUSTERED, _walk("''"))
 def str_clusters(v: Views):
     out, mark = fresh_path(v), fresh_path(v)
     jobs.stream_clusters(alert_stream(v), out, mark, WINDOW, available_now=True).awaitTermination()
     return v.spark.read.parquet(f"{out}/members").select("id", "cluster_key", "is_leader", "similarity")
 
 
-@query()
+@query(f"SELECT n.cluster_key, m.n AS count, n.title, n.markdown FROM ({_NOTICES}) n JOIN member_counts m USING (cluster_key)", _KEYED)
 def str_clusters_keyed(v: Views):
     out, mark = fresh_path(v), fresh_path(v)
     jobs.stream_clusters(alert_stream(v), out, mark, WINDOW, key="service", available_now=True).awaitTermination()
