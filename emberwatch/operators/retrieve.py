@@ -6,11 +6,12 @@ back to the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.cluster_io import cut
 from emberwatch.functions.logs import parse_logs
+from emberwatch.operators.asof import last_change
 from emberwatch.operators.embed import embed_texts, text_key
 from emberwatch.operators.knn import knn_fast
 from emberwatch.operators.listing import knowledge_view
@@ -116,7 +117,7 @@ def retrieve_asof(
     What an alert sees depends on its text and on how many of the changes came before it, so equal
     texts between two changes are one query.
     """
-    pairs = _with_last_change(alerts, vectors)
+    pairs = _with_last_change(alerts, vectors, conf)
     spread = F.concat_ws("|", F.unix_micros("_at").cast("string"), F.col("canonical_text"))
     pairs = pairs.withColumn("_pair", spread)
     texts = shared_texts(pairs, "_pair")
@@ -145,22 +146,8 @@ def retrieve_asof(
 _NEVER = "0001-01-01"
 
 
-def _with_last_change(alerts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``alerts`` with ``_at``: the time of the last change of ``vectors`` at or before the alert (year 1: none).
-
-    Time is cut into minutes. An alert gets the changes of its own minute and, before them, the last change of all
-    earlier minutes: a running maximum over the minutes that have a change or an alert, whose number is bounded
-    by the time span (half a million in a year). Nothing switches with the number of changes."""
-
-    def minute(c: str):
-        return F.floor(F.unix_micros(c) / 60_000_000)
-
-    changes = vectors.select(F.explode(F.array("valid_from", "valid_to")).alias("_c")).where("_c IS NOT NULL").distinct()
-    own = cut(changes.groupBy(minute("_c").alias("_minute")).agg(F.sort_array(F.collect_list("_c")).alias("_own")))
-    both = alerts.select(minute("created_at").alias("_minute")).distinct().join(own, "_minute", "full")
-    earlier = Window.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    per_minute = both.select("_minute", "_own", F.max(F.try_element_at("_own", F.lit(-1))).over(earlier).alias("_start"))
-    joined = join_lookup(alerts.withColumn("_minute", minute("created_at")), cut(per_minute), "_minute", "left")
-    passed = F.filter("_own", lambda c: c <= F.col("created_at"))
-    at = F.coalesce(F.try_element_at(passed, F.lit(-1)), F.col("_start"), F.lit(_NEVER).cast("timestamp"))
-    return joined.withColumn("_at", at).drop("_minute", "_own", "_start")
+def _with_last_change(alerts: DataFrame, vectors: DataFrame, conf: Settings) -> DataFrame:
+    """``alerts`` with ``_at``: the time of the last change of ``vectors`` at or before the alert (year 1: none)."""
+    changes = vectors.select(F.explode(F.array("valid_from", "valid_to")).alias("_change"))
+    joined = last_change(alerts, "created_at", changes, "_change", "_at", conf)
+    return joined.withColumn("_at", F.coalesce("_at", F.lit(_NEVER).cast("timestamp")))

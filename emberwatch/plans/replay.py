@@ -48,7 +48,7 @@ def replay(
         alerts.select(F.col("id").alias("alert_id"), F.col("created_at").alias("_arrived")),
         requests.select("alert_id").distinct(), "alert_id", "left_semi", conf,
     )
-    dated = in_time.join(arrived, "alert_id")
+    dated = join_lookup(in_time, arrived, "alert_id", "inner", conf)
     early = F.col("_arrived") > F.col("requested_at")
     added = resolution_rows(dated.where(~early), last_id(kb), F.col("requested_at"))
     missing = unknown.unionByName(dated.where(early).select(*unknown.columns))
