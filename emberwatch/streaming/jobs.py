@@ -18,7 +18,7 @@ from emberwatch.functions.logs import parse_logs
 from emberwatch.operators.cluster import cluster_alerts
 from emberwatch.plans.triage import Triage, triage
 from emberwatch.settings import DEFAULTS, Settings
-from emberwatch.sources.sinks import emit_notifications
+from emberwatch.sources.sinks import deliver_once, emit_notifications
 from emberwatch.sources.tables import split_payloads
 
 
@@ -47,7 +47,7 @@ def stream_triage(
     Writes ``alerts, reports, notifications, occurrences`` and ``rejected`` below ``path``, each under the batch
     id. ``occurrences`` has the matches per knowledge row of a batch; :func:`with_occurrences` adds them to a
     knowledge table. With ``make_sender`` the notifications are delivered too and carry ``ok, error``;
-    a repeated batch delivers again. Payloads carry ``id, created_at``."""
+    the ledger below ``deliveries`` keeps a repeated batch from sending them again. Payloads carry ``id, created_at``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -58,7 +58,11 @@ def stream_triage(
         _write(done.alerts, path, "alerts", batch_id)
         _write(done.reports, path, "reports", batch_id)
         notices = done.notifications(notify_on_new=conf.notify_on_new)
-        _write(emit_notifications(notices, make_sender), path, "notifications", batch_id)
+        if make_sender is None:
+            notices = emit_notifications(notices)
+        else:
+            notices = deliver_once(notices, make_sender, f"{path}/deliveries", batch_id, "alert_ids")
+        _write(notices, path, "notifications", batch_id)
         matched = done.alerts.where("match_status = 'matched'").groupBy(F.col("matched_knowledge_id").alias("id"))
         _write(matched.agg(F.count(F.lit(1)).alias("matches")), path, "occurrences", batch_id)
 
@@ -93,13 +97,15 @@ def stream_clusters(
     lateness_s: int | None = None,
     conf: Settings = DEFAULTS,
     available_now: bool = False,
+    make_sender: Callable[[], Callable[[dict], None]] | None = None,
 ) -> StreamingQuery:
     """Leader clustering of a stream by event time, across services or only within equal ``key``.
 
     State is the table of open clusters. A cluster closes when the largest event time seen, less
     ``lateness_s`` (default: the window), has left its window; closed clusters of at least
     ``min_size`` alerts become notifications, smaller ones are dropped. Alerts older than the
-    lateness go to ``late``. Writes ``members, clusters, late, rejected, open, clock`` below ``path``."""
+    lateness go to ``late``. With ``make_sender`` the notifications are delivered, once per cluster, and carry
+    ``delivery_key, ok, error``. Writes ``members, clusters, late, rejected, open, clock`` below ``path``."""
     lateness = window_s if lateness_s is None else lateness_s
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -129,7 +135,10 @@ def stream_clusters(
             ended = F.col("created_at") + F.expr(f"INTERVAL {window_s + lateness} SECONDS") < F.lit(clock)
         else:
             ended = F.lit(False)
-        _write(cluster_notices(current.where(ended), window_s, min_size), path, "clusters", batch_id)
+        notices = cluster_notices(current.where(ended), window_s, min_size)
+        if make_sender is not None:
+            notices = deliver_once(notices, make_sender, f"{path}/deliveries", batch_id, "cluster_key")
+        _write(notices, path, "clusters", batch_id)
         _write(current.where(~ended), path, "open", batch_id)
         _write(spark.createDataFrame([(clock,)], "clock timestamp"), path, "clock", batch_id)
 
