@@ -97,3 +97,31 @@ def test_equal_keys_and_empty_batches(spark, notices, inbox, tmp_path):
     assert deliver_once(twice, counting(inbox), f"{tmp_path}/ledger", 0, "alert_id").count() == 2
     assert sent(inbox) == {0: 1, 1: 1}
     assert deliver_once(notices.where("alert_id < 0"), counting(inbox), f"{tmp_path}/ledger", 1, "alert_id").count() == 0
+
+
+def test_streams_deliver_their_notices(spark, make_alerts, inbox, tmp_path):
+    from emberwatch.sources import tables as sources
+    from emberwatch.streaming import jobs
+
+    def make_sender():
+        def send(row):
+            assert len(row["delivery_key"]) == 64
+            with open(inbox / str(row["cluster_key"]), "a") as out:
+                out.write("x")
+
+        return send
+
+    text = "ERROR service=mail relay handshake refused by peer"
+    for second in (0.0, 5_000.0):
+        rows = make_alerts([(int(second) + i, second + i, "mail", text) for i in range(2)])
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = sources.stream_alerts(
+        spark, f"{tmp_path}/in", "parquet", ("id bigint", "created_at timestamp"), maxFilesPerTrigger="1"
+    )
+    jobs.stream_clusters(
+        stream, f"{tmp_path}/out", f"{tmp_path}/mark", 60, available_now=True, make_sender=make_sender
+    ).awaitTermination()
+    # the second burst closed the cluster of the first and is still open itself
+    assert sent(inbox) == {0: 1}
+    closed = spark.read.parquet(f"{tmp_path}/out/clusters")
+    assert [(r["cluster_key"], r["count"], r["ok"]) for r in closed.collect()] == [(0, 2, True)]
