@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,10 +86,17 @@ def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
+def _partitions(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def feature_rows(texts: DataFrame) -> DataFrame:
     """``(text_key, is_word, feature)``, one row per occurrence; a text without any keeps one row
-    with a null feature. The input is partitioned by ``text_key`` for everything that follows."""
-    base = texts.select("text_key", "text").repartition("text_key")
+    with a null feature. The input is partitioned by ``text_key`` for everything that follows.
+
+    The number of partitions is stated: a text grows two hundredfold here, so partitions that look small enough to be
+    joined at run time are not, and a million short texts would end in one task."""
+    base = texts.select("text_key", "text").repartition(_partitions(texts.sparkSession), "text_key")
     arrays = base.select(
         "text_key", words("text").alias("tokens"), F.split(padded(F.col("text")), "").alias("chars")
     )
@@ -128,17 +135,27 @@ def bucket_weights(weights: DataFrame, dim: int = DEFAULTS.dim) -> DataFrame:
 
 
 def normalised(sparse: DataFrame, dim: int = DEFAULTS.dim) -> DataFrame:
-    """``(text_key, embedding array<float>)`` of unit length; all zeros for an empty text."""
+    """``(text_key, embedding array<float>)`` of unit length; all zeros for an empty text.
+
+    Entries are sorted by bucket and the gaps between them filled with zeros, which is linear in ``dim``."""
     entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "weight"))
     norm = F.sqrt(F.sum(F.when(F.col("bucket").isNotNull(), F.col("weight") * F.col("weight"))))
     grouped = sparse.groupBy("text_key").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("m"), norm.alias("norm")
+        F.sort_array(F.collect_list(entry)).alias("m"), norm.alias("norm")
     )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda b: F.coalesce(F.try_element_at("m", b) / F.col("norm"), F.lit(0.0)).cast("float"),
+
+    def zeros(before: Column, to: Column) -> Column:
+        return F.array_repeat(F.lit(0.0).cast("float"), (to - F.coalesce(before, F.lit(-1)) - 1).cast("int"))
+
+    filled = F.transform(
+        "m",
+        lambda e, i: F.concat(
+            zeros(F.get(F.col("m"), i - 1)["bucket"], e["bucket"]),
+            F.array((e["weight"] / F.col("norm")).cast("float")),
+        ),
     )
-    return grouped.select("text_key", dense.alias("embedding"))
+    last = F.get(F.col("m"), F.size("m") - 1)["bucket"]
+    return grouped.select("text_key", F.concat(F.flatten(filled), zeros(last, F.lit(dim))).alias("embedding"))
 
 
 def embed_texts(texts: DataFrame, dim: int = DEFAULTS.dim) -> DataFrame:
