@@ -6,6 +6,8 @@ back to the rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from emberwatch.operators.listing import knowledge_view
 from emberwatch.operators.skew import join_lookup, join_per_text, measured, shared_texts
 from emberwatch.settings import DEFAULTS, KNOWLEDGE, Settings
 
+Search = Callable[..., DataFrame]  # (queries, vectors, k, namespace, conf) -> ranked neighbours
+
 HIT = (
     "struct<knowledge_id:bigint,title:string,similarity:double,error_type:string,raw_log:string,"
     "user_guide:string,engineer_guide:string,root_cause:string>"
@@ -46,11 +50,11 @@ def hit_lists(
 
 
 def text_hits(
-    texts: DataFrame, vectors: DataFrame, kb: DataFrame, k: int, conf: Settings, size=None
+    texts: DataFrame, vectors: DataFrame | None, kb: DataFrame, k: int, conf: Settings, size=None, search: Search = knn_fast
 ) -> DataFrame:
     """``(text_key, hits)`` for distinct texts."""
     queries = embed_texts(texts, conf.dim).withColumnRenamed("text_key", "query_id")
-    ranked = knn_fast(queries, vectors, k, KNOWLEDGE, conf)
+    ranked = search(queries, vectors, k, KNOWLEDGE, conf)
     return hit_lists(ranked, kb, conf, size).withColumnRenamed("query_id", "text_key")
 
 
@@ -67,26 +71,28 @@ def no_hits():
 
 def retrieve(
     alerts: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | None,
     kb: DataFrame,
     k: int = DEFAULTS.top_k,
     conf: Settings = DEFAULTS,
+    search: Search = knn_fast,
 ) -> DataFrame:
     """Add ``hits``: the ordered active knowledge rows among the K most similar vectors. Needs
-    ``canonical_text``."""
+    ``canonical_text``. ``search`` may be any of ``knn``, or ``index_search`` with ``vectors`` None."""
     texts = shared_texts(alerts, "canonical_text")
     size = measured(hit_columns(kb), conf)
-    per_text = text_hits(texts, vectors, kb, k, conf, size)
+    per_text = text_hits(texts, vectors, kb, k, conf, size, search)
     joined = join_per_text(alerts, "canonical_text", per_text, texts, hit_bytes(size, k, conf), conf)
     return joined.drop("text_key").withColumn("hits", F.coalesce("hits", no_hits()))
 
 
 def semantic_search(
     queries: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | None,
     kb: DataFrame,
     k: int = 5,
     conf: Settings = DEFAULTS,
+    search: Search = knn_fast,
 ) -> DataFrame:
     """``(query_id, rank, similarity, knowledge columns)`` for free-text ``(query_id, q)``."""
     if not 1 <= k <= 50:
@@ -94,7 +100,7 @@ def semantic_search(
     logs = parse_logs(queries.select("query_id", "q"), "q").where(F.length("q") > 0)
     texts = shared_texts(logs, "canonical_text")
     vecs = embed_texts(texts, conf.dim).withColumnRenamed("text_key", "query_id")
-    ranked = knn_fast(vecs, vectors, k, KNOWLEDGE, conf).withColumnRenamed("query_id", "text_key")
+    ranked = search(vecs, vectors, k, KNOWLEDGE, conf).withColumnRenamed("query_id", "text_key")
     keyed = logs.select("query_id", text_key(F.col("canonical_text")).alias("text_key"))
     found = join_lookup(ranked, knowledge_view(kb.where("is_active")), "id", "inner", conf)
     per_text = found.groupBy("text_key").agg(

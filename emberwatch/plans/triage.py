@@ -21,7 +21,8 @@ from emberwatch.functions.explain import (
 from emberwatch.functions.logs import parse_logs
 from emberwatch.operators.decide import decide, suggest_actions
 from emberwatch.operators.listing import merge_payload, notify_gate
-from emberwatch.operators.retrieve import hit_bytes, hit_columns, no_hits, retrieve_asof, text_hits
+from emberwatch.operators.knn import knn_fast
+from emberwatch.operators.retrieve import Search, hit_bytes, hit_columns, no_hits, retrieve_asof, text_hits
 from emberwatch.operators.skew import join_per_text, measured, shared_texts
 from emberwatch.operators.tables import bump_occurrences
 from emberwatch.settings import DEFAULTS, Settings
@@ -113,12 +114,13 @@ def explain_alerts(
 def triage(
     alerts: DataFrame,
     kb: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | None,
     conf: Settings = DEFAULTS,
     make_model: Callable[[], Model] | None = None,
     system: str = "",
+    search: Search = knn_fast,
 ) -> Triage:
-    """Triage payload rows (``id, created_at`` and the payload columns).
+    """Triage payload rows (``id, created_at`` and the payload columns); ``search`` as in ``retrieve``.
 
     Retrieval, decision and suggestions run once per distinct canonical text, while the plan is built; what was
     decided is written, so that alerts, reports, notifications and knowledge do not search again. When
@@ -127,7 +129,7 @@ def triage(
     parsed = merge_payload(parse_logs(alerts))
     texts = shared_texts(parsed, "canonical_text")
     size = measured(hit_columns(kb), conf)
-    hits = text_hits(texts, vectors, kb, conf.top_k, conf, size)
+    hits = text_hits(texts, vectors, kb, conf.top_k, conf, size, search)
     decided = cut(
         suggest_actions(decide(hits, conf.match_threshold), conf.action_threshold, conf.suggest_actions)
     )

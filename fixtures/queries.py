@@ -12,7 +12,7 @@ from emberwatch import Settings
 from emberwatch.cluster_io import ensure_checkpoint_dir
 from emberwatch.functions import explain, logs
 from emberwatch.functions import fixed_values as V
-from emberwatch.operators import cluster, decide, embed, knn, listing, retrieve, tables, vectors
+from emberwatch.operators import cluster, decide, embed, knn, listing, retrieve, tables, vector_index, vectors
 from emberwatch.plans import knowledge, replay, triage
 from emberwatch.sources import sinks
 from emberwatch.streaming import jobs
@@ -470,6 +470,49 @@ def vec_knn_approx_copies(v: Views):
     return knn.knn_approx(q, both, 5, "even").where("similarity = 1").select("query_id", "id", "similarity")
 
 
+def _index(v: Views, rows) -> str:
+    """A new index of ``rows`` in the shared folder."""
+    path = f"{ensure_checkpoint_dir(v.spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    vector_index.build_index(rows, path)
+    return path
+
+
+@query("""SELECT namespace, id, text FROM points p WHERE NOT EXISTS (SELECT 1 FROM points c
+    WHERE c.namespace = p.namespace AND c.id + 100 = p.id AND c.id % 3 = 0 AND c.id % 5 <> 0)
+    AND p.id % 7 <> 0
+  UNION ALL SELECT namespace, id + 100 AS id, text || '+' AS text FROM points
+    WHERE id % 3 = 0 AND id % 5 <> 0 AND (id + 100) % 7 <> 0""", _CHANGES)
+def vec_index_upsert(v: Views):
+    """The kept index after a generation of replacements and one of deletions."""
+    path = _index(v, v.points())
+    zero = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
+    changes = v.points().where("id % 3 = 0").select(
+        "namespace", (F.col("id") + 100).alias("id"), F.concat("text", F.lit("+")).alias("text"),
+        F.when(F.col("id") % 5 == 0, zero).otherwise(F.col("embedding")).alias("embedding"),
+    )
+    vector_index.extend_index(changes, path, 1)
+    gone = vector_index.indexed_vectors(v.spark, path).where("id % 7 = 0")
+    vector_index.extend_index(changes.limit(0), path, 2, gone)
+    return vector_index.indexed_vectors(v.spark, path).select("namespace", "id", "text")
+
+
+@query(_KNN)
+def vec_index_exact(v: Views):
+    """Half of the vectors are built into the index, the others join it, some in place of a wrong one."""
+    wrong = F.when(F.col("id") % 3 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
+    path = _index(v, v.points().where("id % 4 < 3").withColumn("embedding", wrong))
+    vector_index.extend_index(v.points().where("id % 4 = 3 OR id % 3 = 0"), path, 1)
+    q = v.points().select(F.col("id").alias("query_id"), "embedding")
+    return _ranks(vector_index.search_index(q, path, 5, "even", exact=True))
+
+
+@query("""SELECT p.id, coalesce(h.hit_text, '') AS hit_text FROM parsed p
+  LEFT JOIN hit_history h ON h.text = p.canonical_text""")
+def join_retrieve_index(v: Views):
+    search = vector_index.index_search(_index(v, v.vectors()), exact=True)
+    return retrieve.retrieve(v.parsed(), None, v.kb(), search=search).select("id", hit_text())
+
+
 # --- joins ---------------------------------------------------------------------------------------------------
 def triaged(v: Views, conf: Settings = Settings()) -> triage.Triage:
     return triage.triage(v.payloads(), v.kb(), v.vectors(), conf)
