@@ -10,13 +10,16 @@ to the state of the shorter context and carries the logarithm of ``K / (C(h) + K
 text, left to right, carries the state: where it has no arc for the next word, failure arcs are taken and their
 weights added, until there is one.
 
-**Scale.** The model is as large as the corpus and is never in one place. Texts are cut into blocks (bounded Arrow
-batches), which are written with their words as numbers. Each block asks for the n-grams that it
-holds: their 64-bit hashes go, packed, to buckets by hash, with the block's training counts. A bucket adds
+**Scale.** The model is as large as the corpus and is never in one place. Texts are cut into blocks of about
+``BLOCK_CHARS``, which are written with their words as numbers. Each block asks for the n-grams that it
+holds: their hashes go, packed, to buckets by hash, with the block's training counts. A bucket adds
 up what all blocks know and answers each block with what the others add, in the order of the question.
-With them a block builds the part of the automaton that its texts can reach and scores them. An n-gram
-comes once per block, so a frequent one makes no bucket larger than the others. Buckets and blocks are sized by
-``BUCKET_KEYS`` and ``BLOCK_CHARS``; both kinds of exchange carry 8 + 4 bytes per distinct n-gram of a block.
+With them a block builds, slice of texts by slice, the part of the automaton that the slice can reach and scores it. An
+n-gram comes once per block, so a frequent one makes no bucket larger than the others. A bucket has about
+``BUCKET_KEYS`` n-grams. Sorted hashes travel as differences, counts and answers as the bytes they fill, both compressed.
+
+Single words are told apart by 63 bits of their hash. Longer n-grams have as many bits as it takes for the chance that
+one shares its hash with another to be at most ``2 ** -SPARE_BITS``, by the number of tokens, up to 63.
 
 Defined cases: null and empty texts are the end token alone; unknown words share the mass of one word; with no
 training text, N and V are 0 and every token has probability 1; repeated rows count and are
@@ -40,13 +43,52 @@ from emberwatch.llm.common import fold, stash
 ORDER = 3
 K = 2.0  # pseudo-count of the shorter context
 ADD = 0.1
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 32 << 20
+SLICE_TOKENS = 700_000  # an automaton is built for so many tokens, or for one longer text
+SPARE_BITS = 24
 BUCKET_KEYS = 1_000_000
 _BEGIN, _END = 0, 1  # numbers of the two marks; words follow
 _MARKS = [b" begin", b" end"]  # no word has a blank
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _zip(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unzip(raw: bytes) -> bytes:
+    size = int.from_bytes(raw[:8], "little")
+    return pa.decompress(raw[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers below 2 ** 64 as planes of bytes, as many planes as the largest one needs."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    width = -(-int(values.max()).bit_length() // 8) if len(values) else 0
+    return len(values).to_bytes(8, "little") + _zip(planes[:, :width].T.tobytes())
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    size, planes = int.from_bytes(raw[:8], "little"), np.frombuffer(_unzip(raw[8:]), np.uint8)
+    out = np.zeros((size, 8), dtype=np.uint8)
+    if len(planes):
+        out[:, : len(planes) // size] = planes.reshape(-1, size).T
+    return out.view("<u8").reshape(-1)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=np.uint64)
+
+
+def key_bits(tokens: int) -> int:
+    """Bits of the hash of a longer n-gram, see above."""
+    return min(63, max(40, tokens.bit_length() + SPARE_BITS))
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8").lower().split() if text else []
 
@@ -63,11 +105,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal number, ids, rows, texts, size
         values = {
             "block": [part << 32 | number],
-            "words": [b" ".join(list(ids))],
+            "words": [_zip(b" ".join(list(ids)))],
             "doc_ids": [[r[0] for r in rows]], "learn": [[r[1] for r in rows]],
-            "lengths": [np.array([len(t) for t in texts], dtype="<i8").tobytes()],
+            "lengths": [pack(np.array([len(t) for t in texts]))],
             "n_tokens": [sum(map(len, texts))],
-            "tokens": [np.concatenate(texts).astype("<u4").tobytes()],
+            "tokens": [pack(np.concatenate(texts))],
         }
         number, ids, rows, texts, size = number + 1, {}, [], [], 0
         return pa.RecordBatch.from_pydict(values, schema=_BLOCK_ARROW)
@@ -106,23 +148,36 @@ class Block:
 
     @classmethod
     def of(cls, row: dict) -> Block:
-        length = np.frombuffer(row["lengths"], "<i8")
+        length = unpack(row["lengths"]).astype(np.int64)
         stop = np.cumsum(length + 1)
         start = stop - length - 1
-        tokens = np.full(int(stop[-1]), _BEGIN, dtype=np.int64)
+        tokens = np.full(int(stop[-1]), _BEGIN, dtype=np.int32)
         inner = np.ones(len(tokens), dtype=bool)
         inner[start] = False
-        tokens[inner] = np.frombuffer(row["tokens"], "<u4")
+        tokens[inner] = unpack(row["tokens"])
+        words = _unzip(row["words"])
         return cls(
-            row["block"], _MARKS + (row["words"].split(b" ") if row["words"] else []), list(row["doc_ids"]),
+            row["block"], _MARKS + (words.split(b" ") if words else []), list(row["doc_ids"]),
             np.array(row["learn"], dtype=bool), tokens, start, stop,
         )
 
-    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per length: hashes of the distinct n-grams, the n-gram that ends at each place (-1: none), a place where
-        each ends, and how often each is in a training text."""
-        word = np.fromiter(map(xxhash.xxh64_intdigest, self.words), dtype=np.uint64, count=len(self.words))
-        learn = np.repeat(self.learn, self.stop - self.start)
+    def slices(self) -> Iterator[Block]:
+        """The same texts, in blocks of about ``SLICE_TOKENS``."""
+        lo = 0
+        while lo < len(self.start):
+            first = int(self.start[lo])
+            hi = max(lo + 1, int(np.searchsorted(self.stop, first + SLICE_TOKENS, "right")))
+            yield Block(
+                self.number, self.words, self.doc_ids[lo:hi], self.learn[lo:hi], self.tokens[first:int(self.stop[hi - 1])],
+                self.start[lo:hi] - first, self.stop[lo:hi] - first,
+            )
+            lo = hi
+
+    def word_hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, self.words), dtype=np.uint64, count=len(self.words))
+
+    def ends(self, order: int, bits: int, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per length: places where an n-gram ends, and the key of each; ``word`` has the words' hashes."""
         since = np.arange(len(self.tokens)) - np.repeat(self.start, self.stop - self.start)
         h = word[self.tokens]
         for n in range(1, order + 1):
@@ -130,31 +185,53 @@ class Block:
                 h = (h ^ h >> np.uint64(31)) * _MULT
                 h[1:], h[0] = h[:-1] + word[self.tokens[1:]] * np.uint64(2 * n + 1), 0
             at = np.flatnonzero(since >= n - 1)
-            keys, first, inverse = np.unique(h[at], return_index=True, return_inverse=True)
+            yield at, h[at] >> np.uint64(64 - _width(n, bits))
+
+    def counted(self, order: int, bits: int, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per length: keys of the distinct n-grams, ascending, and how often each is in a training text."""
+        learn = np.repeat(self.learn, self.stop - self.start).astype(np.uint64)
+        for at, keys in self.ends(order, bits, word):
+            keys = keys << np.uint64(1) | learn[at]
+            keys.sort()
+            own, fresh = keys >> np.uint64(1), np.ones(len(keys), dtype=bool)
+            fresh[1:] = own[1:] != own[:-1]
+            first = np.flatnonzero(fresh)
+            yield own[first], np.add.reduceat(keys & np.uint64(1), first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+
+    def grams(self, order: int, bits: int, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length: keys of the distinct n-grams, the n-gram that ends at each place (-1: none), and a place where
+        each ends."""
+        for at, keys in self.ends(order, bits, word):
+            distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
             which = np.full(len(self.tokens), -1)
             which[at] = inverse
-            yield keys, which, at[first], np.bincount(inverse, weights=learn[at], minlength=len(keys)).astype(np.int64)
+            yield distinct, which, at[first]
 
 
-def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _width(length: int, bits: int) -> int:
+    return 63 if length == 1 else bits
+
+
+def _bucket_of(keys: np.ndarray, width: int, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(width - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 _ASK = "bucket bigint, block bigint, length int, keys binary, counts binary"
 
 
-def _asked(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], order: int, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            block = Block.of(row)
-            for n, (keys, _, _, count) in enumerate(block.grams(order), 1):
-                cut = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))  # keys are sorted, so buckets are
+        for i in range(batch.num_rows):
+            block = Block.of(batch.slice(i, 1).to_pylist()[0])
+            for n, (keys, count) in enumerate(block.counted(order, bits, block.word_hashes()), 1):
+                # keys are sorted, so buckets are
+                cut = np.searchsorted(_bucket_of(keys, _width(n, bits), buckets), np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(full), pa.array(np.full(len(full), block.number)), pa.array(np.full(len(full), n, dtype=np.int32)),
-                        pa.array([keys[cut[i]:cut[i + 1]].astype("<u8").tobytes() for i in full], pa.binary()),
-                        pa.array([count[cut[i]:cut[i + 1]].astype("<u4").tobytes() for i in full], pa.binary()),
+                        pa.array([pack_sorted(keys[cut[j]:cut[j + 1]]) for j in full], pa.binary()),
+                        pa.array([pack(count[cut[j]:cut[j + 1]]) for j in full], pa.binary()),
                     ],
                     ["bucket", "block", "length", "keys", "counts"],
                 )
@@ -164,15 +241,15 @@ def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
     """Totals for all askers of a bucket; also how many distinct training words it holds and their tokens."""
     out = []
     for n, own in pdf.groupby("length"):
-        keys = [np.frombuffer(k, "<u8") for k in own["keys"]]
+        keys = [unpack_sorted(k) for k in own["keys"]]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in own["counts"]])
+        counts = np.concatenate([unpack(c) for c in own["counts"]])
         total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype("<u8")
-        begin = np.uint64(xxhash.xxh64_intdigest(_MARKS[_BEGIN]))
+        begin = np.uint64(xxhash.xxh64_intdigest(_MARKS[_BEGIN]) >> 1)
         word = (total > 0) & (distinct != begin) if n == 1 else np.zeros(len(distinct), dtype=bool)
         cut = np.cumsum([0, *map(len, keys)])
         others = total[inverse] - counts  # what other blocks add: mostly 0 for long n-grams, and packs well
-        answers = [others[cut[i]:cut[i + 1]].tobytes() for i in range(len(keys))]
+        answers = [pack(others[cut[i]:cut[i + 1]]) for i in range(len(keys))]
         frame = pd.DataFrame({"block": own["block"].to_numpy(), "length": n, "bucket": own["bucket"].to_numpy(), "totals": answers})
         frame["kinds"], frame["sum"] = 0, 0
         frame.loc[0, ["kinds", "sum"]] = int(word.sum()), int(total[word].sum())
@@ -287,7 +364,8 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
     )
     tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     buckets = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-order * tokens // BUCKET_KEYS))
-    asked = blocks.mapInArrow(lambda batches: _asked(batches, order, buckets), _ASK)
+    bits = key_bits(tokens)
+    asked = blocks.mapInArrow(lambda batches: _asked(batches, order, bits, buckets), _ASK)
     answers = stash(asked.groupBy("bucket").applyInPandas(_answered, _ANSWER), "lm-answers")
     sums = answers.agg(F.coalesce(F.sum("sum"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
     n_all, n_kinds = sums["n"], sums["v"]
@@ -295,12 +373,17 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
     def scored(own: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in own.to_dict("records"):
-            block, grams = Block.of(row), []
-            for n, (_, which, first, count) in enumerate(block.grams(order), 1):
+            block = Block.of(row)
+            word, known = block.word_hashes(), []
+            for n, (keys, count) in enumerate(block.counted(order, bits, word), 1):
                 parts = totals[totals["length"] == n].sort_values("bucket")["totals"]
-                total = count + np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(t, "<u8") for t in parts)]).astype(np.int64)
-                grams.append(Gram(which, first, total))
-            out.append(_scored(block, grams, n_all, n_kinds))
+                known.append((keys, count + np.concatenate([np.zeros(0, "<u8"), *map(unpack, parts)]).astype(np.int64)))
+            for part in block.slices():
+                grams = [
+                    Gram(which, first, total[np.searchsorted(keys, own)])
+                    for (own, which, first), (keys, total) in zip(part.grams(order, bits, word), known)
+                ]
+                out.append(_scored(part, grams, n_all, n_kinds))
         return pd.concat(out)
 
     both = blocks.groupBy("block").cogroup(answers.drop("kinds", "sum").groupBy("block"))

@@ -135,9 +135,20 @@ def test_embedding_components(spark, shard):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_packed_numbers_come_back():
+    rnd = np.random.default_rng(3)
+    for values in ([], [0], [0, 0], [2**64 - 1], [5, 300, 5], rnd.integers(0, 2**63, 1000).tolist()):
+        numbers = np.array(values, dtype=np.uint64)
+        assert language_model.unpack(language_model.pack(numbers)).tolist() == values
+        ordered = np.sort(numbers)
+        assert language_model.unpack_sorted(language_model.pack_sorted(ordered)).tolist() == ordered.tolist()
+    assert [language_model.key_bits(n) for n in (0, 1 << 20, 1 << 30, 1 << 50)] == [40, 45, 55, 63]
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model(make_docs, odd_docs, no_docs, order, monkeypatch):
     monkeypatch.setattr(language_model, "BLOCK_CHARS", 600)
+    monkeypatch.setattr(language_model, "SLICE_TOKENS", 30)
     rnd = random.Random(order)
     docs = [(i, " ".join(rnd.choice("the A cat dog sat on".split()) for _ in range(rnd.randrange(12)))) for i in range(80)]
     docs += [(90, None), (91, "never seen words"), (7, docs[7][1])]
