@@ -43,8 +43,8 @@ from emberwatch.llm.common import fold, stash
 ORDER = 3
 K = 2.0  # pseudo-count of the shorter context
 ADD = 0.1
-BLOCK_CHARS = 32 << 20
-SLICE_TOKENS = 700_000  # an automaton is built for so many tokens, or for one longer text
+BLOCK_CHARS = 16 << 20
+SLICE_TOKENS = 350_000  # an automaton is built for so many tokens, or for one longer text
 SPARE_BITS = 24
 BUCKET_KEYS = 1_000_000
 _BEGIN, _END = 0, 1  # numbers of the two marks; words follow
