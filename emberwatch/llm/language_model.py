@@ -134,6 +134,15 @@ _BLOCK_ARROW = pa.schema([
 ])
 
 
+@dataclass
+class Gram:
+    """The distinct n-grams of one length in a block."""
+
+    which: np.ndarray  # by place: the n-gram that ends there, -1 if none
+    first: np.ndarray  # by n-gram: a place where it ends
+    total: np.ndarray  # by n-gram: how often training texts have it
+
+
 @dataclass
 class Block:
     """A block's texts as one run of word numbers, a begin mark before and an end mark behind each text."""
@@ -198,14 +207,20 @@ class Block:
             first = np.flatnonzero(fresh)
             yield own[first], np.add.reduceat(keys & np.uint64(1), first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
 
-    def grams(self, order: int, bits: int, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per length: keys of the distinct n-grams, the n-gram that ends at each place (-1: none), and a place where
-        each ends."""
-        for at, keys in self.ends(order, bits, word):
+    def grams(self, order: int, bits: int, word: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]]) -> list[Gram]:
+        """Per length the distinct n-grams, numbered in the order in which they come, so that a text's arcs are
+        neighbours in memory; ``known`` has the keys that there are, ascending, and their totals."""
+        out = []
+        for (at, keys), (there, totals) in zip(self.ends(order, bits, word), known):
             distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            which = np.full(len(self.tokens), -1)
-            which[at] = inverse
-            yield distinct, which, at[first]
+            fresh = np.zeros(len(at), dtype=bool)
+            fresh[first] = True
+            number = (np.cumsum(fresh) - 1)[first]
+            which, total = np.full(len(self.tokens), -1), np.zeros(len(distinct), dtype=np.int64)
+            which[at] = number[inverse]
+            total[number] = totals[np.searchsorted(there, distinct)]
+            out.append(Gram(which, at[fresh], total))
+        return out
 
 
 def _width(length: int, bits: int) -> int:
@@ -288,15 +303,6 @@ class Automaton:
         return total
 
 
-@dataclass
-class Gram:
-    """The distinct n-grams of one length in a block."""
-
-    which: np.ndarray  # by place: the n-gram that ends there, -1 if none
-    first: np.ndarray  # by n-gram: a place where it ends
-    total: np.ndarray  # by n-gram: how often training texts have it
-
-
 def automaton(block: Block, grams: list[Gram], n_all: int, n_kinds: int) -> tuple[Automaton, int, np.ndarray]:
     """The part of the automaton that a block's texts can reach, the state after a begin mark, and by word
     number how often training texts have the word."""
@@ -379,11 +385,7 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
                 parts = totals[totals["length"] == n].sort_values("bucket")["totals"]
                 known.append((keys, count + np.concatenate([np.zeros(0, "<u8"), *map(unpack, parts)]).astype(np.int64)))
             for part in block.slices():
-                grams = [
-                    Gram(which, first, total[np.searchsorted(keys, own)])
-                    for (own, which, first), (keys, total) in zip(part.grams(order, bits, word), known)
-                ]
-                out.append(_scored(part, grams, n_all, n_kinds))
+                out.append(_scored(part, part.grams(order, bits, word, known), n_all, n_kinds))
         return pd.concat(out)
 
     both = blocks.groupBy("block").cogroup(answers.drop("kinds", "sum").groupBy("block"))
