@@ -12,7 +12,9 @@ from emberwatch import Settings
 from emberwatch.cluster_io import ensure_checkpoint_dir
 from emberwatch.functions import explain, logs
 from emberwatch.functions import fixed_values as V
-from emberwatch.operators import cluster, decide, embed, knn, listing, retrieve, tables, vector_index, vectors
+from emberwatch.operators import (
+    cluster, decide, embed, keyword_index, knn, listing, retrieve, snapshot_store, tables, vector_index, vectors,
+)
 from emberwatch.plans import knowledge, replay, triage
 from emberwatch.sources import sinks
 from emberwatch.streaming import jobs
@@ -181,9 +183,19 @@ def fil_dates(v: Views):
     return listing.filter_dates(v.stored(), frm="2024-01-05", to="2024-01-09").select("id", stamp("created_at"))
 
 
-@query("SELECT id, raw_log FROM stored WHERE raw_log ILIKE '%AMQP_//10%' OR error_message ILIKE '%AMQP_//10%'")
+@query("SELECT id, raw_log FROM stored WHERE raw_log ILIKE '%BROKER_lost FOR 4%' OR error_message ILIKE '%BROKER_lost FOR 4%'")
 def fil_keyword(v: Views):
-    return listing.filter_keyword(v.stored(), "AMQP_//10").select("id", "raw_log")
+    return listing.filter_keyword(v.stored(), "BROKER_lost FOR 4").select("id", "raw_log")
+
+
+@query("""SELECT id, raw_log FROM stored
+  WHERE raw_log ILIKE '%BROKER_lost FOR 4%' OR error_message ILIKE '%BROKER_lost FOR 4%'""")
+def fil_keyword_index(v: Views):
+    """The same search in two generations of indexed files."""
+    path = fresh_path(v)
+    for generation in (0, 1):
+        keyword_index.add_rows(v.stored().where(F.col("id") % 2 == generation), path, generation)
+    return keyword_index.search(v.spark, path, "BROKER_lost FOR 4", v.stored().schema).select("id", "raw_log")
 
 
 @query("SELECT id, error_type FROM kb WHERE error_type = 'type2'")
@@ -632,13 +644,26 @@ def win_best_match(v: Views):
     )
 
 
-@query("""SELECT user_id, event_type, event_id AS version, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type
-  ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""")
+_LATEST = """SELECT user_id, event_type, event_id AS version, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type
+  ORDER BY event_id DESC) AS r FROM events) WHERE r = 1"""
+
+
+@query(_LATEST)
 def set_latest_snapshot(v: Views):
     log = v.table("events").selectExpr("user_id", "event_type", "event_id AS version", "value")
     return tables.latest_snapshot(log, ["user_id", "event_type"])
 
 
+@query(_LATEST)
+def set_snapshot_logs(v: Views):
+    """A kept snapshot brought up to date by three logs whose versions overlap."""
+    log, path = v.table("events").selectExpr("user_id", "event_type", "event_id AS version", "value"), fresh_path(v)
+    snapshot_store.start(log.where("version % 4 = 0"), path, ["user_id", "event_type"], buckets=8)
+    for n in (1, 2, 3):
+        snapshot_store.apply_log(log.where(f"version % 4 = {n}"), path, n)
+    return snapshot_store.snapshot(v.spark, path, log.schema)
+
+
 # --- decisions and texts -------------------------------------------------------------------------------------------
 @query("SELECT id, match_status, matched_knowledge_id, similarity_score FROM decided")
 def dec_decide(v: Views):
