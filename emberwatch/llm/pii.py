@@ -12,7 +12,8 @@ word before it. A dynamic program over the text positions then chooses segments
 score 0, between them. Texts far from any candidate need no work, because no segment can begin
 there. The weights maximise the likelihood of training windows; their labels are what the base rules found,
 in the original form and in rewritten forms (``FORMS``). The windows are a bounded sample: of each kind, and of
-windows without any, the ``SAMPLE`` with the smallest hashes. Added spans never overlap base spans.
+windows without any, the ``SAMPLE`` with the smallest hashes; windows of more than 256 characters do not train.
+Added spans never overlap base spans.
 
 Defined cases: null and empty texts have no spans; failing matches are dropped, not retried; equal spans of
 different kinds are all kept; repeated rows are answered each for itself; an empty table trains nothing
@@ -36,12 +37,10 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 200
 MAX_GROUPS = 8
 MAX_LABELS = 6
-MAX_LOCAL = 64
 _AROUND = 32  # characters of context kept with a training window
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]++\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -174,11 +173,12 @@ def _number_candidates(text: str, groups: list[tuple[int, int]]) -> Iterator[Can
 
 
 def _mail_candidates(text: str, match: re.Match) -> Iterator[Candidate]:
-    at = match.start()
-    local = _LOCAL_END.search(text[max(0, at - MAX_LOCAL):at])
-    if not local:
+    start = at = match.start()
+    while start and _LOCAL.match(text[start - 1]):
+        start -= 1
+    if start == at:
         return
-    start, gap = at - len(local[0]), _AT_GAP.match(text, at)
+    gap = _AT_GAP.match(text, at)
     stops = [m.start() for m in _LABEL_GAP.finditer(text, gap.end(), match.end())][1:] + [match.end()]
     for stop in stops[:MAX_LABELS]:
         last = text[start:stop].rsplit(".", 1)[-1].rsplit(" ", 1)[-1]

@@ -130,6 +130,13 @@ def test_candidates_do_not_depend_on_far_text(text):
     assert own == [c for c in more if c[1] <= len(text)] and bool(own) == text.startswith("joe")
 
 
+@pytest.mark.parametrize("size", [1, 64, 65, 5_000])
+def test_long_names_are_not_cut(size):
+    name = "n" * size
+    found = [c for c in pii.candidates(f"write to {name} at mail dot org, {name}(at)mail.org") if c.kind == "email"]
+    assert {c.start for c in found} == {9, 9 + size + len(" at mail dot org, ")}
+
+
 def test_field_adds_what_the_patterns_miss(pii_docs, odd_docs, no_docs):
     model = pii.train(pii_docs)
     found = lambda t: [(t[a:b], k) for a, b, k in pii.all_spans(t, model)[1]]
