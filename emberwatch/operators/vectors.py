@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.cluster_io import cut
 from emberwatch.operators.skew import join_lookup
 
 KEY = ["namespace", "id"]
@@ -46,6 +47,7 @@ def upsert_vectors(base: DataFrame, changes: DataFrame, order: str | None = None
         # the text decides between changes of equal order
         last = F.max_by(F.struct(*rest), F.struct(order, "text"))
         real = real.groupBy(*KEY).agg(last.alias("_last")).select(*KEY, "_last.*").select(*base.columns)
+    real = cut(real)  # its keys are measured and looked up, its rows added: embed once, not three times
     return delete_vectors(base, real).unionByName(real)
 
 

@@ -137,3 +137,39 @@ def test_null_keys_survive_the_salted_left_join(spark):
     lookup = spark.range(7).selectExpr("id AS k", "'v' AS v")
     got = skew.join_lookup(rows, lookup, "k", "left", Settings(broadcast_rows=2, hot_fraction=10))
     assert got.count() == 300 and got.where("v IS NULL").count() == 150
+
+
+def test_embedding_makes_no_rows_of_features(spark):
+    """One shuffle of the texts; features are neither rows nor groups."""
+    df = spark.createDataFrame([(1, t) for t in TEXTS] + [(1, None)], "id int, t string")
+    vec = embed.embed_texts(embed.distinct_texts(df, "t").drop("n"))
+    plan = vec._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "collect_list" not in plan
+    steps = embed.normalised(embed.bucket_weights(embed.feature_weights(embed.feature_rows(embed.distinct_texts(df, "t")))))
+    want = {r["text_key"]: r["embedding"] for r in steps.collect()}
+    got = {r["text_key"]: r["embedding"] for r in vec.collect()}
+    assert got.keys() == want.keys() and len(got) == len(TEXTS) + 1
+    assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+
+
+def test_parts_are_bounded():
+    long = "x" * (embed._PART_CHARS + 5)
+    texts = ["a"] * 3 + [long, long, "b"] + ["c"] * (embed._PART_TEXTS + 1)
+    parts = list(embed._parts(texts))
+    assert [b for _, b in parts[:-1]] == [a for a, _ in parts[1:]] and parts[0][0] == 0 and parts[-1][1] == len(texts)
+    assert all(b - a == 1 or sum(map(len, texts[a:b])) <= embed._PART_CHARS and b - a <= embed._PART_TEXTS for a, b in parts)
+
+
+def test_changes_are_evaluated_once(spark, store):
+    seen = spark.sparkContext.accumulator(0)
+
+    def make_model():
+        def model(texts):
+            seen.add(len(texts))
+            return [unit(1)] * len(texts)
+
+        return model
+
+    rows = spark.createDataFrame([("knowledge", 1, "n"), ("knowledge", 9, "n")], "namespace string, id bigint, text string")
+    assert vectors.upsert_vectors(store, embed.embed_batch(rows, "text", make_model)).count() == 4
+    assert seen.value == 2
