@@ -161,12 +161,12 @@ def test_parts_are_bounded():
 
 
 def test_changes_are_evaluated_once(spark, store):
-    seen = spark.sparkContext.accumulator(0)
+    seen, vector = spark.sparkContext.accumulator(0), unit(1)
 
     def make_model():
         def model(texts):
             seen.add(len(texts))
-            return [unit(1)] * len(texts)
+            return [vector] * len(texts)
 
         return model
 
