@@ -11,14 +11,17 @@ How this runs in parallel with exactly the sequential result:
 2. Alerts whose texts are in different components of the similarity graph never interact.
    Components are hashed into bins, and bins are scanned independently.
 3. A bin with many rows (one component may hold most alerts) is cut in time into blocks of bounded
-   size that are scanned at the same time, each starting from the leaders the previous round found
-   before it, until the leaders no longer change. By induction over the blocks that fixed point is
-   the sequential answer.
+   size. Round n scans the n-th block of every bin, each starting from the leaders of the blocks before
+   it that are still open, so every row is scanned once. (Where windows follow each other the first leader
+   decides all later ones, so blocks cannot be guessed ahead of the one before.)
 4. Members take no part in the scan; they look their leader up afterwards.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,12 +42,12 @@ from emberwatch.operators.skew import hot_keys, join_lookup, measured, salted_jo
 from emberwatch.settings import DEFAULTS, Settings
 
 TICK_US = 1
-SCAN_ROWS = 50_000
+SCAN_ROWS = 200_000
 
 _SCAN = (
     "bin bigint, text_key binary, scope string, tick bigint, is_leader boolean, leader_id bigint, leader_ts bigint, "
     "similarity double, later array<struct<ts:bigint,id:bigint,similarity:double>>, "
-    "first_ts bigint, first_id bigint"
+    "embedding array<float>"
 )
 
 
@@ -137,7 +140,9 @@ def _components(base: DataFrame, vec: DataFrame, window_us: int, threshold: floa
     keyed = vec.withColumn("node", F.xxhash64("text_key"))
     around = _neighbours(_text_cells(base, window_us))
     members = join_lookup(around, vec, "text_key", "inner", conf)
-    edges = cut(star_edges(block_pairs(members, ["cell"], conf), ["cell"], threshold).distinct())
+    # a task sends one edge per text, not its pairs, so its blocks may be larger: b blocks are b copies of every row
+    wide = replace(conf, block_rows=4 * conf.block_rows)
+    edges = cut(star_edges(block_pairs(members, ["cell"], wide), ["cell"], threshold).distinct())
     labels = connected_components(edges, conf).withColumnRenamed("component", "comp")
     return join_lookup(keyed.select("text_key", "node"), cut(labels.distinct()), "node", "inner", conf).drop("node")
 
@@ -148,29 +153,39 @@ def _blocks(rows: DataFrame, scan_rows: int) -> DataFrame:
     by the number of alerts."""
     seconds = rows.groupBy("bin", "second").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("bin").orderBy("second")) - F.col("n")
-    return seconds.select("bin", "second", F.floor(before / F.lit(scan_rows)).alias("block"))
+    about = seconds.select("bin", "second", F.floor(before / F.lit(scan_rows)).alias("about"))
+    # numbered without gaps (a crowded second may take several numbers): each block follows the one before
+    number = F.dense_rank().over(Window.partitionBy("bin").orderBy("about")).cast("bigint") - 1
+    return about.select("bin", "second", number.alias("block"))
 
 
 class _OpenLeaders:
-    """Leaders in time order with their similarity (in millionths) to every text of the block."""
+    """Leaders in time order with their similarity (in millionths) to the texts of the block that they can meet. The
+    first texts have one row each, in time order (``lone`` has their ticks); the others may come at any time."""
 
-    def __init__(self, unit: np.ndarray, scope: np.ndarray, window_ticks: int, limit: int):
-        self.unit, self.scope, self.window, self.limit = unit, scope, window_ticks, limit
+    def __init__(self, unit: np.ndarray, scope: np.ndarray, lone: np.ndarray, window_ticks: int, limit: int):
+        self.unit, self.scope, self.lone, self.window, self.limit = unit, scope, lone, window_ticks, limit
         self.sims = np.empty((64, len(unit)), dtype=np.int32)
         self.marks = np.empty((64, 3), dtype=np.int64)  # tick, ts, id
         self.first = self.used = 0
         self.until = np.full(len(unit), np.iinfo(np.int64).min)
 
-    def add(self, vector: np.ndarray, scope: str, tick: int, ts: int, alert: int) -> None:
+    def add(self, vector: np.ndarray, scope: str, tick: int, ts: int, alert: int, since: int | None = None) -> None:
+        """``since``: the tick before which no row is left to scan."""
         if self.used == len(self.sims):
             self._make_room()
-        sims = np.rint(self.unit @ vector * 1e6).astype(np.int32)
-        sims[self.scope != scope] = 0
-        self.sims[self.used] = sims
+        sims = self.sims[self.used]
+        sims[:] = 0
+        lo = 0 if since is None else np.searchsorted(self.lone, since)
+        hi = max(lo, np.searchsorted(self.lone, tick + self.window, side="right"))
+        for met in (slice(lo, hi), slice(len(self.lone), None)):
+            found = np.rint(self.unit[met] @ vector * 1e6).astype(np.int32)
+            found[self.scope[met] != scope] = 0
+            sims[met] = found
+            near = found >= self.limit
+            self.until[met][near] = np.maximum(self.until[met][near], tick + self.window)
         self.marks[self.used] = tick, ts, alert
         self.used += 1
-        near = sims >= self.limit
-        self.until[near] = np.maximum(self.until[near], tick + self.window)
 
     def _make_room(self) -> None:
         live = slice(self.first, self.used)
@@ -199,15 +214,22 @@ def _scanner(window_ticks: int, limit: int):
         rows = rows.sort_values(["tick", "first_ts", "first_id"], ignore_index=True)
         plain = side[side["leader_id"].isna()]
         position = {k: i for i, k in enumerate(zip(plain["text_key"], plain["scope"]))}
-        unit, scopes = unit_rows(plain["embedding"]), plain["scope"].to_numpy()
-        leaders = _OpenLeaders(unit, scopes, window_ticks, limit)
+        texts = np.array([position[k] for k in zip(rows["text_key"], rows["scope"])])
+        # texts of a single row first, in time order, so that those a leader can meet are one slice
+        times, first_row = np.bincount(texts, minlength=len(plain)), np.zeros(len(plain), dtype=np.int64)
+        first_row[texts[::-1]] = np.arange(len(texts))[::-1]
+        order = np.lexsort((first_row, times > 1))
+        texts, plain = np.argsort(order)[texts], plain.iloc[order]
+        lone = rows["tick"].to_numpy()[first_row[order][: int((times == 1).sum())]]
+        vectors, unit, scopes = plain["embedding"].to_numpy(), unit_rows(plain["embedding"]), plain["scope"].to_numpy()
+        leaders = _OpenLeaders(unit, scopes, lone, window_ticks, limit)
         known = side[side["leader_id"].notna()].sort_values(["leader_ts", "leader_id"])
         if len(known):
             marks = known[["leader_tick", "leader_ts", "leader_id"]].astype("int64").to_numpy()
             for vector, scope, mark in zip(unit_rows(known["embedding"]), known["scope"], marks):
                 leaders.add(vector, scope, *mark)
 
-        texts = [position[k] for k in zip(rows["text_key"], rows["scope"])]
+        texts = texts.tolist()
         ticks, first_ts, first_id = (rows[c].to_numpy() for c in ("tick", "first_ts", "first_id"))
         last_ts, last_id = rows["last_ts"].to_numpy(), rows["last_id"].to_numpy()
         several = (last_ts > first_ts) | (last_id > first_id)
@@ -222,7 +244,7 @@ def _scanner(window_ticks: int, limit: int):
                 found.append(leaders.best(t, tick))
                 continue
             mark = (int(first_ts[i]), int(first_id[i]))
-            leaders.add(unit[t], scopes[t], int(tick), *mark)
+            leaders.add(unit[t], scopes[t], int(tick), *mark, since=int(tick))
             is_leader.append(True)
             found.append((mark[1], mark[0], 1_000_000))
             # alerts of this tick that come after the new leader may prefer it
@@ -237,7 +259,7 @@ def _scanner(window_ticks: int, limit: int):
                 "bin": rows["bin"], "text_key": rows["text_key"], "scope": rows["scope"], "tick": ticks,
                 "is_leader": is_leader, "leader_id": [f[0] for f in found],
                 "leader_ts": [f[1] for f in found], "similarity": [f[2] / 1e6 for f in found],
-                "later": later, "first_ts": first_ts, "first_id": first_id,
+                "later": later, "embedding": [vectors[t] if led else None for t, led in zip(texts, is_leader)],
             }
         )
 
@@ -246,7 +268,7 @@ def _scanner(window_ticks: int, limit: int):
 
 _SCAN_NAMES = [
     "bin", "text_key", "scope", "tick", "is_leader", "leader_id", "leader_ts", "similarity", "later",
-    "first_ts", "first_id",
+    "embedding",
 ]
 
 
@@ -298,64 +320,53 @@ def cluster_alerts(
         F.floor(F.col("tick") * tick_us / 1_000_000).alias("second"),
     )
     plan = cut(_blocks(rows, scan_rows))
-    placed = cut(join_lookup(rows, plan, ["bin", "second"], "inner", conf).drop("second"))
+    placed = cut(join_lookup(rows, plan, ["bin", "second"], "inner", conf).drop("second"), "block", ["bin"])
     starts = cut(placed.groupBy("bin", "block").agg(F.min("tick").alias("start")))
 
-    seeds = None
+    own_texts = cut(
+        join_lookup(placed.select("bin", "block", "text_key", "scope").distinct(), vec, "text_key", "inner", conf).select(
+            "bin", "block", "text_key", "scope", "embedding",
+            *[F.lit(None).cast("bigint").alias(c) for c in ("leader_tick", "leader_ts", "leader_id")],
+        ),
+        "block", ["bin"],
+    )
+    given = None
     if known is not None:
-        seeds = cut(
-            join_lookup(known, part_of, "text_key", "inner", conf).select(
-                "bin", "text_key", "scope", tick, F.col("ts").alias("leader_ts"), F.col("id").alias("leader_id")
-            )
+        seeds = join_lookup(known, part_of, "text_key", "inner", conf).select(
+            "bin", "text_key", "scope", tick, F.col("ts").alias("leader_ts"), F.col("id").alias("leader_id")
         )
-    own_texts = join_lookup(
-        placed.select("bin", "block", "text_key", "scope").distinct(), vec, "text_key", "inner", conf
-    ).select(
-        # new column identities: both sides of the cogroup come from the same table
-        *[F.col(c).alias(c) for c in ("bin", "block", "text_key", "scope", "embedding")],
-        *[F.lit(None).cast("bigint").alias(c) for c in ("leader_tick", "leader_ts", "leader_id")],
-    )
+        # leaders of earlier input precede every block; a late alert may even be older than they are
+        reach = seeds.join(starts, "bin").where(
+            (F.col("block") == 0) | (F.col("start") - F.col("tick") <= window_ticks)
+        ).withColumnRenamed("tick", "leader_tick")
+        given = cut(join_lookup(reach, vec, "text_key", "inner", conf).select(*own_texts.columns))
     scan = _scanner(window_ticks, round(threshold * 1e6))
-
-    def one_round(leaders: DataFrame | None) -> DataFrame:
-        side = own_texts
-        if leaders is not None:
-            side = side.unionByName(
-                join_lookup(leaders, vec, "text_key", "inner", conf).select(*own_texts.columns)
+    rounds = (plan.agg(F.max("block")).first()[0] or 0) + 1
+    scanned, open_now = [], None
+    for n in range(rounds):
+        side = own_texts.where(F.col("block") == n)
+        if given is not None:
+            side = side.unionByName(given.where(F.col("block") == n))
+        if open_now is not None:
+            side = side.unionByName(open_now)
+        mine = placed.where(F.col("block") == n).groupBy("bin", "block")
+        scanned.append(cut(mine.cogroup(side.groupBy("bin", "block")).applyInPandas(scan, _SCAN)))
+        if n + 1 < rounds:
+            led = scanned[-1].where("is_leader").select(
+                "bin", "text_key", "scope", "embedding", F.col("tick").alias("leader_tick"), "leader_ts", "leader_id"
             )
-        grouped = placed.groupBy("bin", "block")
-        return cut(grouped.cogroup(side.groupBy("bin", "block")).applyInPandas(scan, _SCAN))
-
-    # leaders of earlier input precede every block; a late alert may even be older than they are
-    given = None
-    if seeds is not None:
-        given = seeds.join(starts, "bin").where(
-            (F.col("block") == 0) | (F.col("start") - F.col("tick") <= window_ticks)
-        ).select("bin", "block", "text_key", "scope", F.col("tick").alias("leader_tick"), "leader_ts", "leader_id")
-    found = one_round(given)
-    if not plan.where("block > 0").isEmpty():
-        while True:
-            leaders = found.where("is_leader")
-            reach = _reaching(leaders, starts, window_ticks)
-            again = one_round(reach if given is None else reach.unionByName(given))
-            before, after = leaders.select("leader_id"), again.where("is_leader").select("leader_id")
-            found = again
-            if before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty():
-                break
+            if open_now is not None:
+                led = led.unionByName(open_now.drop("block"))
+            # a leader whose window has ended at the start of a block is closed for the later ones too
+            following = F.broadcast(starts.where(F.col("block") == n + 1))
+            open_now = cut(
+                led.join(following, "bin").where(F.col("start") - F.col("leader_tick") <= window_ticks)
+                .select(*own_texts.columns)
+            )
+    found = reduce(DataFrame.unionByName, scanned)
     return _assigned(real, silent, found, reduced, tick, conf)
 
 
-def _reaching(leaders: DataFrame, starts: DataFrame, window_ticks: int) -> DataFrame:
-    """Leaders with the later blocks that start within their window: an equi-join on window cells."""
-    cell = F.floor(F.col("tick") / F.lit(window_ticks))
-    spread = leaders.withColumn("_cell", F.explode(F.array(cell, cell + 1)))
-    firsts = starts.withColumn("_cell", F.floor(F.col("start") / F.lit(window_ticks)))
-    open_at = (F.col("tick") < F.col("start")) & (F.col("start") - F.col("tick") <= window_ticks)
-    return spread.join(firsts, ["bin", "_cell"]).where(open_at).select(
-        "bin", "block", "text_key", "scope", F.col("tick").alias("leader_tick"), "leader_ts", "leader_id"
-    )
-
-
 def _assigned(real, silent, found, reduced, tick, conf: Settings) -> DataFrame:
     keys = ["text_key", "scope", "tick"]
     lookup = found.select(*keys, "is_leader", "leader_id", "similarity", "later")

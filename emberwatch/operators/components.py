@@ -12,7 +12,7 @@ from emberwatch.operators.knn import unit_rows
 from emberwatch.operators.skew import join_lookup
 from emberwatch.settings import DEFAULTS, Settings
 
-_STRIP = 512  # rows scored at once inside one block
+_STRIP = 256  # rows scored at once inside one block
 FINISH_EDGES = 100_000  # a contracted graph of at most so many edges is finished by one task
 
 
@@ -45,23 +45,22 @@ def similar_pairs_in(pdf: pd.DataFrame, limit: int):
 
 
 def component_labels(unit: np.ndarray, limit: int) -> np.ndarray:
-    """Component of every row: the index of its first row. Each row is scored once."""
-    n = len(unit)
-    label = np.full(n, -1)
-    for seed in range(n):
-        if label[seed] >= 0:
-            continue
-        label[seed] = seed
-        frontier = np.array([seed])
-        while len(frontier):
-            fresh = np.zeros(n, dtype=bool)
-            for start in range(0, len(frontier), _STRIP):
-                scores = unit[frontier[start : start + _STRIP]] @ unit.T
-                fresh |= (np.rint(scores * 1e6) >= limit).any(axis=0)
-            fresh &= label < 0
-            frontier = np.nonzero(fresh)[0]
-            label[frontier] = seed
-    return label
+    """Component of every row: the index of its first row. Rows are scored strip by strip, each pair once."""
+    root = np.arange(len(unit))
+    for start in range(0, len(unit), _STRIP):
+        part = unit[start : start + _STRIP] @ unit[start:].T
+        part *= 1e6
+        i, j = np.nonzero(part >= limit - 1)
+        near = np.rint(part[i, j]) >= limit
+        a, b = root[i[near] + start], root[j[near] + start]
+        while (apart := a != b).any():
+            a, b = a[apart], b[apart]
+            # hook on the smallest neighbour, then jump until flat
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+            a, b = root[a], root[b]
+    return root
 
 
 def star_edges(members: DataFrame, group: list[str], threshold: float) -> DataFrame:

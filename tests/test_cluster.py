@@ -76,6 +76,25 @@ def test_equals_the_sequential_answer(storm, window, threshold, options):
     assert got.where("is_leader <> (id = cluster_key)").isEmpty()
 
 
+def test_every_row_is_scanned_once(storm, monkeypatch):
+    """One family that goes on without a gap, so that its first leader decides all later ones: a row is in one round,
+    and a second that is larger than several blocks loses no leader."""
+    written, keep = [], cluster.cut
+
+    def counting(df, *more):
+        out = keep(df, *more)
+        if "later" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "cut", counting)
+    crowd = F.when(F.col("id") % 3 == 0, F.lit("2024-01-01 00:20:00").cast("timestamp")).otherwise(F.col("created_at"))
+    rows = storm.withColumn("created_at", F.timestamp_micros(F.unix_micros(crowd) + F.col("id")))
+    got = cluster.cluster_alerts(rows, 300, 0.3, scan_rows=20)
+    assert answers(got) == sequential(local(rows), 300, 0.3, 1)
+    assert len(written) > 5 and sum(written) == rows.where("canonical_text <> ''").count()
+
+
 def test_rounds_of_contraction(spark, monkeypatch):
     """A chain of nodes in random order, a star and a lone node: few rounds whatever the shape."""
     rounds, hook = [], components._hooked
