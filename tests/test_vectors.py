@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,39 @@ def test_changes_are_evaluated_once(spark, store):
     rows = spark.createDataFrame([("knowledge", 1, "n"), ("knowledge", 9, "n")], "namespace string, id bigint, text string")
     assert vectors.upsert_vectors(store, embed.embed_batch(rows, "text", make_model)).count() == 4
     assert seen.value == 2
+
+
+def test_models_get_texts_in_bounded_runs(spark):
+    """A batch of 3,000 rows is not one call, and what is not asked about does not become Python objects."""
+    def make_model():
+        return lambda texts: [[float(len(texts))] for _ in texts]
+
+    df = spark.range(3000).coalesce(1).selectExpr("id", "if(id = 5, null, string(id)) AS t", "array(id) AS other")
+    got = embed.embed_batch(df, "t", make_model).collect()
+    assert [r["other"] for r in got] == [[i] for i in range(3000)]
+    assert max(r["embedding"][0] for r in got) <= embed._MODEL_ROWS
+
+
+def test_queries_at_many_times_share_the_scores_of_their_vector():
+    """All of the nearest are over for some queries: these still get the right ones, and equal vectors are scored once."""
+    rng, n = np.random.default_rng(2), 400
+    block = knn.VectorBlock(pd.DataFrame({
+        "id": range(n), "embedding": list(rng.normal(size=(n, 8))),
+        "valid_from": rng.integers(0, 50, n), "valid_to": rng.integers(50, 100, n),
+    }))
+    vectors_ = rng.normal(size=(3, 8))
+    block.start[np.argsort(-(knn.unit_rows(pd.Series(list(vectors_)))[0] @ block.unit.T))[:200]] = 90
+    at = np.arange(300) % 101
+    queries = pd.DataFrame({"query_id": range(300), "embedding": [vectors_[i % 3] for i in range(300)], "at": at})
+    scored, rows = [], knn.unit_rows
+    knn.unit_rows = lambda column: scored.append(len(column)) or rows(column)
+    try:
+        got = pd.concat(block.best(queries, 4))
+    finally:
+        knn.unit_rows = rows
+    assert sum(scored) == 3
+    for i in range(300):
+        sims = np.rint(rows(pd.Series([vectors_[i % 3]])) @ block.unit.T * 1e6)[0]
+        seen = [j for j in range(n) if block.start[j] <= at[i] < block.end[j]]
+        want = sorted(seen, key=lambda j: (-sims[j], j))[:4]
+        assert got[got["query_id"] == i]["id"].tolist() == want
