@@ -10,7 +10,8 @@ makes a new index without the replaced rows.
 **Search.** A query visits the lists of its ``probes`` nearest centroids, scored in bounded blocks like ``knn``: a crowded list
 is more blocks. With ``exact``, the triangle inequality of angles bounds what every other list can hold, by the
 list's largest angle to its centroid. Lists whose bound reaches the query's k-th similarity are visited too, so
-the answer equals ``knn``.
+the answer equals ``knn``. An index that is small enough to broadcast (measured) travels to the tasks list by list, and queries
+visit the same lists there, without a shuffle of queries.
 
 Centroids are fitted on a bounded sample of ``SAMPLE`` vectors; every vector is indexed. Zero and null vectors are not
 stored, as in ``upsert_vectors``. An index of no vectors has one list and answers nothing."""
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberwatch.cluster_io import cut
-from emberwatch.operators.knn import _grid, _prepare_queries, _prepare_vectors, _ranked, unit_rows
+from emberwatch.operators.knn import (
+    _CELLS, _FOREVER, _grid, _hit_schema, _prepare_queries, _prepare_vectors, _ranked, unit_rows,
+)
 from emberwatch.operators.skew import join_lookup
 from emberwatch.operators.vectors import KEY, is_zero
 from emberwatch.settings import DEFAULTS, Settings
@@ -148,6 +151,11 @@ def search_index(
         live = live.where(F.col("namespace") == namespace)
     prepared = _prepare_queries(queries)
     width = min(probes, len(centroids))
+    size = live.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0)).alias("bytes")
+    ).first()
+    if size["rows"] <= conf.broadcast_vectors and size["bytes"] <= conf.broadcast_bytes:
+        return _ranked(_search_lists(prepared, live, centroids, k, width, exact), k)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -192,6 +200,60 @@ def search_index(
     return _ranked(hits, k)
 
 
+def _search_lists(
+    prepared: DataFrame, live: DataFrame, centroids: np.ndarray, k: int, width: int, exact: bool
+) -> DataFrame:
+    """``(query_id, id, similarity)``: the best ``k`` of every query's lists, from an index small enough to travel to the
+    tasks (checked by the caller). Queries are neither copied to their lists nor shuffled."""
+    spark = prepared.sparkSession
+    local = live.select("id", "embedding", "list", "near").toArrow().to_pandas()  # few rows and bytes, as measured
+    if not len(local):
+        return spark.createDataFrame([], _hit_schema(prepared))
+    shared = spark.sparkContext.broadcast(local.sort_values("id", ignore_index=True))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = shared.value
+        ids, unit, n = rows["id"].to_numpy(), unit_rows(rows["embedding"]), len(rows)
+        members = {c: np.flatnonzero(rows["list"] == c) for c in np.unique(rows["list"])}
+        angle = np.full(len(centroids), -1.0)  # no vector: no angle
+        for c, at in members.items():
+            angle[c] = np.arccos(min(rows["near"].to_numpy()[at].min(), 1.0))
+        top, step = min(k, n), max(1, _CELLS // n)
+
+        def visit(vectors: np.ndarray, lists: np.ndarray, order: np.ndarray) -> None:
+            """Score the vectors of the wanted lists; one integer orders by similarity, then by id."""
+            for c, at in members.items():
+                asked = np.flatnonzero(lists[:, c])
+                if len(asked):
+                    millionths = np.rint(vectors[asked] @ unit[at].T * 1e6).astype(np.int64)
+                    order[np.ix_(asked, at)] = millionths * n - at
+
+        for pdf in batches:
+            pdf = pdf[[v is not None and bool(np.any(v)) for v in pdf["embedding"]]]
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo : lo + step]
+                vectors, scores = unit_rows(part["embedding"]), _scores(part["embedding"], centroids)
+                lists = np.zeros(scores.shape, dtype=bool)
+                np.put_along_axis(lists, np.argpartition(-scores, width - 1, axis=1)[:, :width], True, axis=1)
+                order = np.full((len(part), n), -_FOREVER)
+                visit(vectors, lists, order)
+                if exact and width < len(centroids):
+                    worst = np.partition(order, n - top, axis=1)[:, n - top] if top == k else np.full(len(part), -_FOREVER)
+                    # similarity and place from the integer; fewer than k found: every list may hold one
+                    least = np.where(worst == -_FOREVER, -2.0, -(-worst // n) / 1e6)
+                    best = np.cos(np.maximum(np.arccos(scores) - angle, 0)) + _ROUNDING
+                    visit(vectors, (best >= least[:, None]) & (angle >= 0) & ~lists, order)
+                cols = np.argpartition(-order, top - 1, axis=1)[:, :top]
+                found = np.take_along_axis(order, cols, axis=1)
+                i, j = np.nonzero(found > -_FOREVER)
+                at = cols[i, j]
+                yield pd.DataFrame({
+                    "query_id": part["query_id"].to_numpy()[i], "id": ids[at], "similarity": (found[i, j] + at) // n / 1e6,
+                })
+
+    return prepared.mapInPandas(run, _hit_schema(prepared))
+
+
 def index_search(path: str, probes: int = PROBES, exact: bool = False) -> Callable[..., DataFrame]:
     """A ``search`` for ``retrieve``, ``semantic_search`` and ``triage``; their ``vectors`` are then None."""
 

@@ -74,3 +74,16 @@ def test_an_index_begun_empty(spark, points, tmp_path):
 def test_an_index_search_takes_no_second_table(spark, tmp_path):
     with pytest.raises(ValueError):
         vector_index.index_search(str(tmp_path))(None, spark.range(1), 1, None, Settings())
+
+
+def test_a_small_index_answers_without_copying_queries_to_their_lists(spark, points, tmp_path):
+    path = str(tmp_path / "index")
+    v = spark.createDataFrame(rows_of(points) + rows_of(points[:40], first=100), SCHEMA)  # some ids twice
+    vector_index.build_index(v, path)
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    for exact, probes in ((True, 2), (False, 3)):
+        local = vector_index.search_index(q, path, 5, probes=probes, exact=exact)
+        assert "CoGroups" not in local._jdf.queryExecution().toString()
+        blocked = vector_index.search_index(q, path, 5, probes=probes, exact=exact, conf=Settings(broadcast_vectors=0))
+        assert "CoGroups" in blocked._jdf.queryExecution().toString()
+        assert sorted(map(tuple, local.collect())) == sorted(map(tuple, blocked.collect()))
