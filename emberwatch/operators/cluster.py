@@ -19,12 +19,15 @@ How this runs in parallel with exactly the sequential result:
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.cluster_io import cut
@@ -72,6 +75,32 @@ def _neighbours(cells: DataFrame) -> DataFrame:
     )
 
 
+def _meetings(cells: DataFrame) -> DataFrame:
+    """Like ``_neighbours``, with what tells whether two texts have met in the group before this one (``first_before``: the
+    first time in the cell before, ``earlier``: the last time in the one before that) and ``lone``: the text is in one cell
+    only. One row per text and group."""
+    lone = (F.count(F.lit(1)).over(Window.partitionBy("text_key")) == 1).alias("lone")
+    spread = cells.select("*", lone).withColumn("_back", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+
+    def seen(back: int, time: str) -> Column:
+        return F.when(F.col("_back") == back, F.col(time))
+
+    return (
+        spread.groupBy((F.col("cell") + F.col("_back")).alias("cell"), "text_key")
+        .agg(
+            F.min(seen(0, "first")).alias("first"), F.max(seen(1, "last")).alias("before"),
+            F.min(seen(1, "first")).alias("first_before"), F.max(seen(2, "last")).alias("earlier"),
+            F.max("lone").alias("lone"),
+        )
+        .where("first IS NOT NULL OR before IS NOT NULL")
+        .withColumn("node", F.xxhash64("text_key"))
+    )
+
+
+_TIMES = ["first", "before", "first_before", "earlier"]
+_PAIR = "text_a binary, text_b binary, similarity double"
+
+
 def similar_pairs(
     alerts: DataFrame,
     window_s: int = DEFAULTS.window_s,
@@ -82,46 +111,68 @@ def similar_pairs(
     that occur at most ``window_s`` seconds apart.
 
     Texts, not alerts: a burst of n equal alerts adds nothing to the result. A family of n similar texts still
-    has n*(n-1)/2 pairs; the clusters use one edge per text instead (``star_edges``)."""
-    base = _base(alerts, None)
+    has n*(n-1)/2 pairs; the clusters use one edge per text instead (``star_edges``).
+
+    A pair is written by the one task in which its texts meet for the first time, so pairs are not shuffled. That is known
+    there if one of them is ``lone``, in one cell only: its groups follow each other. Two texts that come back again and
+    again may meet, part and meet; these alone are scored by themselves and made distinct."""
+    # a condition on texts would be pushed under the parser; those without a key are left out by the join
+    base = _base(alerts, None).where("ts IS NOT NULL")
     vec = cut(embed_texts(distinct_texts(base, "canonical_text"), conf.dim))
     window_us, limit = window_s * 1_000_000, round(threshold * 1e6)
-    cells = _text_cells(base, window_us)
-    members = join_lookup(_neighbours(cells), vec, "text_key", "inner", conf)
-    blocks = block_pairs(members, ["cell"], conf)
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, before = pdf["first"].to_numpy(dtype=float), pdf["before"].to_numpy(dtype=float)
-
-        def meet(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            # both in this cell, or one here at most a window after the other was in the cell before; two texts
-            # of the cell before were paired in their own cell
-            here = ~np.isnan(first[i]) & ~np.isnan(first[j])
-            return here | (first[i] - before[j] <= window_us) | (first[j] - before[i] <= window_us)
-
-        return _pair_rows(pdf, limit, meet)
-
-    found = (
-        blocks.select("cell", "lo", "hi", "text_key", *[(F.col(c) - F.col("cell") * window_us).alias(c) for c in ("first", "before")], "embedding")
-        .groupBy("cell", "lo", "hi")
-        .applyInPandas(pairs, _PAIR)
-    )
-    return found.distinct()
-
-
-_PAIR = "text_a binary, text_b binary, similarity double"
-
+    around = cut(_meetings(_text_cells(base, window_us)))
+    # pairs leave a task some at a time, so its blocks may be larger: b blocks are b copies of every row
+    wide = replace(conf, block_rows=4 * conf.block_rows)
 
-def _pair_rows(pdf: pd.DataFrame, limit: int, wanted) -> pd.DataFrame:
-    keys = pdf["text_key"].to_numpy()
-    out = []
-    for i, j, score in similar_pairs_in(pdf, limit):
-        keep = wanted(i, j)
-        i, j, score = i[keep], j[keep], score[keep]
-        swap = keys[i] > keys[j]
-        a, b = np.where(swap, keys[j], keys[i]), np.where(swap, keys[i], keys[j])
-        out.append(pd.DataFrame({"text_a": a, "text_b": b, "similarity": score / 1e6}))
-    return pd.concat(out, ignore_index=True)
+    def pairs(of_lone: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(batches)
+            own, lone = table["own"].to_numpy(), table["lone"].to_numpy()
+            asked = np.flatnonzero(lone == of_lone)
+            if not len(asked):
+                return
+            names = table["text_key"].combine_chunks().cast(pa.binary())
+            place = np.empty(len(table), dtype=np.int64)  # in the order of keys
+            place[pa.compute.sort_indices(names).to_numpy()] = np.arange(len(table))
+            first, before, first_before, earlier = (
+                table[c].to_pandas().to_numpy(dtype=float) for c in _TIMES
+            )
+            crossing = bool((own != own[0]).any())
+
+            def near(i, j, here, last) -> np.ndarray:
+                # both in this cell, or one here at most a window after the other was in the cell before; two texts
+                # of the cell before were paired in their own cell
+                both = ~np.isnan(here[i]) & ~np.isnan(here[j])
+                return both | (here[i] - last[j] <= window_us) | (here[j] - last[i] <= window_us)
+
+            vectors = _matrix(table["embedding"]).astype(np.float64)
+            length = np.linalg.norm(vectors, axis=1)
+            unit = vectors / np.where(length == 0, 1.0, length)[:, None]
+            for i, j, score in similar_pairs_in(unit, asked, limit):
+                keep = near(i, j, first, before) & ~near(i, j, first_before, earlier)
+                if crossing:  # those of one block meet in the task of that block
+                    keep &= own[i] != own[j]
+                i, j, score = i[keep], j[keep], score[keep]
+                swap = place[i] > place[j]
+                a, b = np.where(swap, j, i), np.where(swap, i, j)
+                columns = [names.take(pa.array(a)), names.take(pa.array(b)), pa.array(score / 1e6)]
+                yield pa.RecordBatch.from_arrays(columns, ["text_a", "text_b", "similarity"])
+
+        return run
+
+    def found(some: DataFrame, of_lone: bool) -> DataFrame:
+        members = join_lookup(block_pairs(some, ["cell"], wide), vec, "text_key", "inner", conf)
+        times = [(F.col(c) - F.col("cell") * window_us).alias(c) for c in _TIMES]
+        slim = members.select("cell", "lo", "hi", "own", "lone", "text_key", *times, "embedding")
+        return slim.groupBy("cell", "lo", "hi").applyInArrow(pairs(of_lone), _PAIR)
+
+    return found(around, True).unionByName(found(around.where("NOT lone"), False).distinct())
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = vectors.combine_chunks()
+    return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
 # --- clustering ------------------------------------------------------------------------------------

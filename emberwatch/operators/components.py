@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from emberwatch.operators.skew import join_lookup
 from emberwatch.settings import DEFAULTS, Settings
 
 _STRIP = 256  # rows scored at once inside one block
+_CELLS = 1 << 20  # similarities held at once where pairs are wanted
 FINISH_EDGES = 100_000  # a contracted graph of at most so many edges is finished by one task
 
 
@@ -20,7 +23,7 @@ def block_pairs(members: DataFrame, group: list[str], conf: Settings = DEFAULTS)
     """Replicate the members of each group so that any two of them meet in one task.
 
     A group larger than ``block_rows`` is cut into b blocks and becomes b*(b+1)/2 tasks of at most
-    two blocks each. Adds ``lo`` and ``hi``, the two blocks of the task."""
+    two blocks each. Adds ``lo`` and ``hi``, the two blocks of the task, and ``own``, the one the member is in."""
     sizes = members.groupBy(*group).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(conf.block_rows)).alias("_blocks")
     )
@@ -30,18 +33,26 @@ def block_pairs(members: DataFrame, group: list[str], conf: Settings = DEFAULTS)
         .withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
         .withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other")})
-        .drop("_blocks", "_own", "_other")
+        .withColumnRenamed("_own", "own").drop("_blocks", "_other")
     )
 
 
-def similar_pairs_in(pdf: pd.DataFrame, limit: int):
-    """Index pairs (i < j) of similar rows with their similarity in millionths."""
-    unit = unit_rows(pdf["embedding"])
-    for start in range(0, len(unit), _STRIP):
-        part = np.rint(unit[start : start + _STRIP] @ unit.T * 1e6).astype(np.int64)
-        i, j = np.nonzero(part >= limit)
-        keep = i + start < j
-        yield i[keep] + start, j[keep], part[i[keep], j[keep]]
+def similar_pairs_in(unit: np.ndarray, rows: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of similar rows with their similarity in millionths, one of them in ``rows`` (ascending), each pair
+    once, at most ``_CELLS`` at a time."""
+    wanted = np.zeros(len(unit), dtype=bool)
+    wanted[rows] = True
+    step = max(1, _CELLS // max(len(unit), 1))
+    for start in range(0, len(rows), step):
+        some = rows[start : start + step]
+        part = unit[some] @ unit.T
+        part *= 1e6
+        i, j = np.nonzero(part >= limit - 1)
+        score = np.rint(part[i, j]).astype(np.int64)
+        i = some[i]
+        # two of ``rows`` meet twice
+        keep = (score >= limit) & (~wanted[j] | (i < j))
+        yield i[keep], j[keep], score[keep]
 
 
 def component_labels(unit: np.ndarray, limit: int) -> np.ndarray:

@@ -179,3 +179,22 @@ def test_late_alerts_are_set_aside(spark, make_alerts, tmp_path):
     jobs.stream_clusters(stream, out, str(tmp_path / "mark"), 300, available_now=True).awaitTermination()
     assert [r["id"] for r in spark.read.parquet(f"{out}/late").collect()] == [2]
     assert answers(spark.read.parquet(f"{out}/members")) == {1: (1, 1.0), 3: (1, 1.0)}
+
+
+def test_pairs_of_texts_that_come_once_are_not_shuffled(spark, make_alerts):
+    rng = np.random.default_rng(5)
+    text = lambda n: f"belt {n} stopped: parcel jam seen at chute nine"
+    # texts that come once, near the ends of windows and in the next one, and texts that meet, part and meet again
+    rows = [(i, float(t), "s", text(i)) for i, t in enumerate(np.round(rng.uniform(0, 3000, 120)))]
+    rows += [(1000 + i, float(t), "s", text("abc"[i % 3])) for i, t in enumerate([10, 290, 310, 620, 1500, 1510, 1790, 2405, 2999])]
+    df = make_alerts(rows)
+    want = {
+        tuple(sorted((a, b))) for _, s, _, a in rows for _, t, _, b in rows if a != b and abs(s - t) <= 300
+    }
+    keys = {r["k"]: r["raw_log"] for r in df.select("raw_log", F.unhex(F.md5("raw_log")).alias("k")).distinct().collect()}
+    for conf in (Settings(), Settings(block_rows=3, broadcast_rows=3)):
+        found = cluster.similar_pairs(df, 300, 0.5, conf)
+        got = [(keys[r["text_a"]], keys[r["text_b"]]) for r in found.collect()]
+        assert len(got) == len(set(got)) and {tuple(sorted(p)) for p in got} == want
+    plan = cluster.similar_pairs(df, 300, 0.5)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and plan.children().apply(0).nodeName() == "FlatMapGroupsInArrow"
