@@ -7,9 +7,13 @@ of near copies is one node. A task builds and writes its shard. Every block of p
 finds the leaders near a query. By the triangle inequality of angles only leaders within the threshold's angle plus
 the width of their group can have linked members; the members of those are compared in double precision, and what is
 at or above the threshold is a link. Beams widen in two ways. A beam that holds nothing but such leaders may have missed some, so that query
-is repeated with a wider one, up to a beam of the whole shard. And beams are audited: ``AUDIT`` queries are compared
-with all leaders of the shard, before the first search and again among the queries that end with each beam. Each has to have found its
-``EVIDENCE`` nearest leaders, which exist whether it has links or not; every query counts the same. While the mean is below ``RECALL``, the beam is doubled. A task hands on the number of links per query and a spanning forest of its links; only those are
+is repeated with a wider one, up to a beam of the whole shard. And beams are audited: ``AUDIT`` queries, before the first search and again
+among the queries that end with each beam, have to find ``EVIDENCE`` leaders each, half of them the nearest to the query, half dealt evenly
+over the shard. A query that is too far from such a leader to have a link in its group is moved on the arc to it, just as far as
+where a link is possible: the farthest place from which the leader has to be found. So there is evidence whether queries have links or
+not, and it is about links: random vectors far from each other ask for no wider beam the more of them there are. While the share found
+is below ``RECALL`` in either half, the beam is doubled. And a leader that a search for itself in its own shard misses is compared with all
+queries of that shard. A task hands on the number of links per query and a spanning forest of its links; only those are
 shuffled, never pairs. Components are joined across shards by Spark.
 
 Defined cases: vectors that are null, empty, zero, or have null or non-finite components, and vectors with a null
@@ -241,18 +245,37 @@ class Shard:
         return out.getvalue()
 
 
-def recall(centres: np.ndarray, queries: np.ndarray, ids: np.ndarray, own: np.ndarray) -> float:
-    """The share of its ``EVIDENCE`` true nearest leaders that each query has among ``ids``, on average over the
-    queries; ``own`` is a query's own number among the leaders (-1: none), which does not count."""
-    k = min(EVIDENCE, len(centres) - 1)
-    if not len(queries) or k < 1:
-        return 1.0
+def edge_probes(
+    centres: np.ndarray, least: np.ndarray, queries: np.ndarray, own: np.ndarray,
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(query, leader)`` to audit: each query with half of ``EVIDENCE`` leaders nearest to it, and with as many dealt
+    evenly. A query is taken as it is if that leader can have linked members, else moved on the arc to that leader, just
+    as far as where it can. ``own`` is a query's own number among the leaders (-1: none), which is not one of the nearest."""
+    q, n, k = len(queries), len(centres), EVIDENCE // 2
+    if not q:
+        return []
     cosine = queries @ centres.T
+    others = cosine.copy()
     mine = np.flatnonzero(own >= 0)
-    cosine[mine, own[mine]] = -np.inf
-    least = np.partition(cosine, -k, axis=1)[:, -k, None]
-    met = (np.take_along_axis(cosine, np.maximum(ids, 0), 1) >= least) & (ids >= 0)
-    return float(np.minimum(met.sum(1), k).mean() / k)
+    others[mine, own[mine]] = -np.inf
+    nearest = np.argpartition(others, -min(k, n), axis=1)[:, -min(k, n):]
+    spread = np.linspace(0, n - 1, q * k).astype(np.int64).reshape(k, q).T
+    out = []
+    for leader in (nearest, spread):
+        near, edge, centre = np.take_along_axis(cosine, leader, 1)[:, :, None], least[leader][:, :, None], centres[leader]
+        across = queries[:, None] - near * centre
+        across /= np.maximum(np.linalg.norm(across, axis=2, keepdims=True), 1e-12)
+        moved = edge * centre + np.sqrt(np.maximum(0, 1 - edge * edge)) * across
+        out.append((np.where(near >= edge, queries[:, None], moved).reshape(-1, centres.shape[1]), leader.reshape(-1)))
+    return out
+
+
+def recall(graph: Graph, probes: np.ndarray, leader: np.ndarray, beam: int) -> float:
+    """The share of ``probes`` whose ``leader`` is in their beam, or whose beam is full of nearer ones."""
+    asked = probes.astype(np.float32)
+    ids, sims = graph.near(asked, beam)
+    cosine = np.einsum("ad,ad->a", asked, graph.unit[leader])
+    return float(((ids == leader[:, None]).any(axis=1) | (sims > cosine[:, None]).all(axis=1)).mean())
 
 
 def _confirmed(shard: Shard, queries: np.ndarray, row: np.ndarray, number: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -287,17 +310,22 @@ def links_of(
     graph, asked, n = shard.graph, queries.astype(np.float32), len(shard.leaders)
     least = (shard.least(threshold) - _SLACK).astype(np.float32)
     lowest, open_, wide, rows, numbers = least.min(initial=1), np.arange(len(queries)), beam, [], []
+    lost = [np.zeros(0, dtype=np.int64)]
     mine = np.where(shard.group == np.arange(len(queries)), shard.number, -1) if own else np.full(len(queries), -1)
 
     def some(of: np.ndarray) -> np.ndarray:
-        return np.unique(np.linspace(0, len(of) - 1, min(AUDIT, len(of))).astype(int))
+        return of[np.unique(np.linspace(0, len(of) - 1, min(AUDIT, len(of))).astype(int))]
 
-    def passes(audit: np.ndarray, met: np.ndarray) -> bool:
-        return recall(shard.centres, queries[audit], met, mine[audit]) >= RECALL
+    def passes(audit: np.ndarray) -> bool:
+        return all(
+            recall(graph, probes, leader, wide) >= RECALL
+            for probes, leader in edge_probes(shard.centres, least, queries[audit], mine[audit])
+        )
 
     first = some(open_)
-    while 2 * wide < n and not passes(first, graph.near(asked[first], wide)[0]):
+    while 2 * wide < n and not passes(first):
         wide *= 2
+    passed = wide
     while len(open_):
         if 2 * wide >= n or wide > 16 * beam:  # a beam of the whole shard
             for lo in range(0, len(open_), _BATCH):
@@ -307,17 +335,23 @@ def links_of(
             break
         ids, sims = graph.near(asked[open_], wide)
         done = ~(sims >= lowest).all(axis=1)
-        ended = np.flatnonzero(done)
-        at = ended[some(ended)] if len(ended) else ended
-        if not passes(open_[at], ids[at]):
+        audit = some(open_[done])
+        if not (wide == passed and np.array_equal(audit, first)) and not passes(audit):
             wide *= 2
             continue
         i, j = np.nonzero((sims >= least[ids]) & (ids >= 0) & done[:, None])
         rows.append(open_[i])
         numbers.append(ids[i, j])
+        leads = mine[open_]
+        lost.append(leads[done & (leads >= 0) & ~(ids == leads[:, None]).any(axis=1)])
         open_, wide = open_[~done], 4 * wide
-    none = np.zeros(0, dtype=np.int64)
-    return _confirmed(shard, queries, np.concatenate([none, *rows]), np.concatenate([none, *numbers]), threshold)
+    missed = np.concatenate(lost)
+    for lo in range(0, len(queries) if len(missed) else 0, _BATCH):
+        i, j = np.nonzero(asked[lo:lo + _BATCH] @ graph.unit[missed].T >= least[missed])
+        rows.append(lo + i)
+        numbers.append(missed[j])
+    pairs = np.unique(np.concatenate([*lost[:1], *rows]) * n + np.concatenate([*lost[:1], *numbers]))
+    return _confirmed(shard, queries, pairs // n, pairs % n, threshold)
 
 
 def _unit(blob: bytes, dim: int) -> np.ndarray:

@@ -113,6 +113,32 @@ def test_audit_sees_lost_pairs_of_small_groups(own):
     assert set(zip(row.tolist(), place.tolist())) == true
 
 
+@pytest.mark.parametrize("size", [500, 3000])
+def test_beam_does_not_widen_with_unrelated_vectors(size, monkeypatch):
+    rnd = np.random.default_rng(11)
+    first = rnd.normal(size=(size, 64))
+    unit = np.concatenate([first, first[::10] + rnd.normal(size=first[::10].shape) * 0.15])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    shard, beams, near = embedding_dedup.Shard(unit), [], embedding_dedup.Graph.near
+    monkeypatch.setattr(embedding_dedup.Graph, "near", lambda self, asked, beam: beams.append(beam) or near(self, asked, beam))
+    row, place = embedding_dedup.links_of(shard, unit, own=True)
+    true = set(zip(*(x.tolist() for x in np.nonzero(unit @ unit.T >= 0.98))))
+    assert set(zip(row.tolist(), place.tolist())) == true and len(true) > 1.1 * len(unit)
+    assert set(beams) == {embedding_dedup.BEAM}
+
+
+def test_leader_that_no_way_leads_to_keeps_its_links():
+    rnd = np.random.default_rng(13)
+    first = rnd.normal(size=(2000, 32))
+    unit = np.concatenate([first, first[:1] + rnd.normal(size=(1, 32)) * 0.01])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    shard = embedding_dedup.Shard(unit, 2.0)  # single points
+    low = shard.graph.layers[-1]
+    low.links[low.nodes[low.links] == 2000] = -1
+    row, place = embedding_dedup.links_of(shard, unit, own=True)
+    assert {(0, 2000), (2000, 0)} <= set(zip(row.tolist(), place.tolist())) and len(row) == 2003
+
+
 @pytest.mark.parametrize("shard", [16_384, 40])
 def test_embedding_components(spark, shard):
     rnd = np.random.default_rng(9)
