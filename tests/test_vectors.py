@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberwatch import Settings
 from emberwatch.operators import embed, knn, skew, vectors
+from fixtures.queries import ORACLE, QUERIES
 
 
 def expected_vector(text, dim=256):
@@ -210,3 +212,18 @@ def test_queries_at_many_times_share_the_scores_of_their_vector():
         seen = [j for j in range(n) if block.start[j] <= at[i] < block.end[j]]
         want = sorted(seen, key=lambda j: (-sims[j], j))[:4]
         assert got[got["query_id"] == i]["id"].tolist() == want
+
+
+@pytest.mark.parametrize("name", ["vec_knn"])
+def test_every_row_is_a_query(spark, tmp_path, name):
+    """The registered search and its SQL ask for all rows, whatever their ids."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)], i % 3) for i in range(1, 120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT query_id, rank, id, similarity FROM ({ORACLE[name]})").fetchall()
+    got = QUERIES[name](spark, str(tmp_path)).select("query_id", "rank", "id", "similarity")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert len(want) == 5 * len(rows) and {w[0] for w in want} == {r[0] for r in rows}
