@@ -214,7 +214,7 @@ def test_queries_at_many_times_share_the_scores_of_their_vector():
         assert got[got["query_id"] == i]["id"].tolist() == want
 
 
-@pytest.mark.parametrize("name", ["vec_knn", "vec_knn_fast"])
+@pytest.mark.parametrize("name", ["vec_knn", "vec_knn_fast", "vec_index_exact"])
 def test_every_row_is_a_query(spark, tmp_path, name):
     """The registered search and its SQL ask for all rows, whatever their ids."""
     rng = np.random.default_rng(5)
