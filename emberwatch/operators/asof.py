@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.cluster_io import cut
@@ -15,9 +17,13 @@ def last_change(
 ) -> DataFrame:
     """``rows`` with ``out``: the latest ``change`` that is not after ``time``; null without one, or without a time.
 
-    Both sides are reduced to distinct moments and merged in ranges of time. A range holds about as many moments as
+    Up to ``conf.broadcast_rows`` distinct changes travel to the tasks, and rows are not shuffled. Otherwise
+    both sides are reduced to distinct moments and merged in ranges of time. A range holds about as many moments as
     any other, wherever changes or rows crowd, and is sorted by itself; what it needs from earlier ranges is one
-    moment, the last change before it. No group of changes is ever collected, and equal times count once."""
+    moment, the last change before it. No group of changes is collected then, and equal times count once."""
+    told = cut(changes.select(F.unix_micros(change).alias("moment")).where("moment IS NOT NULL").distinct())
+    if told.count() <= conf.broadcast_rows:
+        return rows.withColumn(out, F.timestamp_micros(_looked_up(told, F.unix_micros(time))))
     ranges = cut(
         _moments(rows, time, changes, change).repartitionByRange("moment").withColumn("range", F.spark_partition_id())
     )
@@ -28,6 +34,22 @@ def last_change(
     return join_lookup(rows, answers, time, "left", conf)
 
 
+def _looked_up(moments: DataFrame, time: Column) -> Column:
+    """The last of few ``moments`` at or before ``time``, both in microseconds."""
+    known = np.sort(moments.toArrow().column("moment").to_numpy())  # few, as counted
+    shared = moments.sparkSession.sparkContext.broadcast(known)
+
+    @F.arrow_udf("bigint")
+    def last(at: pa.Array) -> pa.Array:
+        if not len(shared.value):
+            return pa.nulls(len(at), pa.int64())
+        found = np.searchsorted(shared.value, at.fill_null(0).to_numpy(), "right") - 1
+        none = at.is_null().to_numpy(zero_copy_only=False) | (found < 0)
+        return pa.array(shared.value[np.maximum(found, 0)], mask=none)
+
+    return last(time)
+
+
 def _moments(rows: DataFrame, time: str, changes: DataFrame, change: str) -> DataFrame:
     """``(moment, asked, changed)``: every distinct time, whether a row asks about it, and itself if it is a change."""
     asked = rows.select(F.col(time).alias("moment"), F.lit(True).alias("asked"), F.lit(None).cast("timestamp").alias("changed"))

@@ -50,18 +50,19 @@ def replay(
     )
     dated = join_lookup(in_time, arrived, "alert_id", "inner", conf)
     early = F.col("_arrived") > F.col("requested_at")
-    added = resolution_rows(dated.where(~early), last_id(kb), F.col("requested_at"))
+    # the knowledge of all times is small beside the alerts and used throughout: made once
+    added = cut(resolution_rows(dated.where(~early), last_id(kb), F.col("requested_at")))
     missing = unknown.unionByName(dated.where(early).select(*unknown.columns))
 
     history = kb.unionByName(added.select(*kb.columns))
     # a delete counts only while its row exists; the first one ends the row
     ended = (
-        join_lookup(deletes.distinct(), history.select("id", "created_at"), "id", "inner", conf)
+        join_lookup(deletes, history.select("id", "created_at"), "id", "inner", conf)
         .where(F.col("deleted_at") >= F.col("created_at"))
         .groupBy("id")
         .agg(F.min("deleted_at").alias("valid_to"))
     )
-    dated_kb = join_lookup(history, ended, "id", "left", conf)
+    dated_kb = cut(join_lookup(history, ended, "id", "left", conf))
     spans = dated_kb.select("id", F.col("created_at").alias("valid_from"), "valid_to")
     vectors = cut(vectors_of(history, conf.dim).join(spans, "id"))
     # inside its span a row that was deleted later was still active

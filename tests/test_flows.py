@@ -209,6 +209,27 @@ def test_asof_with_changes_in_many_cells(spark, make_alerts, make_kb):
     assert got == {0: [], 1: [1], 2: [1], 3: [], 4: [], 5: [2], 6: [2], 7: [2, 3], 8: [3], 9: [3]}
 
 
+def test_a_text_is_one_query_at_all_its_times(spark, make_alerts, make_kb, monkeypatch):
+    """Fifty changes: not fifty queries a text, each with its vector, and equal logs are parsed once."""
+    from emberwatch.functions.logs import parse_logs
+    from emberwatch.operators import retrieve
+
+    kb = make_kb([(i, *SEED[1:]) for i in range(50)])
+    spans = spark.range(50).selectExpr("id", "timestamp_seconds(1704067200 + id) AS valid_from", "CAST(NULL AS timestamp) AS valid_to")
+    vecs = knowledge.vectors_of(kb).join(spans, "id")
+    alerts = parse_logs(make_alerts([(i, i / 2, None, (SEED[1], "  " + SEED[1], "disk full")[i % 3]) for i in range(120)]))
+    asked = []
+    for name in ("knn_fast", "knn_asof"):
+        search = getattr(retrieve, name, None)
+        monkeypatch.setattr(retrieve, name, lambda q, *a, f=search: asked.append(q.count()) or f(q, *a), raising=False)
+    for raw, queries in ((None, 2), ("raw_log", 3)):
+        asked.clear()
+        got = retrieve_asof(alerts, vecs, kb, 3, Settings(), *([raw] if raw else []))
+        for r in got.select("id", "hits.knowledge_id").collect():
+            assert r["knowledge_id"] == list(range(min(r["id"] // 2 + 1, 3))), r["id"]
+        assert asked == [queries]
+
+
 def test_semantic_search(spark, make_kb):
     kb = make_kb([(1, "redis OOM connection refused cache", "redis oom", "", "g"), (2, "disk full", "disk", "", "g")])
     q = spark.createDataFrame([("a", "cache connection timeout"), ("b", "")], "query_id string, q string")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberwatch import Settings
 from emberwatch.operators import embed, knn, skew, vectors
+from emberwatch.operators.knn_asof import knn_asof
 from fixtures.queries import ORACLE, QUERIES
 
 
@@ -227,3 +228,36 @@ def test_every_row_is_a_query(spark, tmp_path, name):
     got = QUERIES[name](spark, str(tmp_path)).select("query_id", "rank", "id", "similarity")
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert len(want) == 5 * len(rows) and {w[0] for w in want} == {r[0] for r in rows}
+
+
+@pytest.mark.parametrize("conf", [Settings(), Settings(broadcast_rows=3, knn_block_rows=40)])
+def test_search_at_many_times(spark, conf):
+    """Equal vectors in many rows, rows that come twice, times before, between and after the spans, ties between groups."""
+    rng, n = np.random.default_rng(4), 150
+    base = rng.integers(-2, 3, (40, 6)).astype(float)
+    rows = [(i // 2 if i < 20 else i, base[0] if i % 3 == 0 else base[i % 40]) for i in range(n)]
+    start = [None if i % 11 == 0 else int(x) for i, x in enumerate(rng.integers(0, 60, n))]
+    end = [None if i % 4 == 0 else int(x) for i, x in enumerate(rng.integers(20, 90, n))]
+    v = spark.createDataFrame(
+        [(i, [float(x) for x in e], s, t) for (i, e), s, t in zip(rows, start, end)],
+        "id bigint, embedding array<float>, s bigint, e bigint",
+    ).select("id", "embedding", F.timestamp_micros("s").alias("valid_from"), F.timestamp_micros("e").alias("valid_to"))
+    asked = [*base[:12], base[0], np.zeros(6)]
+    times = [[int(x) for x in rng.permutation(np.arange(-5, 95))[:30]] for _ in asked]
+    q = spark.createDataFrame(
+        [(f"q{i}", [float(x) for x in e], t) for i, (e, t) in enumerate(zip(asked, times))],
+        "query_id string, embedding array<float>, at array<bigint>",
+    )
+    got = {}
+    for r in knn_asof(q, v, 4, conf=conf).collect():
+        got[r["query_id"], r["at"]] = list(zip(r["ids"], r["similarities"]))
+    want = {}
+    unit_v = knn.unit_rows(pd.Series([e for _, e in rows]))
+    for i, e in enumerate(asked):
+        sims = np.rint(knn.unit_rows(pd.Series([e])) @ unit_v.T * 1e6)[0] / 1e6
+        for t in times[i]:
+            seen = [j for j in range(n) if (start[j] is None or start[j] <= t) and (end[j] is None or t < end[j])]
+            best = sorted(((-sims[j], rows[j][0]) for j in seen))[:4]
+            if best and e.any():
+                want[f"q{i}", t] = [(d, -s) for s, d in best]
+    assert got == want and len(want) > 200
