@@ -8,6 +8,7 @@ Results are those of ``knn`` for every pair of query and time: similarity to 6 d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heappop, heappush
 
 import numpy as np
@@ -21,7 +22,7 @@ from emberwatch.operators.knn import _CELLS, _FOREVER, _SHORT, _grid, _prepare_v
 from emberwatch.settings import DEFAULTS, Settings
 
 _SCORES = 4 * _CELLS  # in single precision
-_FEW = 8  # groups of equal vectors looked at first, before the nearest _SHORT and then all
+_FEW = 8  # groups of equal vectors looked at first
 FOUND = "at bigint, ids array<bigint>, similarities array<double>"
 
 
@@ -34,7 +35,6 @@ class TimedVectors:
         embeddings = pdf["embedding"].to_numpy()
         group, _ = pd.factorize(np.array([np.asarray(v).tobytes() for v in embeddings], dtype=object))
         self.own = np.vstack(embeddings[np.unique(group, return_index=True)[1]])
-        self.unit = unit_rows(pd.Series(list(self.own))).astype(np.float32)
         start, end = pdf["valid_from"].to_numpy(), pdf["valid_to"].to_numpy()
         self.times = np.unique(np.concatenate([start, end]))
         # seen at a time of rank t when first <= t < last
@@ -46,6 +46,11 @@ class TimedVectors:
                 keys.append(g * (len(self.times) + 1) + t)
                 rows.append(seen)
         self.keys, self.rows = np.array(keys), np.array(rows, dtype=np.int64)
+        # before its first row comes and after its last one goes a group shows nothing; in between it may have gaps
+        lasting = first < last
+        self.comes, self.goes = np.full(len(self.own), len(self.times) + 1), np.zeros(len(self.own), dtype=np.int64)
+        np.minimum.at(self.comes, group[lasting], first[lasting])
+        np.maximum.at(self.goes, group[lasting], last[lasting])
 
     @classmethod
     def of(cls, fields: dict) -> TimedVectors:
@@ -54,6 +59,14 @@ class TimedVectors:
         vars(made).update(fields)
         return made
 
+    @cached_property
+    def unit(self) -> np.ndarray:
+        return unit_rows(pd.Series(list(self.own)))
+
+    @cached_property
+    def single(self) -> np.ndarray:
+        return self.unit.astype(np.float32)
+
     def _shown(self, groups: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """The first ``k`` rows that the groups show at the times of these ranks, -1 for none."""
         return self.rows[np.searchsorted(self.keys, groups * (len(self.times) + 1) + rank, "right") - 1]
@@ -71,72 +84,96 @@ class TimedVectors:
         out = np.empty(groups.shape, dtype=np.int64)
         step = max(1, _CELLS // max(1, groups.shape[1] * vectors.shape[1]))
         for lo in range(0, len(groups), step):
-            own = self.own[groups[lo : lo + step]].astype(np.float64)
-            length = np.sqrt(np.einsum("qgd,qgd->qg", own, own))
-            dots = np.einsum("qd,qgd->qg", vectors[lo : lo + step], own, optimize=True)
-            out[lo : lo + step] = np.rint(dots / np.where(length == 0, 1.0, length) * 1e6)
+            dots = np.matmul(self.unit[groups[lo : lo + step]], vectors[lo : lo + step, :, None])
+            out[lo : lo + step] = np.rint(dots[:, :, 0] * 1e6)
         return out
 
     def _above(self, scores: np.ndarray) -> np.ndarray:
         """No group with a score up to this one, in single precision, orders above the integer returned."""
-        error = (self.unit.shape[1] + 4) * 2.0**-24
+        error = (self.own.shape[1] + 4) * 2.0**-24
         return (np.ceil((scores + error) * 1e6).astype(np.int64) + 1) * self.n
 
     def search(self, vectors: np.ndarray, code: np.ndarray, at: np.ndarray) -> np.ndarray:
         """``(pairs, k)`` integers for pairs of a vector (its row in ``vectors``) and a time; ``code`` ascends. Groups are
         chosen by scores in single precision; what could still be among the best within its error is looked at too."""
         rank, out = np.searchsorted(self.times, at, "right"), np.full((len(at), self.k), -_FOREVER)
-        groups = len(self.unit)
-        step, short = max(1, _SCORES // groups), min(groups, _SHORT)
+        step = max(1, _SCORES // len(self.own))
         for lo in range(0, len(vectors), step):
             some = vectors[lo : lo + step]
-            scores = some.astype(np.float32) @ self.unit.T
-            near = np.argpartition(scores, groups - short, axis=1)[:, groups - short :]
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(scores, near, axis=1), axis=1), axis=1)
-            todo = np.arange(*np.searchsorted(code, [lo, lo + step]))
-            for width in sorted({min(_FEW, short), short}):
-                asked = np.unique(code[todo])
-                millionths = self._exact(vectors[asked], near[asked - lo, :width])
-                bound = self._above(np.take_along_axis(scores[asked - lo], near[asked - lo, width - 1 : width], axis=1)[:, 0])
-                left, wide = [], max(1, _CELLS // (width * self.k))
-                for p in range(0, len(todo), wide):
-                    pairs = todo[p : p + wide]
-                    query = np.searchsorted(asked, code[pairs])
-                    best = self._best(millionths[query], self._shown(near[code[pairs] - lo, :width], rank[pairs][:, None]))
-                    sure = (best[:, -1] > bound[query]) | (width == groups)
-                    out[pairs[sure]] = best[sure]
-                    left.append(pairs[~sure])
-                todo = np.concatenate(left) if left else todo
-            self._rest(some, scores, code - lo, rank, todo, out)
+            scores = some.astype(np.float32) @ self.single.T
+            pairs = np.arange(*np.searchsorted(code, [lo, lo + step]))
+            often = np.bincount(code[pairs] - lo, minlength=len(some))[code[pairs] - lo] > _FEW
+            left = self._near(some, scores, code - lo, rank, pairs[often], out)
+            left = self._open(some, scores, code - lo, rank, np.concatenate([pairs[~often], left]), out)
+            self._rest(some, code - lo, rank, left, out)
         return out
 
-    def _rest(
+    def _near(
         self, vectors: np.ndarray, scores: np.ndarray, code: np.ndarray, rank: np.ndarray, todo: np.ndarray, out: np.ndarray
-    ) -> None:
-        """Pairs that see too few of the nearest: the groups that show something at their time."""
+    ) -> np.ndarray:
+        """Vectors asked about at many times: their nearest groups are chosen once. Returns the pairs that see too few."""
+        if not len(todo):
+            return todo
+        groups, short = len(self.own), min(len(self.own), _SHORT)
+        asked = np.unique(code[todo])
+        near = np.argpartition(scores[asked], groups - short, axis=1)[:, groups - short :]
+        score = np.take_along_axis(scores[asked], near, axis=1)
+        order = np.argsort(-score, axis=1)
+        near, score = np.take_along_axis(near, order, axis=1), np.take_along_axis(score, order, axis=1)
+        millionths = self._exact(vectors[asked], near)
+        for width in sorted({min(_FEW, short), short}):
+            bound, left, wide = self._above(score[:, width - 1]), [], max(1, _CELLS // (width * self.k))
+            for p in range(0, len(todo), wide):
+                pairs = todo[p : p + wide]
+                query = np.searchsorted(asked, code[pairs])
+                shown = self._shown(near[query, :width], rank[pairs][:, None])
+                best = self._best(millionths[query, :width], shown)
+                sure = (best[:, -1] > bound[query]) | (width == groups)
+                out[pairs[sure]] = best[sure]
+                left.append(pairs[~sure])
+            todo = np.concatenate(left) if left else todo
+        return todo
+
+    def _open(
+        self, vectors: np.ndarray, scores: np.ndarray, code: np.ndarray, rank: np.ndarray, todo: np.ndarray, out: np.ndarray
+    ) -> np.ndarray:
+        """The nearest of the groups that have come and not gone at the time of a pair. Returns the pairs that see too few."""
+        left, step = [], max(1, _SCORES // len(self.own))
+        top = min(_FEW + self.k, len(self.own))
+        for p in range(0, len(todo), step):
+            pairs = todo[p : p + step]
+            now = rank[pairs][:, None]
+            score = scores[code[pairs]]
+            # set back, not made equal: many equal numbers are slow to choose from
+            np.subtract(score, np.float32(8), out=score, where=(now < self.comes) | (self.goes <= now))
+            groups = np.argpartition(score, len(self.own) - top, axis=1)[:, len(self.own) - top :]
+            best = self._best(self._exact(vectors[code[pairs]], groups), self._shown(groups, now))
+            least = np.take_along_axis(score, groups, axis=1).min(axis=1)
+            sure = (best[:, -1] > self._above(least)) | (least < -4) | (top == len(self.own))
+            out[pairs[sure]] = best[sure]
+            left.append(pairs[~sure])
+        return np.concatenate(left) if left else todo
+
+    def _rest(self, vectors: np.ndarray, code: np.ndarray, rank: np.ndarray, todo: np.ndarray, out: np.ndarray) -> None:
+        """Pairs whose nearest groups have gaps at their time, or more groups are as near than makes a difference."""
         todo = todo[np.argsort(rank[todo], kind="stable")]
-        every = np.arange(len(self.unit))
+        every = np.arange(len(self.own))
         for same in np.split(todo, np.flatnonzero(np.diff(rank[todo])) + 1):
             if not len(same):
                 continue
             shown = self._shown(every, rank[same[0]])
             open_now = np.flatnonzero(shown[:, 0] >= 0)
-            shown, top = shown[open_now], min(_FEW + self.k, len(open_now))
+            shown, top = shown[open_now], min(self.k, len(open_now))
             if not top:
                 continue
-            step = max(1, _CELLS // len(open_now))
+            unit, step = self.unit[open_now], max(1, _CELLS // len(open_now))
             for p in range(0, len(same), step):
                 pairs = same[p : p + step]
-                query = code[pairs]
-                near = scores[query[:, None], open_now]
-                groups = np.argpartition(near, len(open_now) - top, axis=1)[:, len(open_now) - top :]
-                best = self._best(self._exact(vectors[query], open_now[groups]), shown[groups])
-                bound = self._above(np.take_along_axis(near, groups, axis=1).min(axis=1))
-                sure = (best[:, -1] > bound) | (top == len(open_now))
-                out[pairs[sure]] = best[sure]
-                for i in np.flatnonzero(~sure):  # more groups than that are as near as makes no difference
-                    millionths = self._exact(vectors[query[i : i + 1]], open_now[None])
-                    out[pairs[i]] = self._best(millionths, shown[None])[0]
+                millionths = np.rint(vectors[code[pairs]] @ unit.T * 1e6).astype(np.int64)
+                # the best k rows are in the k groups whose first rows are best
+                order = millionths * self.n - shown[:, 0]
+                groups = np.argpartition(order, len(open_now) - top, axis=1)[:, len(open_now) - top :]
+                out[pairs] = self._best(np.take_along_axis(millionths, groups, axis=1), shown[groups])
 
     def found(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of the integers of ``search``."""
